@@ -53,6 +53,12 @@ def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_table(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack
 
@@ -62,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_piece_bpe": op4_piece_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op10_packing": op10_packing,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL}
