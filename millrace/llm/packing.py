@@ -11,6 +11,7 @@ An empty table gives no piece. Other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,13 +26,20 @@ from millrace.llm.common import texts_of
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: So many partitions' totals (16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Words, and stems of words, whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 600_000
+#: The characters that byte-level vocabularies show for the 256 bytes: a printable one for itself, the others from 256 upwards.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SHOWN = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
+#: ASCII marks that are cut from a word's end. The apostrophe is none: the pattern joins it with what follows.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 _encoders: dict[str, "WordIds"] = {}
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of texts by a tokenizer that drops white space, word by word, with a bounded memory of words.
 
     Its normaliser and its splitting pattern never look past a blank or a line end, so a text's ids are the
@@ -39,27 +47,52 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for p in parts for w in p})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        self.merge = self.tokenizer.model.tokenize
+        self.stems: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def __missing__(self, word: str) -> bytes:
+        stem, tail = stem_and_tail(word)
+        stems = self.stems
+        made = stems.get(stem)
+        if made is None:
+            if len(stems) > REMEMBERED:
+                stems.clear()
+            made = stems[stem] = self.ids(stem)
+        if tail:
+            made += stems.get(tail) or stems.setdefault(tail, self.ids(tail))
+        self[word] = made
+        return made
+
+    def ids(self, part: str) -> bytes:
+        if part.isalpha() and part.islower() and max(part) < "\u0300":
+            # Latin letters in lower case are one unit to the pattern and as they are to the normaliser: straight to the merges.
+            return pack_ids([t.id for t in self.merge(part if part.isascii() else "".join([BYTE_SHOWN[b] for b in part.encode()]))])
+        return pack_ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def stem_and_tail(word: str) -> tuple[str, str]:
+    """A word without the ASCII marks at its end, and those marks.
+
+    The splitting pattern always ends a run of letters before a mark, so their ids are those of the two parts.
+    The stem is lower-cased where no combining mark could make that differ from the tokenizer's own order of steps.
+    """
+    stem = word.rstrip(MARKS)
+    if not stem or not stem[-1].isalpha() or stem[-1] == "İ" or "<|" in word:  # that letter's lower case ends in a combining mark
+        return word, ""
+    return stem.lower() if stem.isascii() or max(stem) < "\u0300" else stem, word[len(stem) :]
 
 
 def encoder(path: str) -> WordIds:
@@ -68,7 +101,7 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def token_table(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, make: Callable[[], Callable[[str], bytes]], end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """First pass: ids of each document with the end id, its partition and the ids before it there. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +115,7 @@ def token_table(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[b
                 while last < len(texts) and (last == first or size < 1 << 22):
                     size += len(texts[last])
                     last += 1
-                ids = [b + tail for b in encode(texts[first:last])]
+                ids = [encode(t) + tail for t in texts[first:last]]
                 counts = np.fromiter((len(b) // 4 for b in ids), np.int64, len(ids))
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
@@ -108,6 +141,8 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     """
     totals = tokens.groupBy("part").agg(F.sum("n_ids").alias("total"))
     bases = totals.select(F.col("part"), (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    if totals.count() <= MOST_BROADCAST:
+        bases = F.broadcast(bases)
     return tokens.join(bases, "part").withColumn("offset", F.col("base") + F.col("before"))
 
 
