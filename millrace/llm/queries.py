@@ -68,6 +68,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    counts = language_id.learn(docs.where(fold_of("doc_id", 5) != 0))
+    found = language_id.predict(docs, counts)
+    return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack
 
@@ -79,6 +96,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_piece_bpe": op4_piece_bpe,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
     "op10_packing": op10_packing,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL}
