@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace import scratch
+
 #: Fixed value: the white space that a key loses at both ends.
 BLANKS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +44,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         .where(F.length("key") >= min_chars)
         .select("doc", "version", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("key"))
     )
+    lines = scratch.written(lines, "line-keys")  # read twice: once to count, once to mark
     if min_docs == 2:
         shared = lines.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last")
     else:  # one row for each key and document first, so that no key's documents meet in one place
