@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import byte_chunks
 
 BITS, SIZES = 20, (3, 4, 5)
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 THRESHOLD = 0.7
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,18 +82,19 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float, strength:
     if not toxic or not clean:
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(weights, float(np.log(share / (1 - share))))
-    sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    p = np.bincount(flat, weights=labels[owner], minlength=1 << BITS)
-    q = np.bincount(flat, minlength=1 << BITS) - p
+    p, q = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    for own, label in zip(rows, labels, strict=True):
+        (p if label else q)[own] += 1
     part = toxic / (toxic + clean)
     # Smoothing in proportion to the classes, so that a rare n-gram leans to neither.
     ratio = np.log((p + strength * part) / (toxic + strength * part)) - np.log((q + strength * (1 - part)) / (clean + strength * (1 - part)))
     ratio[(p + q < 3) | (np.abs(ratio) < 0.8)] = 0
-    use = ratio[flat] != 0
-    flat, owner = flat[use], owner[use]
-    names, flat = np.unique(flat, return_inverse=True)
-    r = ratio[names]
+    names = np.flatnonzero(ratio)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[names] = np.arange(len(names))
+    used = [(k := index[own])[k >= 0] for own in rows]  # row by row: the sample's n-grams never stand in one array
+    flat, owner = np.concatenate(used).astype(np.int64), np.repeat(np.arange(len(rows)), [len(k) for k in used])
+    r = ratio[names].astype(np.float64)
     w, b = np.zeros(len(names)), float(np.log(toxic / clean))
     y = labels.astype(float)
     speed, speed_b = np.zeros(len(names)), 0.0
@@ -129,8 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # At most most_toxic + most_clean ids are broadcast.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("label", "text").mapInArrow(run, "label int, own binary").collect()
-    return fit_rows([np.frombuffer(r["own"], "<i4") for r in rows], np.array([r["label"] for r in rows], np.int64), toxic / count)
+    rows, taught = [], []
+    for row in texts.select("label", "text").mapInArrow(run, "label int, own binary").toLocalIterator():
+        rows.append(np.frombuffer(row["own"], "<i4"))
+        taught.append(row["label"])
+    return fit_rows(rows, np.array(taught, np.int64), toxic / count)
 
 
 def score_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
