@@ -56,6 +56,27 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.topk import top_inner
+
+    return top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.piece_bpe import digest_table
 
@@ -94,10 +115,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_topk": op3_topk,
     "op4_piece_bpe": op4_piece_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_pii": op7_pii,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op2_line_dedup": OP2_SQL}
+ORACLES = {"op3_topk": OP3_SQL, "op2_line_dedup": OP2_SQL}
