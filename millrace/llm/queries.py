@@ -106,6 +106,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_table(docs, quality.fit(docs))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.nn_descent import nearest
 
@@ -126,6 +134,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op9_nn_descent": op9_nn_descent,
     "op10_packing": op10_packing,
 }
