@@ -2,7 +2,7 @@
 
 Equal vectors are one point. Every point gets first neighbours from a few deals into bounded blocks around pivots.
 Then, in rounds, Spark joins each point's neighbours (its own and those that have it) with each other: each pair of
-them is measured, and each keeps what is nearer than its farthest neighbour, until few lists change. A query starts
+them is measured, and each keeps what is nearer than its farthest neighbour, until the lists hardly get nearer. A query starts
 from its own point and widens a list of the ``BEAM`` nearest by the neighbours of the nearest not yet opened, one
 join a round for all queries, until all on the list are open. Scores are made anew from the original vectors.
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from millrace import scratch
 from millrace.llm.vectors import cells, distinct_vectors, matrix, valid
 
-K, DEGREE, BEAM, OPENED = 10, 24, 160, 40
+K, DEGREE, BEAM, OPENED = 10, 24, 128, 96
 #: First deals: how many, points in a block at most, pivots at most.
 DEALS, BLOCK, PIVOTS = 4, 768, 1024
 ROUNDS, OFFERED = 5, 24
-#: Rounds end when fewer than this share of all list entries is new.
-SETTLED = 0.02
+#: Rounds end when the mean distance in the lists falls by less than this share.
+SETTLED = 0.002
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -122,6 +122,9 @@ def build_graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -
         found = _block_pass(dealt.select("cell", "part", "rep", "v"), width, degree)
         edges = found if edges is None else edges.union(found)
     graph = scratch.written(_best(edges, degree), "nn-graph")
+    # What all lists' distances add up to tells how much a round has gained.
+    spread = lambda g: g.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda s, x: s + F.sqrt(x["d"])) / F.size("near"))).first()[0] or 0.0
+    total = spread(graph)
     for _ in range(rounds):
         flat = graph.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.d").alias("d"))
         back = _best(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), degree).select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"))
@@ -132,10 +135,9 @@ def build_graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -
         held = wanted.join(narrow, F.col("h_rep") == F.col("rep")).join(worst, F.col("h_rep") == F.col("w_rep"), "left").select("h_block", "h_rep", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         offers = _join_pass(around, held, width, degree)
         now = scratch.written(_best(flat.union(offers), degree), "nn-graph")
-        old = graph.select("a", F.explode("near.b").alias("b"))
-        new = now.select("a", F.explode("near.b").alias("b")).join(old, ["a", "b"], "left_anti").count()
         graph = now
-        if new < SETTLED * count * degree:
+        before, total = total, spread(graph)
+        if before - total < SETTLED * before:
             break
     return graph
 
