@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are never a candidate, hallucinated phrases, and spoken fillers of transcripts.
-BLACKLIST = ["STOCK", "SET", "THAI", "MAI", "NEWS", "THE", "AND", "FOR"]
-TRIGGERS = ["Subscribe", "Thank you for watching", "Thanks for watching"]
-FILLERS = ["เอ่อ+", "อ่า+", "ออ+", "แบบว่า", "คือว่า", "นะครับ", "นะคะ"]
+BLACKLIST = ["SET", "MAI", "BKK", "THAI", "PRICE", "NEWS", "STOCK", "TRADE", "DATA", "INFO", "VS", "AND", "TODAY", "NOW", "LIVE", "UPDATE", "INDEX"]
+TRIGGERS = ["Subtitles by", "Amara.org", "Thank you for watching", "Unidentified speaker", "บรรยายโดย", "ขอบคุณที่รับชม", "ซับไตเติ้ลโดย"]
+FILLERS = ["เอ่อ+", "อ่า+", "อืม+", "อ๋อ+", "ออ+", "แบบว่า", "คือแบบ"]
 WORD = r"[\p{L}\p{N}_]"
 
 
