@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import scratch
 
 
+#: So many edges (16 bytes each) are joined in one task; more pass labels in rounds.
+MOST_LOCAL = 1_000_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    over: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := over.setdefault(x, x)) != x:
+            over[x] = x = over[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            over[max(a, b)] = min(a, b)
+    ids = list(over)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "label"])
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id`` and ``label``, the smallest id of its component, for each of ``nodes`` (id). ``edges`` holds a and b.
 
     Each round takes the smallest label among a node and its neighbours, partial sums first, and then follows
     labels once, so the rounds grow with the logarithm of a component's width. Only nodes with edges take part.
     """
+    edges = scratch.written(edges.select("a", "b").where("a <> b").distinct(), "components-edges")
+    if edges.count() <= MOST_LOCAL:
+        found = edges.coalesce(1).mapInArrow(_union_find, "id long, label long")
+        return nodes.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch.written(both, "components-edges")
-    if both.isEmpty():
-        return nodes.select("id", F.col("id").alias("label"))
     labels = scratch.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "components")
     while True:
         near = both.join(labels.withColumnsRenamed({"id": "a", "label": "seen"}), "a").groupBy(F.col("b").alias("id")).agg(F.min("seen").alias("seen"))

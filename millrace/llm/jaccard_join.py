@@ -11,8 +11,10 @@ something of the set. Each filled partition gives a signature: at least (filled
   (filled - k - common signatures) of them, so only pairs that reach that count are verified on their sets.
 * Common signatures (more than ``FEW`` classes: shared passages, large groups of near copies) give no pairs.
   A set that keeps more than k signatures without them loses nothing by that. Only sets that don't are compared
-  through them, one hub against all others of the signature in a round, until each signature's members are in
-  one component or have all been the hub. No cap, no sample: every link between different texts is found or implied.
+  through them, each through its rarest: what hangs together by these is a cluster. A cluster of bounded size is
+  compared in a task, each set outside the largest component against all others by an index of the shingles; a larger
+  one in rounds, hubs of each signature against its other members, until the members are one component or have all
+  been a hub. No cap, no sample: every link between different texts is found or implied.
 * A set whose filled partitions aren't more than k (possible for odd hashes) takes part with single shingles too,
   where the guarantee always holds.
 
@@ -42,11 +44,16 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FEW = 8
 #: A task sends on so many rows of one signature, then a mark.
 LOCAL_FEW = 512
-#: Hubs of a common signature in each round after the first.
-HUBS = 16
+#: Hubs of a common signature in the rounds; the last number holds for all further ones.
+HUBS = (1, 16, 128)
+#: Shingles of a cluster that one task compares; larger clusters are compared in rounds.
+CLUSTER_ITEMS = 4_000_000
+#: Ids of documents, and bytes of their sets, that are broadcast to verify pairs; beyond that they are joined by a shuffle.
+MOST_BROADCAST_IDS, MOST_BROADCAST_BYTES = 200_000, 48 << 20
 #: Signatures in a bucket, and signatures made of a byte of text, for the number of buckets.
-BUCKET_ROWS, ROWS_A_BYTE = 1_500_000, 0.11
+BUCKET_ROWS, ROWS_A_BYTE = 600_000, 0.11
 SINGLES = 255  # the band of single shingles
+OFTEN = 1 << 40  # stands for the count of a signature whose members partly go by the side
 MARK = np.uint64(0)
 
 _SCHEMA = "kind int, bucket int, doc_id long, n long, h1 long, h2 long, bands array<struct<j:int,m:int,k:int>>, block binary"
@@ -68,7 +75,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     known = _words
-    if len(known) > 500_000:
+    if len(known) > 100_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
@@ -87,11 +94,6 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def similar(a: np.ndarray, b: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return denominator * both >= numerator * (len(a) + len(b) - both)
-
-
 def most_different(size: int, partner: int, numerator: int, denominator: int) -> int:
     """Shingles in which a similar pair of such sizes can differ at most."""
     return (size + partner) * (denominator - numerator) // (denominator + numerator)
@@ -175,12 +177,12 @@ def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denomin
                 out.append((doc, len(s), h1, h2, bands))
                 if h1 in sent:
                     continue
-                if len(sent) > 1_000_000:
+                if len(sent) > 200_000:
                     sent.clear()
                 sent.add(h1)
                 rows += [(h1, b[0], m) for b, m in zip(bands, made, strict=True)]
                 waiting += sum(map(len, made))
-                if waiting > 1 << 21:
+                if waiting > 1 << 18:
                     yield from flush(rows, seen, marked)
                     rows, waiting = [], 0
             n = len(out)
@@ -190,6 +192,7 @@ def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denomin
                 names=_names(),
             )
         yield from flush(rows, seen, marked)
+        pa.default_memory_pool().release_unused()  # workers live on: what this pass held goes back
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -214,7 +217,7 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket_pass(blocks: DataFrame, few: int) -> DataFrame:
-    """Of each bucket: 0 = counted pairs (a, b), 1 = how many common signatures a class has, 2 = common signatures' members."""
+    """Of each bucket: 0 = counted pairs (a, b), 1 = how many common signatures a class has, 2 = common signatures' members, n how often each occurs."""
 
     def rows(kind: int, a, b, j, n) -> pa.Table:
         signed = lambda x: pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
@@ -230,17 +233,19 @@ def _bucket_pass(blocks: DataFrame, few: int) -> DataFrame:
         sig, h1, band = sig[own], h1[own], band[own]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(first, len(sig)))
-        common = np.repeat((size > few) | (h1[first] == MARK), size)
+        marked = h1[first] == MARK
+        common = np.repeat((size > few) | marked, size)
+        often = np.repeat(np.where(marked, OFTEN, size), size)
         keep = np.repeat(size > 1, size)
         hot = common & (h1 != MARK)
         out = []
-        c_sig, c_h1, c_band = sig[hot], h1[hot], band[hot]
+        c_sig, c_h1, c_band, often = sig[hot], h1[hot], band[hot], often[hot]
         if len(c_h1):
             by = np.lexsort((c_band, c_h1))
             x, y = c_h1[by], c_band[by]
             at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
             out.append(rows(1, x[at], np.zeros(len(at)), y[at], np.diff(np.append(at, len(x)))))
-            out.append(rows(2, c_h1, c_sig | np.uint64(key[0].as_py()) << np.uint64(40), c_band, np.ones(len(c_h1))))
+            out.append(rows(2, c_h1, c_sig | np.uint64(key[0].as_py()) << np.uint64(40), c_band, often))
         rest = keep & ~common
         sig, h1, band = sig[rest], h1[rest], band[rest]
         a, b, j = [], [], []
@@ -257,6 +262,7 @@ def _bucket_pass(blocks: DataFrame, few: int) -> DataFrame:
             a, b, j = a[by], b[by], j[by]
             at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (j[1:] != j[:-1]))))
             out.append(rows(0, a[at], b[at], j[at], np.diff(np.append(at, len(a)))))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else rows(0, *[np.zeros(0)] * 4)
 
     return blocks.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, j int, n long")
@@ -275,28 +281,115 @@ def _side_rows(side: DataFrame, buckets_bits: int = 40) -> DataFrame:
     return side.select("bucket", "block").mapInArrow(run, "a long, b long, j int").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose sets are similar. Sets are made again, for the documents in pairs only."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingles(t, words).tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "items"])
+def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``id`` and ``items`` of the documents in ``ids``. Sets are made again for these only."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numerator, denominator) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            texts = texts_of(batch)
+            for i in range(0, len(texts), 256):
+                made = [shingles(t, words).view(np.int64) for t in texts[i : i + 256]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(made)), pa.array(made, pa.list_(pa.int64()))], names=["id", "items"])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    if ids.count() <= MOST_BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    made = scratch.written(texts.select("doc_id", "text").mapInArrow(sets, "id long, items binary"), "jaccard-sets")
-    met = pairs.join(made.select(F.col("id").alias("b"), F.col("items").alias("right")), "b").join(made.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
-    return met.select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
+    return scratch.written(texts.select("doc_id", "text").mapInArrow(run, "id long, items array<long>"), "jaccard-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of document ids whose sets are similar."""
+    ids = scratch.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
+    made = _sets(ids, docs, words)
+    left, right = made.select(F.col("id").alias("a"), F.col("items").alias("left")), made.select(F.col("id").alias("b"), F.col("items").alias("right"))
+    if (made.agg(F.sum(F.size("items"))).first()[0] or 0) * 8 <= MOST_BROADCAST_BYTES:
+        left, right = F.broadcast(left), F.broadcast(right)
+    met = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("left", "right")))
+    return met.where(denominator * F.col("both") >= numerator * (F.size("left") + F.size("right") - F.col("both"))).select("a", "b")
+
+
+def link_cluster(ids: np.ndarray, labels: np.ndarray, items: np.ndarray, sizes: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Links that join a cluster's components, given the labels that it has: exact, one set against all at a time.
+
+    A set whose component is not the largest is compared with all others through an index of the shingles; when all
+    such have had their turn, every pair of different components has been compared.
+    """
+    n = len(ids)
+    order = np.argsort(items, kind="stable")
+    kept = items[order]
+    named = np.zeros(len(items), np.int32)
+    np.cumsum(kept[1:] != kept[:-1], out=named[1:])
+    names = np.empty_like(named)
+    names[order] = named
+    holders, start = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], np.concatenate(([0], np.cumsum(np.bincount(named))))
+    del order, kept, named
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    label = np.unique(labels, return_inverse=True)[1]
+    done, links = np.zeros(n, bool), []
+    while True:
+        counts = np.bincount(label)
+        waiting = np.flatnonzero(~done & (label != counts.argmax()))
+        if not len(waiting):
+            return links
+        x = waiting[0]
+        done[x] = True
+        own = names[ends[x] : ends[x + 1]]
+        both = np.bincount(np.concatenate([holders[start[k] : start[k + 1]] for k in own]), minlength=n)
+        similar = np.flatnonzero((denominator * both >= numerator * (sizes[x] + sizes - both)) & (label != label[x]))
+        for y in similar:
+            if label[y] != label[x]:
+                links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                label[label == label[y]] = label[x]
+
+
+def _linked_clusters(table: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links within each cluster of bounded size: ``cluster``, ``id``, ``label``, ``items``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists = rows.column("items").combine_chunks()
+        links = link_cluster(rows.column("id").to_numpy(), rows.column("label").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), numerator, denominator)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return table.groupBy("cluster").applyInArrow(run, "a long, b long")
+
+
+def _hub_rounds(hot: DataFrame, labels: DataFrame, nodes: DataFrame, edges: DataFrame, pairs: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """Links among the sets of clusters too large for a task: hubs of each common signature against its other members, in rounds."""
+    # Signatures with the same members say the same: one of them is enough.
+    same = hot.groupBy("sig").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("members > 1").groupBy("members", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    hot = scratch.written(hot.join(same, "sig"), "jaccard-common")
+    used: DataFrame | None = None
+    checked, turn = pairs, 0
+    while True:
+        at = hot.join(labels.select(F.col("id").alias("rep"), "label"), "rep")
+        if used is not None:
+            at = at.join(used.withColumn("was", F.lit(True)), ["sig", "rep"], "left")
+        else:
+            at = at.withColumn("was", F.lit(None).cast("boolean"))
+        # A signature is done when its members are one component, or none but one component's are left to be a hub.
+        at = scratch.written(at, "jaccard-members")
+        free = F.when(F.col("was").isNull(), F.col("label"))
+        open_sigs = at.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(free).alias("free_low"), F.max(free).alias("free_high")).where("low < high and free_low < free_high").select("sig")
+        # The first hub usually joins a group of near copies; what is left then takes turns, several at a time.
+        candidates = at.where("was is null").join(open_sigs, "sig")
+        hubs = candidates.groupBy("sig", F.pmod("rep", F.lit(HUBS[min(turn, len(HUBS) - 1)])).alias("turn")).agg(F.min_by(F.struct("rep", "n", "label"), "rep").alias("hub")).select("sig", "hub")
+        hubs = scratch.written(hubs, "jaccard-hubs")
+        if hubs.isEmpty():
+            return edges
+        turn += 1
+        tried = hubs.select("sig", F.col("hub.rep").alias("rep"))
+        used = scratch.written(tried if used is None else used.union(tried), "jaccard-used")
+        met = at.join(hubs, "sig").where((F.col("label") != F.col("hub.label")) & (F.col("n") * denominator >= F.col("hub.n") * numerator) & (F.col("hub.n") * denominator >= F.col("n") * numerator))
+        pairs = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+        pairs = scratch.written(pairs, "jaccard-pairs")
+        checked = checked.union(pairs)
+        more = scratch.written(_verified(pairs, docs, words, numerator, denominator), "jaccard-edges")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = connected(nodes, edges)
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, local_few: int = LOCAL_FEW) -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, local_few: int = LOCAL_FEW, most_items: int = CLUSTER_ITEMS) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Two documents are linked when ``denominator`` times their common shingles are at least ``numerator`` times the union.
@@ -312,7 +405,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR
 
     # One row for each class of equal sets and band: its smallest document, filled partitions, differences, common signatures.
     classes = scratch.written(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "jaccard-classes")
-    members = found.where("kind = 2").select("a", "b", "j")
+    members = found.where("kind = 2").select("a", "b", "j", F.col("n").alias("often"))
     common = found.where("kind = 1").select("a", "j", "n").union(side.groupBy("a", "j").agg(F.count("*").alias("n"))).groupBy("a", "j").agg(F.sum("n").alias("common"))
     by_band = classes.select("h1", "rep", "n", F.explode("bands").alias("x")).select("h1", "rep", "n", "x.j", "x.m", "x.k")
     by_band = by_band.join(common, (by_band["h1"] == common["a"]) & (by_band["j"] == common["j"]), "left").select("h1", "rep", "n", by_band["j"], "k", (F.col("m") - F.coalesce("common", F.lit(0))).alias("left"))
@@ -328,39 +421,29 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR
     edges = scratch.written(_verified(pairs, docs, words, numerator, denominator), "jaccard-edges")
 
     # Sets that common signatures leave too few others: compared through those.
-    unsafe = by_band.where("left <= k")
-    hot = members.union(side).join(unsafe, (F.col("a") == F.col("h1")) & (members["j"] == unsafe["j"])).select(F.col("b").alias("sig"), "rep", "n")
-    hot = scratch.written(hot, "jaccard-common")
+    unsafe = by_band.where("left <= k").select("h1", F.col("j").alias("band"), "rep", "n", (F.col("k") + 1 - F.col("left")).alias("need"))
+    every = members.union(side.select("a", "b", "j", F.lit(OFTEN).alias("often"))).groupBy("a", "j").agg(F.sort_array(F.collect_list(F.struct("often", "b"))).alias("sigs"))
+    # k + 1 signatures are enough for a set if all take the rarest first.
+    hot = every.join(unsafe, (F.col("a") == F.col("h1")) & (F.col("j") == F.col("band"))).select(F.explode(F.slice("sigs", F.lit(1), F.greatest("need", F.lit(0)))).alias("x"), "rep", "n")
+    hot = scratch.written(hot.select(F.col("x.b").alias("sig"), "rep", "n"), "jaccard-common")
     nodes = classes.select(F.col("rep").alias("id"))
     labels = connected(nodes, edges)
-    used: DataFrame | None = None
-    hubs_a_round = 1
-    while True:
-        at = hot.join(labels.select(F.col("id").alias("rep"), "label"), "rep")
-        if used is not None:
-            at = at.join(used.withColumn("was", F.lit(True)), ["sig", "rep"], "left")
-        else:
-            at = at.withColumn("was", F.lit(None).cast("boolean"))
-        # A signature is done when its members are one component, or none but one component's are left to be a hub.
-        at = scratch.written(at, "jaccard-members")
-        free = F.when(F.col("was").isNull(), F.col("label"))
-        open_sigs = at.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(free).alias("free_low"), F.max(free).alias("free_high")).where("low < high and free_low < free_high").select("sig")
-        candidates = at.where("was is null").join(open_sigs, "sig")
-        # The first hub usually joins a group of near copies; what is left then takes turns, several at a time.
-        hubs = candidates.groupBy("sig", F.pmod("rep", F.lit(hubs_a_round)).alias("turn")).agg(F.min_by(F.struct("rep", "n", "label"), "rep").alias("hub")).select("sig", "hub")
-        hubs = scratch.written(hubs, "jaccard-hubs")
-        if hubs.isEmpty():
-            break
-        hubs_a_round = HUBS
-        tried = hubs.select("sig", F.col("hub.rep").alias("rep"))
-        used = scratch.written(tried if used is None else used.union(tried), "jaccard-used")
-        met = at.join(hubs, "sig").where((F.col("label") != F.col("hub.label")) & (F.col("n") * denominator >= F.col("hub.n") * numerator) & (F.col("hub.n") * denominator >= F.col("n") * numerator))
-        pairs = scratch.written(met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), "jaccard-pairs")
-        more = scratch.written(_verified(pairs, docs, words, numerator, denominator), "jaccard-edges")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = connected(nodes, edges)
-
+    # Sets that could be linked through common signatures are in one cluster of the graph of signatures and sets.
+    centre = hot.groupBy("sig").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    spokes = hot.join(centre, "sig").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    clusters = connected(spokes.select(F.col("a").alias("id")).union(spokes.select(F.col("b").alias("id"))).distinct(), spokes).select("id", F.col("label").alias("cluster"))
+    clusters = clusters.join(labels, "id").join(hot.select(F.col("rep").alias("id"), "n").distinct(), "id")
+    clusters = scratch.written(clusters, "jaccard-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    small = clusters.join(sizes.where(F.col("total") <= most_items).select("cluster"), "cluster").select("cluster", "id", "label")
+    small = scratch.written(small, "jaccard-small")
+    made = _sets(small.select("id").distinct(), docs, words)
+    edges = scratch.written(edges.union(_linked_clusters(small.join(made, "id"), numerator, denominator)), "jaccard-edges")
+    large = clusters.join(sizes.where(F.col("total") > most_items).select("cluster"), "cluster").select(F.col("id").alias("rep"))
+    hot = scratch.written(hot.join(large, "rep", "left_semi"), "jaccard-common")
+    labels = connected(nodes, edges)
+    if not hot.isEmpty():
+        labels = connected(nodes, edges.union(_hub_rounds(hot, labels, nodes, edges, pairs, docs, words, numerator, denominator)))
     linked = labels.where("id <> label")
     roots = classes.join(linked, classes["rep"] == linked["id"], "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("label", "rep").alias("root"))
     out = sets.join(roots, (sets["h1"] == roots["h1"]) & (sets["h2"] == roots["h2"]) & (sets["n"] == F.col("size")), "left")
