@@ -31,7 +31,7 @@ LABELLERS = {
     "digits": (0.10, 0.02),
     "bars": (0.01, 0.0005),
     "shouts": (0.01, 0.0005),  # exclamation marks
-    "repeats": (0.45, 0.15),  # share of windows of 16 bytes, taken every 8 bytes, that are repetitions
+    "repeats": (0.45, 0.15),  # share of windows of 16 bytes, at every byte, that are repetitions
     "short": (0.5, 0.02),  # 1 / words
 }
 
@@ -52,9 +52,8 @@ def figures(text: np.ndarray) -> np.ndarray | None:
     words = max(1, int((blanks[1:] & ~blanks[:-1]).sum()) + 1)
     repeats = 0.0
     if n >= 64:
-        windows = np.lib.stride_tricks.sliding_window_view(text, 16)[::8]
-        parts = np.ascontiguousarray(windows).view(np.uint64)
-        mixed = parts[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ parts[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        parts = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view(np.uint64)[:, 0]
+        mixed = parts[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ parts[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
         repeats = 1 - len(np.unique(mixed)) / len(mixed)
     bars, shouts = int((text == 124).sum()), int((text == 33).sum())
     return np.array([kinds[4] / n, kinds[2] / max(1, kinds[1] + kinds[2]), kinds[3] / n, bars / n, shouts / n, repeats, 1 / words])

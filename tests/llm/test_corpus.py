@@ -192,6 +192,18 @@ def test_quality(docs, odd, empty):
     assert quality.score_table(empty, quality.fit(empty)).count() == 0
 
 
+@pytest.mark.parametrize("period", [*range(61, 70), 128])
+def test_quality_sees_repeats_of_any_period(period):
+    random.seed(9)
+    passage = "".join(random.choice("abcdefghijklmnop ") for _ in range(period))
+    repeats = list(quality.LABELLERS).index("repeats")
+    for copies in (2, 3, 8):
+        text = (passage * copies).encode()
+        windows = [text[k : k + 16] for k in range(len(text) - 15)]
+        found = quality.figures(np.frombuffer(text, np.uint8))[repeats]
+        assert found == pytest.approx(1 - len(set(windows)) / len(windows)) and found > 0.3
+
+
 def luhn_ok(digits):
     return sum((d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2)) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
