@@ -67,14 +67,18 @@ def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str =
 
 
 def lookback_dedupe(text: Column, k: int = 5, ratio: float = 0.85, delimiter: str = "\n+") -> Column:
-    """Lines whose similarity to one of the last k kept lines is over ``ratio`` go. Similarity: 1 - edits / longer length."""
+    """Lines whose similarity to one of the last k kept lines is over ``ratio`` go. Similarity: 1 - edits / longer length.
+
+    Lines of any length are compared; a pair costs up to the product of its length and the edits that ``ratio`` allows.
+    """
     lines = F.filter(F.transform(F.split(text, delimiter), lambda x: F.trim(x)), lambda x: x != "")
 
     def near(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))
-        allowed = F.floor(longest * (1 - ratio)).cast("int")
-        # Lengths first: edits are counted only where they can suffice, and exact copies need none.
-        return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & (longest <= 2000) & (1 - F.levenshtein(a, b) / longest > ratio))
+        allowed = F.ceil(longest * (1 - ratio)).cast("int")
+        # Lengths first: edits are counted only where they can suffice, as far as they can, and exact copies need none.
+        edits = F.call_function("levenshtein", a, b, allowed)  # -1 beyond the allowed ones
+        return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & F.exists(F.array(edits), lambda n: (n >= 0) & (1 - n / longest > ratio)))
 
     step = lambda kept, line: F.when(F.exists(F.slice(kept, F.greatest(F.size(kept) - k + 1, F.lit(1)), F.lit(k)), lambda x: near(x, line)), kept).otherwise(F.concat(kept, F.array(line)))
     return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")

@@ -55,6 +55,44 @@ def test_lookback_dedupe(spark):
     assert one(spark, lambda c: chunks.lookback_dedupe(c), text) == "the same long line here\nanother\nthird"
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lookback_dedupe_lines_of_any_length(spark):
+    random.seed(6)
+    long = lambda n: "".join(random.choice("abcdefgh ü") for _ in range(n)).strip()
+    first, second = long(2500), long(6000)
+    other = first[:1000] + "x" * 600 + first[1600:]
+    text = "\n".join([first, first[:1200] + "X" + first[1201:], second, other, second[1:], second[:3000] + long(40) + second[3000:], second + "\n" + first])
+    assert one(spark, lambda c: chunks.lookback_dedupe(c), text) == "\n".join([first, second, other])
+
+
+def test_lookback_dedupe_equals_the_plain_fold(spark):
+    random.seed(8)
+    texts = []
+    for _ in range(60):
+        lines = ["".join(random.choice("abü") for _ in range(random.randint(1, 40)))]
+        for _ in range(8):
+            line = list(random.choice(lines))
+            for _ in range(random.randint(0, 7)):
+                line.insert(random.randrange(len(line) + 1), random.choice("abü")) if random.random() < 0.5 or len(line) < 2 else line.pop(random.randrange(len(line)))
+            lines.append("".join(line))
+        texts.append("\n".join(lines))
+    found = [r["y"] for r in spark.createDataFrame(list(enumerate(texts)), "n int, x string").select("n", chunks.lookback_dedupe(F.col("x")).alias("y")).orderBy("n").collect()]
+    for text, got in zip(texts, found, strict=True):
+        kept = []
+        for line in text.split("\n"):
+            if not any(1 - edits(a, line) / max(len(a), len(line)) > 0.85 for a in kept[-5:]):
+                kept.append(line)
+        assert got == "\n".join(kept)
+
+
 def test_split_recursive_keeps_all_words():
     text = "a b c\n\n" + "word " * 50 + "\n" + "x" * 90
     parts = chunks.split_recursive(text, 40)
