@@ -5,8 +5,9 @@ lexical patterns (the last word, and the last two). Spark keeps the graph of pat
 found after them: the seeds, and unseen identifiers, words of six characters or more with a digit) and scores it in
 rounds. A pattern's confidence for a kind is the share of known instances of that kind among all its distinct
 instances; patterns with enough of both are kept; an unseen identifier is taken over when the kept patterns that
-it follows leave little doubt (noisy or). What is taken over counts as known in the next round. In the end the
-occurrences of new instances join the seeds' spans.
+it follows leave little doubt (noisy or). What is taken over counts as known in the next round. Rounds go on until one
+takes nothing; each takes at least one of finitely many identifiers. In the end the occurrences of new instances join
+the seeds' spans.
 
 Counts go by distinct (pattern, instance) pairs with partial sums first, so a pattern or a number that a third of
 all rows hold costs a task one row a pair. Texts are read once for the seeds and never shuffled; positions of new
@@ -40,7 +41,7 @@ UNSEEN = r"(?<![\p{L}\p{N}_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 #: Cheap tests that must hold before a form is looked for.
 MAY_HOLD = {"email": r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]"}
 FORMS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 3, 4, 0.8, 0.9
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 4, 0.8, 0.9
 
 
 def of_kind(kind: str):
@@ -105,7 +106,7 @@ def seed_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return scratch.written(rows.select("doc_id", F.xxhash64("text").alias("version"), base.alias("base"), unseen.alias("unseen")), "pii-seeds")
 
 
-def bootstrap(seeds: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_instance: float = MIN_INSTANCE) -> DataFrame:
+def bootstrap(seeds: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_instance: float = MIN_INSTANCE) -> DataFrame:
     """``kind`` and ``found`` of the identifiers that the patterns discover."""
     known = seeds.select(F.explode("base").alias("s")).select("s.found", "s.kind", "s.before")
     # A seed's inner parts look like unseen identifiers too; they aren't.
@@ -113,7 +114,7 @@ def bootstrap(seeds: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUP
     graph = known.select("found", "kind", F.explode(patterns(F.col("before"))).alias("pattern")).union(fresh.select("s.found", F.lit(None).cast("string"), F.explode(patterns(F.col("s.before")))))
     graph = scratch.written(graph.distinct(), "pii-graph")
     taken: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         now = graph
         if taken is not None:
             more = taken.select("found", F.col("kind").alias("new"))

@@ -238,6 +238,16 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert found[100] == [("phone", 19, 30)] and found[101] == []
 
 
+def test_pii_rounds_go_on_until_nothing_is_new(spark):
+    # Each word stands before 13 phones, the 3 identifiers that the word before it leads to, and 3 new ones: 13 of 19 known are too few, 16 enough.
+    new = lambda k: [f"zq{k}000{i}" for i in range(3)] if k >= 0 else []
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
+    rows = [f"please {w} {x} now" for k, w in enumerate(words) for x in [f"+1 555 {k}00 {1000 + i}" for i in range(13)] + new(k - 1) + new(k)]
+    seeds = pii.seed_table(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id", "text")
+    found = {(r["kind"], r["found"]) for r in pii.bootstrap(seeds).collect()}
+    assert found == {("phone", x) for k in range(len(words)) for x in new(k)}
+
+
 def test_pii_redact(spark, odd):
     df = spark.createDataFrame([(1, "mail a@b.c or 1.2.3.4."), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: "mail [EMAIL] or [IP].", 2: None, 3: "clean"}
