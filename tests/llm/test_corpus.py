@@ -156,6 +156,23 @@ def test_nearest_recall(spark):
     assert nn_descent.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_recall_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 96)  # 2,000 vectors: pivots, deals and descent rounds all take part
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    assert len(rows) > 10 * nn_descent.BLOCK
+    got = {}
+    for r in nn_descent.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hit.append(len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10)
+    assert np.mean(hit) >= 0.9
+
+
 def test_language_id(docs, odd, empty):
     counts = language_id.learn(docs.where(queries.fold_of("doc_id", 5) != 0))
     held = docs.where(queries.fold_of("doc_id", 5) == 0)
