@@ -45,9 +45,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later plans start from the table, whatever executors are lost."""
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back: later plans start from the table, whatever executors are lost.
+
+    With ``folder`` (a path from ``new_path``) the table lies below it, and goes when the caller removes that folder.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
