@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def byte_chunks(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def give_back() -> None:
+    """Return memory that a pass no longer holds to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+    if trim is not None:
+        trim(0)
+
+
+def free_prefix(columns: Iterable[str], prefix: str) -> str:
+    """``prefix`` with as many underscores before it as it takes for no column's name to begin with it."""
+    names = [c.lower() for c in columns]
+    while any(c.startswith(prefix.lower()) for c in names):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def byte_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``most`` bytes.
 
     Yields first row, end row, the bytes and the offsets of the rows within them. A null row is empty;

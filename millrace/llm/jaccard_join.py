@@ -1,62 +1,67 @@
 """N-gram Jaccard join by PartEnum signatures, exact, down to the classes of linked documents.
 
-A document's set is its distinct word shingles. Two sets with similarity of at least t differ in at most
-(1-t)/(1+t) of the sum of their sizes. Sizes are cut into bands that double; a set takes part in its own band
-and, where a larger partner may lie there, in the next. In a band the domain of all shingles is cut by a hash
-into partitions, so many that the k differing shingles of a similar pair can't touch all partitions that hold
-something of the set. Each filled partition gives a signature: at least (filled - k) of them agree.
-
-* Copies (the same set) are one class from the start, and a task sends each class's signatures once.
-* Signatures of few classes give pairs, and the pairs are counted: a similar pair agrees in at least
-  (filled - k - common signatures) of them, so only pairs that reach that count are verified on their sets.
-* Common signatures (more than ``FEW`` classes: shared passages, large groups of near copies) give no pairs.
-  A set that keeps more than k signatures without them loses nothing by that. Only sets that don't are compared
-  through them, each through its rarest: what hangs together by these is a cluster. A cluster of bounded size is
-  compared in a task, each set outside the largest component against all others by an index of the shingles; a larger
-  one in rounds, hubs of each signature against its other members, until the members are one component or have all
-  been a hub. No cap, no sample: every link between different texts is found or implied.
-* A set whose filled partitions aren't more than k (possible for odd hashes) takes part with single shingles too,
-  where the guarantee always holds.
-
-Signatures travel as numpy blocks, dealt by hash to as many buckets as the input's bytes call for; a task
-forwards a signature that it has met very often only as a mark, so no bucket grows with a group of copies.
-
-Defined cases: a null or empty text, or one without words, has no shingle and no link. Fewer words than the
-shingle's length are one shingle, the whole sequence. Rows repeated under one id are one document and are answered
-once each; other columns are ignored. An empty table gives no rows.
+A document's set is its distinct word shingles; equal sets are one class. Two sets with similarity of at least t differ
+in at most (1-t)/(1+t) of the sum of their sizes. Sizes are cut into bands that double; a set takes part in its own band
+and, where a larger partner may lie there, in the next. In a band the domain of all shingles is cut by a hash into first
+partitions, and each of these into second ones. Of the second partitions of each first one all subsets that leave
+``spared`` of them out are enumerated, and what the set holds in a subset is a signature. The differences of a similar
+pair can put more than ``spared`` of them into a bounded number of first partitions only; in each other one some subset
+is untouched and gives both sets the same signature.
+
+* An empty subset gives no signature. A first partition is sound for a set if each subset of it holds something. Sets
+  with too few sound ones for the guarantee take part with single shingles too, where it always holds.
+* Signatures of few classes give pairs. A similar pair agrees in at least (sound - spoilt - common signatures) of them,
+  so only pairs that reach that count are candidates.
+* Common signatures (more than ``FEW`` classes: shared passages, large groups of near copies) give no pairs. A set that
+  keeps enough sound partitions without them loses nothing by that. The others are joined to their common signatures'
+  centres: two of them that share one are in one cluster.
+* Candidates' clusters are verified on the whole sets. Clusters of bounded size are compared in tasks, many in each, by
+  a prefix filter that takes a cluster's rarest shingles first. In a larger one hubs meet all others first, in tasks of
+  bounded shares; then what is outside the largest component meets all others, in blocks against shares. Links that
+  components imply are not counted again. No cap, no sample: every link between different texts is found or implied.
+
+Signatures travel as numpy blocks in one shuffle, dealt by hash to as many buckets as the input's bytes call for. What a
+task holds of one signature beyond ``FEW`` classes stays out of it: those classes go to the centre directly, so no
+bucket grows with a group of copies.
+
+Defined cases: a null or empty text, or one without words, has no shingle and no link. Fewer words than the shingle's
+length are one shingle, the whole sequence. Rows repeated under one id are one document and are answered once each. If
+their texts differ, each row has its own count of shingles, and the document is linked by all of its texts (a row without
+words stays alone). Rows without id are linked with nothing. Other columns are ignored. An empty table gives no rows. Shingles and sets are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import scratch
-from millrace.llm.common import texts_of
+from millrace.llm.common import give_back, texts_of
 from millrace.llm.components import connected
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A signature of more classes than this is common.
 FEW = 8
-#: A task sends on so many rows of one signature, then a mark.
-LOCAL_FEW = 512
-#: Hubs of a common signature in the rounds; the last number holds for all further ones.
-HUBS = (1, 16, 128)
-#: Shingles of a cluster that one task compares; larger clusters are compared in rounds.
-CLUSTER_ITEMS = 4_000_000
-#: Ids of documents, and bytes of their sets, that are broadcast to verify pairs; beyond that they are joined by a shuffle.
-MOST_BROADCAST_IDS, MOST_BROADCAST_BYTES = 200_000, 48 << 20
+#: Shingles of the sets that a task compares at a time; larger clusters are compared by hubs and in blocks.
+CLUSTER_ITEMS = 250_000
+#: Hubs of each large cluster in the rounds before its blocks.
+HUBS = (1, 8, 64)
+#: Ids that are broadcast to pick documents (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST_IDS = 200_000
 #: Signatures in a bucket, and signatures made of a byte of text, for the number of buckets.
-BUCKET_ROWS, ROWS_A_BYTE = 600_000, 0.11
-SINGLES = 255  # the band of single shingles
-OFTEN = 1 << 40  # stands for the count of a signature whose members partly go by the side
-MARK = np.uint64(0)
+BUCKET_ROWS, ROWS_A_BYTE = 800_000, 0.17
+#: Signatures that a task gathers before it deals them to buckets.
+FLUSH = 1 << 19
+SINGLES, COMMON = 63, 128  # the band of single shingles; the mark of a signature that a task has found common
 
-_SCHEMA = "kind int, bucket int, doc_id long, n long, h1 long, h2 long, bands array<struct<j:int,m:int,k:int>>, block binary"
 _words: dict[bytes, int] = {}
 
 
@@ -94,115 +99,168 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def class_of(s: np.ndarray) -> int:
+    """The name of a set: one hash of all its shingles."""
+    return int(mix(np.array([int(mix(s).sum(dtype=np.uint64)) ^ len(s)], np.uint64))[0]) if len(s) else 0
+
+
 def most_different(size: int, partner: int, numerator: int, denominator: int) -> int:
     """Shingles in which a similar pair of such sizes can differ at most."""
     return (size + partner) * (denominator - numerator) // (denominator + numerator)
 
 
-def parts_of(band: int) -> int:
-    """Partitions of a band: so many for its largest set that filled partitions outnumber differences."""
+@cache
+def plan(band: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[int, int, int, np.ndarray]:
+    """A band's first partitions, second partitions of each, how many of those a subset leaves out, and the subsets as rows of marks.
+
+    Few differences need one first partition only. Beyond that each one bears a single difference, and there are so many
+    that the sound ones outnumber those that the band's largest sets can spoil.
+    """
     largest = (2 << band) - 1
-    return 4 * largest + 8 if largest < 32 else int(largest / 2.4) + 12
+    most = most_different(largest, largest, numerator, denominator)
+    if most <= 4:
+        first, second, spared = 1, most + (3 if most <= 2 else 2) if most else 1, most
+    else:
+        first, second, spared = int(0.56 * most) + 4, 3, 1
+    marks = np.zeros((len(chosen := list(combinations(range(second), second - spared))), second), bool)
+    for row, subset in enumerate(chosen):
+        marks[row, list(subset)] = True
+    return first, second, spared, marks
 
 
 def signatures(hashes: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
-    """The bands a set takes part in, as (band, filled partitions, most differences), and each one's signatures."""
+    """The bands a set takes part in, as (band, sound first partitions, how many a similar pair can spoil), and each one's signatures."""
     size = len(hashes)
     band, widest = size.bit_length() - 1, size * denominator // numerator
     bands, made, short = [], [], False
+    scrambled = np.sort(mix(hashes))
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(scrambled), dtype=np.uint64)))
     for j in range(band, widest.bit_length()):
-        partner = min(widest, (2 << j) - 1)
-        k = most_different(size, partner, numerator, denominator)
-        # A partition is a run of the scrambled hashes, so each signature is a sum over a run.
-        scrambled = np.sort(mix(hashes + np.uint64(j + 1)))
-        part = ((scrambled >> np.uint64(32)) * np.uint64(parts_of(j))) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        made.append(mix(np.add.reduceat(mix(scrambled), first) + np.uint64(j)))
-        bands.append((j, len(first), k))
-        short |= len(first) <= k
+        first, second, spared, subsets = plan(j, numerator, denominator)
+        most = most_different(size, min(widest, (2 << j) - 1), numerator, denominator)
+        # A second partition is a run of the scrambled hashes, so what it holds is a sum over a run.
+        part = (scrambled >> np.uint64(32)) * np.uint64(first * second) >> np.uint64(32)
+        edge = np.searchsorted(part, np.arange(first * second + 1, dtype=np.uint64))
+        filled = (np.diff(edge) > 0).reshape(first, second)
+        held = (upto[edge[1:]] - upto[edge[:-1]]).reshape(first, second)
+        some = filled @ subsets.T
+        content = (held @ subsets.T.astype(np.uint64))[some]
+        made.append(np.unique(mix(content * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))))
+        sound = int((filled.sum(1) > (spared if first > 1 else min(spared, most))).sum())
+        spoilt = most // (spared + 1) if first > 1 else 0
+        bands.append((j, sound, spoilt))
+        short |= sound <= spoilt
     if short:
         made.append(mix(hashes + np.uint64(SINGLES)))
         bands.append((SINGLES, size, size - -(-numerator * size // denominator)))
     return bands, made
 
 
-def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denominator: int, local_few: int) -> DataFrame:
-    def flush(rows: list[tuple[int, int, np.ndarray]], seen: np.ndarray, marked: set[int]) -> Iterator[pa.RecordBatch]:
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins, in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = _runs(*columns)
+    return [c[first] for c in columns], np.diff(np.append(first, len(columns[0])))
+
+
+_OUT = "kind int, a long, b long, j int, n long, doc_id long, bands array<struct<j:int,sound:int,spoilt:int>>"
+_SENT = f"bucket int, block binary, {_OUT}"
+_BANDS = pa.list_(pa.struct([("j", pa.int32()), ("sound", pa.int32()), ("spoilt", pa.int32())]))
+PAIR, COUNT, SPOKE, BRIDGE, SET = range(5)
+
+
+def _rows(kind: int, a, b, j, n) -> dict[str, pa.Array]:
+    signed = lambda x: pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
+    size = len(a)
+    return {"kind": pa.array(np.full(size, kind, np.int32)), "a": signed(a), "b": signed(b), "j": pa.array(np.asarray(j).astype(np.int32)), "n": pa.array(np.asarray(n).astype(np.int64)), "doc_id": pa.nulls(size, pa.int64()), "bands": pa.nulls(size, _BANDS)}
+
+
+def _to_centres(sig: np.ndarray, h1: np.ndarray, band: np.ndarray) -> list[dict[str, pa.Array]]:
+    """Common signatures' members (sorted by signature, then class): how many each class has, and spokes to the smallest class."""
+    first = _runs(sig)
+    centre = np.repeat(h1[first], np.diff(np.append(first, len(sig))))
+    (a, j), n = counted(h1, band)
+    (x, y, k), _ = counted(h1, centre, band)
+    return [_rows(COUNT, a, np.zeros(len(a)), j, n), _rows(SPOKE, x, y, k, np.zeros(len(x)))]
+
+
+def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denominator: int, few: int) -> DataFrame:
+    """Of each document a row for its set, and of each new class its signatures, in blocks dealt to buckets."""
+
+    def sent(bucket: pa.Array, block: pa.Array, rows: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"bucket": bucket, "block": block, **rows})
+
+    def flush(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
+        sizes = [len(r[2]) for r in rows]
         sig = np.concatenate([r[2] for r in rows])
-        h1 = np.repeat(np.array([r[0] for r in rows], np.uint64), [len(r[2]) for r in rows])
-        band = np.repeat(np.array([r[1] for r in rows], np.uint8), [len(r[2]) for r in rows])
-        slot = (sig & np.uint64((1 << 20) - 1)).astype(np.int64)
-        often = seen[slot] >= local_few
-        seen += np.bincount(slot, minlength=1 << 20).astype(np.uint32)
-        kind = np.zeros(len(sig), np.int64)
-        kind[often] = 1
-        if often.any():  # one mark a task for each such signature; its members go by the side
-            some, at = np.unique(sig[often], return_index=True)
-            new = [i for s, i in zip(some.tolist(), np.flatnonzero(often)[at].tolist(), strict=True) if s not in marked]
-            marked.update(sig[new].tolist())
-            sig, h1, band, kind = np.concatenate((sig, sig[new])), np.concatenate((h1, np.full(len(new), MARK))), np.concatenate((band, band[new])), np.concatenate((kind, np.zeros(len(new), np.int64)))
+        h1, band = np.repeat(np.array([r[0] for r in rows], np.uint64), sizes), np.repeat(np.array([r[1] for r in rows], np.uint8), sizes)
+        order = np.lexsort((h1, sig))
+        sig, h1, band = sig[order], h1[order], band[order]
+        first = _runs(sig)
+        size = np.diff(np.append(first, len(sig)))
+        hot = np.repeat(size > few, size)
+        if hot.any():  # the centre stands for all of them in the bucket, marked; the others are counted here
+            rest = hot.copy()
+            rest[first] = False
+            (a, j), n = counted(h1[rest], band[rest])
+            for part in (_rows(COUNT, a, np.zeros(len(a)), j, n), _to_centres(sig[hot], h1[hot], band[hot])[1]):
+                n = len(part["a"])
+                yield sent(pa.array((part["a"].to_numpy() % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), part)
+            band = band.copy()
+            band[first[size > few]] |= COMMON
+            sig, h1, band = sig[~rest], h1[~rest], band[~rest]
         bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        key = kind * buckets + bucket
-        order = np.argsort(key, kind="stable")
-        low, h1, band, key = (sig & np.uint64(0xFFFFFFFF)).astype("<u4")[order], h1[order], band[order], key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        order = np.argsort(bucket, kind="stable")
+        low, h1, band, bucket = (sig & np.uint64(0xFFFFFFFF)).astype("<u4")[order], h1[order], band[order], bucket[order]
+        first = _runs(bucket)
         blocks = []
-        for a, b in zip(first, [*first[1:], len(key)], strict=True):
+        for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
             classes, index = np.unique(h1[a:b], return_inverse=True)
             blocks.append(len(classes).to_bytes(4, "little") + classes.astype("<u8").tobytes() + low[a:b].tobytes() + index.astype("<u2" if len(classes) < 1 << 16 else "<u4").tobytes() + band[a:b].tobytes())
-        n = len(blocks)
-        nothing = pa.array([None] * n, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(1 + key[first] // buckets, pa.int32()), pa.array(key[first] % buckets, pa.int32()), nothing, nothing, nothing, nothing, pa.array([None] * n, _bands()), pa.array(blocks, pa.binary())],
-            names=_names(),
-        )
+        yield sent(pa.array(bucket[first].astype(np.int32)), pa.array(blocks, pa.binary()), {k: pa.nulls(len(blocks), v.type) for k, v in _rows(0, *[np.zeros(0)] * 4).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, marked, sent = np.zeros(1 << 20, np.uint32), set(), set()
+        known: set[int] = set()
         rows, waiting = [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out: list[tuple] = []
-            for doc, text in zip(ids, texts_of(batch), strict=True):
+            ids = batch.column(0)
+            names, sizes, all_bands = [], [], []
+            for text in texts_of(batch):
                 s = shingles(text, words)
-                if not len(s):
-                    out.append((doc, 0, 0, 0, []))
+                h1 = class_of(s)
+                bands, made = signatures(s, numerator, denominator) if len(s) else ([], [])
+                names.append(h1)
+                sizes.append(len(s))
+                all_bands.append([{"j": j, "sound": m, "spoilt": k} for j, m, k in bands])
+                if not len(s) or h1 in known:
                     continue
-                h1 = int(mix(np.array([int(s.sum(dtype=np.uint64)) ^ len(s)], np.uint64))[0]) or 1
-                h2 = int(mix(s).sum(dtype=np.uint64))
-                bands: list[tuple[int, int, int]] = []
-                bands, made = signatures(s, numerator, denominator)
-                out.append((doc, len(s), h1, h2, bands))
-                if h1 in sent:
-                    continue
-                if len(sent) > 200_000:
-                    sent.clear()
-                sent.add(h1)
+                if len(known) > 200_000:
+                    known.clear()
+                known.add(h1)
                 rows += [(h1, b[0], m) for b, m in zip(bands, made, strict=True)]
                 waiting += sum(map(len, made))
-                if waiting > 1 << 18:
-                    yield from flush(rows, seen, marked)
+                if waiting > FLUSH:
+                    yield from flush(rows)
                     rows, waiting = [], 0
-            n = len(out)
-            signed = lambda k: pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), pa.array([None] * n, pa.int32()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), signed(2), signed(3), pa.array([[{"j": j, "m": m, "k": k} for j, m, k in r[4]] for r in out], _bands()), pa.array([None] * n, pa.binary())],
-                names=_names(),
-            )
-        yield from flush(rows, seen, marked)
-        pa.default_memory_pool().release_unused()  # workers live on: what this pass held goes back
-
-    return docs.mapInArrow(run, _SCHEMA)
+            own = _rows(SET, np.array(names, np.uint64), np.zeros(len(names)), np.zeros(len(names)), np.array(sizes, np.int64))
+            own |= {"doc_id": ids, "bands": pa.array(all_bands, _BANDS)}
+            yield sent(pa.array((np.arange(len(names)) % buckets).astype(np.int32)), pa.nulls(len(names), pa.binary()), own)
+        yield from flush(rows)
+        give_back()
 
-
-def _bands() -> pa.DataType:
-    return pa.list_(pa.struct([("j", pa.int32()), ("m", pa.int32()), ("k", pa.int32())]))
-
-
-def _names() -> list[str]:
-    return ["kind", "bucket", "doc_id", "n", "h1", "h2", "bands", "block"]
+    return docs.mapInArrow(run, _SENT)
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,37 +274,32 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, classes[index], np.frombuffer(block, np.uint8, rows, at + (4 + wide) * rows)
 
 
-def _bucket_pass(blocks: DataFrame, few: int) -> DataFrame:
-    """Of each bucket: 0 = counted pairs (a, b), 1 = how many common signatures a class has, 2 = common signatures' members, n how often each occurs."""
-
-    def rows(kind: int, a, b, j, n) -> pa.Table:
-        signed = lambda x: pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
-        return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": signed(a), "b": signed(b), "j": pa.array(j.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+def _bucket_pass(sent: DataFrame, few: int) -> DataFrame:
+    """Of each bucket: counted pairs of classes, counts and spokes of common signatures, and the sets' rows as they came."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = [unpack(x.as_py()) for x in table.column("block").combine_chunks()] if table.num_rows else []
+        through = table.filter(pa.compute.is_null(table.column("block"))).select(["kind", "a", "b", "j", "n", "doc_id", "bands"])
+        found = [unpack(x.as_py()) for x in table.column("block").drop_null().combine_chunks()]
+        del table
+        if not found:
+            return through
         low, h1, band = (np.concatenate([f[i] for f in found]) for i in range(3))
+        del found
+        mark, band = band & COMMON, band & (COMMON - 1)
         sig = low.astype(np.uint64) << np.uint64(8) | band
         order = np.lexsort((h1, sig))
-        sig, h1, band = sig[order], h1[order], band[order]
-        own = np.concatenate(([True], (sig[1:] != sig[:-1]) | (h1[1:] != h1[:-1])))
-        sig, h1, band = sig[own], h1[own], band[own]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        sig, h1, band, mark = sig[order], h1[order], band[order], mark[order]
+        stands, its = sig[mark > 0], h1[mark > 0]  # tasks' centres of what they have found common
+        first = _runs(sig, h1)
+        sig, h1, band = sig[first], h1[first], band[first]
+        first = _runs(sig)
         size = np.diff(np.append(first, len(sig)))
-        marked = h1[first] == MARK
-        common = np.repeat((size > few) | marked, size)
-        often = np.repeat(np.where(marked, OFTEN, size), size)
-        keep = np.repeat(size > 1, size)
-        hot = common & (h1 != MARK)
-        out = []
-        c_sig, c_h1, c_band, often = sig[hot], h1[hot], band[hot], often[hot]
-        if len(c_h1):
-            by = np.lexsort((c_band, c_h1))
-            x, y = c_h1[by], c_band[by]
-            at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-            out.append(rows(1, x[at], np.zeros(len(at)), y[at], np.diff(np.append(at, len(x)))))
-            out.append(rows(2, c_h1, c_sig | np.uint64(key[0].as_py()) << np.uint64(40), c_band, often))
-        rest = keep & ~common
+        common = np.repeat((size > few) | np.isin(sig[first], stands), size)
+        out = _to_centres(sig[common], h1[common], band[common]) if common.any() else []
+        if len(stands):
+            (a, b), _ = counted(its, h1[first][np.searchsorted(sig[first], stands)])
+            out.append(_rows(BRIDGE, a, b, np.zeros(len(a)), np.zeros(len(a))))
+        rest = np.repeat(size > 1, size) & ~common
         sig, h1, band = sig[rest], h1[rest], band[rest]
         a, b, j = [], [], []
         for d in range(1, few):
@@ -257,194 +310,217 @@ def _bucket_pass(blocks: DataFrame, few: int) -> DataFrame:
             b.append(h1[same + d])
             j.append(band[same])
         if a:
-            a, b, j = np.concatenate(a), np.concatenate(b), np.concatenate(j)
-            by = np.lexsort((j, b, a))
-            a, b, j = a[by], b[by], j[by]
-            at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (j[1:] != j[:-1]))))
-            out.append(rows(0, a[at], b[at], j[at], np.diff(np.append(at, len(a)))))
-        pa.default_memory_pool().release_unused()
-        return pa.concat_tables(out) if out else rows(0, *[np.zeros(0)] * 4)
-
-    return blocks.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, j int, n long")
-
-
-def _side_rows(side: DataFrame, buckets_bits: int = 40) -> DataFrame:
-    """Members of signatures that a task has met very often, in the form of the bucket pass's kind 2."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low, h1, band = unpack(block)
-                sig = low.astype(np.uint64) << np.uint64(8) | band | np.uint64(bucket) << np.uint64(buckets_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(sig.view(np.int64)), pa.array(band.astype(np.int32))], names=["a", "b", "j"])
+            (a, b, j), n = counted(*map(np.concatenate, (a, b, j)))
+            out.append(_rows(PAIR, a, b, j, n))
+        give_back()
+        return pa.concat_tables([through.cast(pa.table(_rows(0, *[np.zeros(0)] * 4)).schema), *map(pa.table, out)])
 
-    return side.select("bucket", "block").mapInArrow(run, "a long, b long, j int").distinct()
+    return sent.groupBy("bucket").applyInArrow(run, _OUT)
 
 
-def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``id`` and ``items`` of the documents in ``ids``. Sets are made again for these only."""
+def _sets(classes: DataFrame, docs: DataFrame, words: int, folder: str) -> DataFrame:
+    """``id`` (the class) and ``items`` of the ``classes`` (id, rep). Sets are made again for these only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
             for i in range(0, len(texts), 256):
-                made = [shingles(t, words).view(np.int64) for t in texts[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(made)), pa.array(made, pa.list_(pa.int64()))], names=["id", "items"])
+                made = [shingles(t, words) for t in texts[i : i + 256]]
+                names = np.array([class_of(s) for s in made], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "items"])
+        give_back()
 
-    if ids.count() <= MOST_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    return scratch.written(texts.select("doc_id", "text").mapInArrow(run, "id long, items array<long>"), "jaccard-sets")
+    ids = classes.select("rep").distinct()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, docs["doc_id"] == ids["rep"], "left_semi")
+    made = texts.select("text").mapInArrow(run, "id long, items array<long>")
+    return scratch.written(made.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets", folder)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose sets are similar."""
-    ids = scratch.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
-    made = _sets(ids, docs, words)
-    left, right = made.select(F.col("id").alias("a"), F.col("items").alias("left")), made.select(F.col("id").alias("b"), F.col("items").alias("right"))
-    if (made.agg(F.sum(F.size("items"))).first()[0] or 0) * 8 <= MOST_BROADCAST_BYTES:
-        left, right = F.broadcast(left), F.broadcast(right)
-    met = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("left", "right")))
-    return met.where(denominator * F.col("both") >= numerator * (F.size("left") + F.size("right") - F.col("both"))).select("a", "b")
+def link(ids: np.ndarray, labels: np.ndarray, items: np.ndarray, sizes: np.ndarray, numerator: int, denominator: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the components of some sets, given the labels that the sets have: exact.
 
-
-def link_cluster(ids: np.ndarray, labels: np.ndarray, items: np.ndarray, sizes: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """Links that join a cluster's components, given the labels that it has: exact, one set against all at a time.
-
-    A set whose component is not the largest is compared with all others through an index of the shingles; when all
-    such have had their turn, every pair of different components has been compared.
+    The sets in ``asked`` (by default all outside the largest component, until none is left) are compared in turn with
+    all sets of other labels that share one of their rarest shingles: of n shingles a partner must share one of the
+    n - ceil(t n) + 1 rarest, and has it among its own rarest.
     """
     n = len(ids)
-    order = np.argsort(items, kind="stable")
-    kept = items[order]
-    named = np.zeros(len(items), np.int32)
-    np.cumsum(kept[1:] != kept[:-1], out=named[1:])
-    names = np.empty_like(named)
-    names[order] = named
-    holders, start = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], np.concatenate(([0], np.cumsum(np.bincount(named))))
-    del order, kept, named
+    _, named, often = np.unique(items, return_inverse=True, return_counts=True)
     ends = np.concatenate(([0], np.cumsum(sizes)))
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((named, often[named], owner))  # each set's shingles, rarest first
+    named = named[order]
+    ahead = sizes + 1 - -(-numerator * sizes // denominator)
+    front = np.arange(len(named)) - np.repeat(ends[:-1], sizes) < np.repeat(ahead, sizes)
+    by = np.argsort(named[front], kind="stable")
+    holders, start = owner[front][by], np.concatenate(([0], np.cumsum(np.bincount(named[front], minlength=len(often)))))
     label = np.unique(labels, return_inverse=True)[1]
-    done, links = np.zeros(n, bool), []
-    while True:
-        counts = np.bincount(label)
-        waiting = np.flatnonzero(~done & (label != counts.argmax()))
-        if not len(waiting):
-            return links
-        x = waiting[0]
+    held, links = np.zeros(len(often), bool), []
+    waiting, largest = (np.arange(n), int(np.bincount(label).argmax())) if asked is None else (np.flatnonzero(asked), -1)
+    turns, done = waiting.tolist(), np.zeros(n, bool)
+    while turns:
+        x = turns.pop()
+        if label[x] == largest:
+            continue
         done[x] = True
-        own = names[ends[x] : ends[x + 1]]
-        both = np.bincount(np.concatenate([holders[start[k] : start[k + 1]] for k in own]), minlength=n)
-        similar = np.flatnonzero((denominator * both >= numerator * (sizes[x] + sizes - both)) & (label != label[x]))
-        for y in similar:
-            if label[y] != label[x]:
-                links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
-                label[label == label[y]] = label[x]
+        lists = [holders[start[k] : start[k + 1]] for k in named[ends[x] : ends[x] + ahead[x]]]
+        near = np.unique(np.concatenate(lists))
+        near = near[(label[near] != label[x]) & (denominator * sizes[near] >= numerator * sizes[x]) & (denominator * sizes[x] >= numerator * sizes[near])]
+        if not len(near):
+            continue
+        own = named[ends[x] : ends[x + 1]]
+        held[own] = True
+        counts = sizes[near]
+        at = np.cumsum(counts) - counts
+        every = np.arange(counts.sum()) + np.repeat(ends[near] - at, counts)
+        both = np.add.reduceat(held[named[every]].astype(np.int64), at)
+        held[own] = False
+        similar = near[denominator * both >= numerator * (sizes[x] + counts - both)]
+        if len(similar):
+            parts, at = np.unique(label[similar], return_index=True)
+            links += [(int(ids[x]), int(ids[y])) for y in similar[at]]
+            label[np.isin(label, parts)] = label[x]
+            if asked is None:
+                now = int(np.bincount(label).argmax())
+                if now != largest:  # those that were left out as members of another component have their turn
+                    turns, largest = np.flatnonzero(~done).tolist(), now
+    return links
+
+
+def _table(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lists = table.column("items").combine_chunks()
+    return table.column("id").to_numpy(), table.column("label").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
 def _linked_clusters(table: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links within each cluster of bounded size: ``cluster``, ``id``, ``label``, ``items``."""
+    """Links within clusters of bounded size, many in a task: ``bin``, ``cluster``, ``id``, ``items``."""
 
     def run(rows: pa.Table) -> pa.Table:
-        lists = rows.column("items").combine_chunks()
-        links = link_cluster(rows.column("id").to_numpy(), rows.column("label").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), numerator, denominator)
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return table.groupBy("cluster").applyInArrow(run, "a long, b long")
-
-
-def _hub_rounds(hot: DataFrame, labels: DataFrame, nodes: DataFrame, edges: DataFrame, pairs: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """Links among the sets of clusters too large for a task: hubs of each common signature against its other members, in rounds."""
-    # Signatures with the same members say the same: one of them is enough.
-    same = hot.groupBy("sig").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("members > 1").groupBy("members", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    hot = scratch.written(hot.join(same, "sig"), "jaccard-common")
-    used: DataFrame | None = None
-    checked, turn = pairs, 0
-    while True:
-        at = hot.join(labels.select(F.col("id").alias("rep"), "label"), "rep")
-        if used is not None:
-            at = at.join(used.withColumn("was", F.lit(True)), ["sig", "rep"], "left")
+        rows = rows.sort_by("cluster")
+        cluster = rows.column("cluster").to_numpy()
+        first, links = _runs(cluster), []
+        for a, b in zip(first, [*first[1:], len(cluster)], strict=True):
+            ids, _, items, sizes = _arrays(rows.slice(a, b - a))
+            links += link(ids, ids, items, sizes, numerator, denominator)
+        give_back()
+        return _table(links)
+
+    return table.select("bin", "cluster", "id", F.col("id").alias("label"), "items").groupBy("bin").applyInArrow(run, "a long, b long")
+
+
+def _linked_blocks(asked: DataFrame, all_sets: DataFrame, most_items: int, numerator: int, denominator: int) -> DataFrame:
+    """Links between ``asked`` sets and all sets of their clusters with other labels, in blocks against shares.
+
+    Both: ``cluster``, ``id``, ``label``, ``n``, ``items``. Blocks and shares hold about ``most_items`` shingles each.
+    """
+
+    def parts(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy("cluster").agg(F.ceil(F.sum("n") / most_items).cast("int").alias(name))
+
+    many, wide = parts(asked, "blocks"), parts(all_sets, "shares")
+    left = asked.join(wide, "cluster").join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    right = all_sets.join(many, "cluster").join(wide, "cluster").withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    kept = ["cluster", "block", "share", "id", "label", "items"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([])
+        right = right.rename_columns(kept)
+        right = right.filter(pa.compute.invert(pa.compute.is_in(right.column("id"), left.column("id").combine_chunks())))
+        ids, labels, items, sizes = (np.concatenate(x) for x in zip(_arrays(left), _arrays(right), strict=True))
+        links = link(ids, labels, items, sizes, numerator, denominator, np.arange(len(ids)) < left.num_rows)
+        give_back()
+        return _table(links)
+
+    left, right = left.select(kept).toDF(*kept), right.select(kept).toDF(*[f"o_{c}" for c in kept])
+    return left.groupBy(kept[:3]).cogroup(right.groupBy(right.columns[:3])).applyInArrow(run, "a long, b long")
+
+
+def _linked_large(members: DataFrame, most_items: int, numerator: int, denominator: int, folder: str) -> DataFrame:
+    """Links within clusters beyond ``most_items``: ``cluster``, ``id``, ``n``, ``degree``, ``items``."""
+    edges: DataFrame | None = None
+    for turn in range(len(HUBS) + 1):
+        sets = members.withColumn("label", F.col("id"))
+        if edges is not None:
+            labels = connected(edges, folder)
+            sets = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        by_label = sets.groupBy("cluster", "label").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
+        largest = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        left = largest.where("all > most")
+        if left.isEmpty():
+            break
+        rest = sets.join(left, "cluster").where("label <> largest")
+        if turn < len(HUBS):
+            # Near copies mostly share a centre, so those with the most spokes come first.
+            place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("degree").desc(), "id"))
+            chosen = rest.select("cluster", "id", "degree").withColumn("place", place).where(F.col("place") <= HUBS[turn]).select("id")
+            asked = sets.join(chosen, "id")
         else:
-            at = at.withColumn("was", F.lit(None).cast("boolean"))
-        # A signature is done when its members are one component, or none but one component's are left to be a hub.
-        at = scratch.written(at, "jaccard-members")
-        free = F.when(F.col("was").isNull(), F.col("label"))
-        open_sigs = at.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(free).alias("free_low"), F.max(free).alias("free_high")).where("low < high and free_low < free_high").select("sig")
-        # The first hub usually joins a group of near copies; what is left then takes turns, several at a time.
-        candidates = at.where("was is null").join(open_sigs, "sig")
-        hubs = candidates.groupBy("sig", F.pmod("rep", F.lit(HUBS[min(turn, len(HUBS) - 1)])).alias("turn")).agg(F.min_by(F.struct("rep", "n", "label"), "rep").alias("hub")).select("sig", "hub")
-        hubs = scratch.written(hubs, "jaccard-hubs")
-        if hubs.isEmpty():
-            return edges
-        turn += 1
-        tried = hubs.select("sig", F.col("hub.rep").alias("rep"))
-        used = scratch.written(tried if used is None else used.union(tried), "jaccard-used")
-        met = at.join(hubs, "sig").where((F.col("label") != F.col("hub.label")) & (F.col("n") * denominator >= F.col("hub.n") * numerator) & (F.col("hub.n") * denominator >= F.col("n") * numerator))
-        pairs = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        pairs = scratch.written(pairs, "jaccard-pairs")
-        checked = checked.union(pairs)
-        more = scratch.written(_verified(pairs, docs, words, numerator, denominator), "jaccard-edges")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = connected(nodes, edges)
-
-
-def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, local_few: int = LOCAL_FEW, most_items: int = CLUSTER_ITEMS) -> DataFrame:
+            asked = rest.select(sets.columns)
+        found = scratch.written(_linked_blocks(asked, sets.join(left.select("cluster"), "cluster", "left_semi"), most_items, numerator, denominator), "links", folder)
+        edges = found if edges is None else edges.union(found)
+    return edges if edges is not None else members.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, most_items: int = CLUSTER_ITEMS) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Two documents are linked when ``denominator`` times their common shingles are at least ``numerator`` times the union.
     """
     spark = docs.sparkSession
+    folder, kept = scratch.new_path(spark, "jaccard"), scratch.new_path(spark, "jaccard-result")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total * ROWS_A_BYTE / BUCKET_ROWS) + 6
-    first = scratch.written(_map_pass(docs, buckets, words, numerator, denominator, local_few), "jaccard-signatures")
-    sets = first.where("kind = 0").select("doc_id", "n", "h1", "h2", "bands")
-    found = scratch.written(_bucket_pass(first.where("kind = 1").select("bucket", "block"), few), "jaccard-buckets")
-    side = _side_rows(first.where("kind = 2"))
-
-    # One row for each class of equal sets and band: its smallest document, filled partitions, differences, common signatures.
-    classes = scratch.written(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "jaccard-classes")
-    members = found.where("kind = 2").select("a", "b", "j", F.col("n").alias("often"))
-    common = found.where("kind = 1").select("a", "j", "n").union(side.groupBy("a", "j").agg(F.count("*").alias("n"))).groupBy("a", "j").agg(F.sum("n").alias("common"))
-    by_band = classes.select("h1", "rep", "n", F.explode("bands").alias("x")).select("h1", "rep", "n", "x.j", "x.m", "x.k")
-    by_band = by_band.join(common, (by_band["h1"] == common["a"]) & (by_band["j"] == common["j"]), "left").select("h1", "rep", "n", by_band["j"], "k", (F.col("m") - F.coalesce("common", F.lit(0))).alias("left"))
-    by_band = scratch.written(by_band, "jaccard-bands")
-
-    info = lambda p: by_band.select(*[F.col(c).alias(f"{p}_{c}") for c in ("h1", "rep", "n", "j", "k", "left")])
-    counted = found.where("kind = 0").groupBy("a", "b", "j").agg(F.sum("n").alias("agree"))
-    pairs = counted.join(info("l"), (F.col("a") == F.col("l_h1")) & (F.col("j") == F.col("l_j"))).join(info("r"), (F.col("b") == F.col("r_h1")) & (F.col("j") == F.col("r_j")))
+    found = scratch.written(_bucket_pass(_map_pass(docs, buckets, words, numerator, denominator, few), few), "buckets", kept)
+    sets = found.where(F.col("kind") == SET).select("doc_id", F.col("a").alias("h1"), "n", "bands")
+
+    # One row for each class of equal sets: its smallest document, and by band what it keeps without common signatures.
+    classes = scratch.written(sets.where("n > 0 and doc_id is not null").groupBy("h1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes", folder)
+    common = found.where(F.col("kind") == COUNT).groupBy("a", "j").agg(F.sum("n").alias("common"))
+    by_band = classes.select("h1", "rep", "n", F.explode("bands").alias("x")).select("h1", "rep", "n", "x.j", F.col("x.sound").alias("sound"), F.col("x.spoilt").alias("spoilt"))
+    by_band = by_band.join(common, (by_band["h1"] == common["a"]) & (by_band["j"] == common["j"]), "left").select("h1", "n", by_band["j"], "spoilt", (F.col("sound") - F.coalesce("common", F.lit(0))).alias("left"))
+    by_band = scratch.written(by_band, "bands", folder)
+
+    info = lambda p: by_band.select(*[F.col(c).alias(f"{p}_{c}") for c in ("h1", "n", "j", "spoilt", "left")])
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b", "j").agg(F.sum("n").alias("agree"))
+    pairs = pairs.join(info("l"), (F.col("a") == F.col("l_h1")) & (F.col("j") == F.col("l_j"))).join(info("r"), (F.col("b") == F.col("r_h1")) & (F.col("j") == F.col("r_j")))
     sizes = (F.col("l_n") * denominator >= F.col("r_n") * numerator) & (F.col("r_n") * denominator >= F.col("l_n") * numerator)
-    pairs = pairs.where(sizes & (F.col("agree") >= F.greatest(F.col("l_left") - F.col("l_k"), F.col("r_left") - F.col("r_k"))))
-    pairs = pairs.select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).distinct()
-    pairs = scratch.written(pairs, "jaccard-pairs")
-    edges = scratch.written(_verified(pairs, docs, words, numerator, denominator), "jaccard-edges")
-
-    # Sets that common signatures leave too few others: compared through those.
-    unsafe = by_band.where("left <= k").select("h1", F.col("j").alias("band"), "rep", "n", (F.col("k") + 1 - F.col("left")).alias("need"))
-    every = members.union(side.select("a", "b", "j", F.lit(OFTEN).alias("often"))).groupBy("a", "j").agg(F.sort_array(F.collect_list(F.struct("often", "b"))).alias("sigs"))
-    # k + 1 signatures are enough for a set if all take the rarest first.
-    hot = every.join(unsafe, (F.col("a") == F.col("h1")) & (F.col("j") == F.col("band"))).select(F.explode(F.slice("sigs", F.lit(1), F.greatest("need", F.lit(0)))).alias("x"), "rep", "n")
-    hot = scratch.written(hot.select(F.col("x.b").alias("sig"), "rep", "n"), "jaccard-common")
-    nodes = classes.select(F.col("rep").alias("id"))
-    labels = connected(nodes, edges)
-    # Sets that could be linked through common signatures are in one cluster of the graph of signatures and sets.
-    centre = hot.groupBy("sig").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    spokes = hot.join(centre, "sig").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    clusters = connected(spokes.select(F.col("a").alias("id")).union(spokes.select(F.col("b").alias("id"))).distinct(), spokes).select("id", F.col("label").alias("cluster"))
-    clusters = clusters.join(labels, "id").join(hot.select(F.col("rep").alias("id"), "n").distinct(), "id")
-    clusters = scratch.written(clusters, "jaccard-clusters")
-    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    small = clusters.join(sizes.where(F.col("total") <= most_items).select("cluster"), "cluster").select("cluster", "id", "label")
-    small = scratch.written(small, "jaccard-small")
-    made = _sets(small.select("id").distinct(), docs, words)
-    edges = scratch.written(edges.union(_linked_clusters(small.join(made, "id"), numerator, denominator)), "jaccard-edges")
-    large = clusters.join(sizes.where(F.col("total") > most_items).select("cluster"), "cluster").select(F.col("id").alias("rep"))
-    hot = scratch.written(hot.join(large, "rep", "left_semi"), "jaccard-common")
-    labels = connected(nodes, edges)
-    if not hot.isEmpty():
-        labels = connected(nodes, edges.union(_hub_rounds(hot, labels, nodes, edges, pairs, docs, words, numerator, denominator)))
-    linked = labels.where("id <> label")
-    roots = classes.join(linked, classes["rep"] == linked["id"], "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("label", "rep").alias("root"))
-    out = sets.join(roots, (sets["h1"] == roots["h1"]) & (sets["h2"] == roots["h2"]) & (sets["n"] == F.col("size")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    pairs = pairs.where(sizes & (F.col("agree") >= F.greatest(F.col("l_left") - F.col("l_spoilt"), F.col("r_left") - F.col("r_spoilt")))).select("a", "b")
+
+    # Sets that common signatures leave too few others: their spokes to the centres of those.
+    unsafe = by_band.where("left <= spoilt").select("h1", F.col("j").alias("band"))
+    spokes = found.where(F.col("kind") == SPOKE).join(unsafe, (F.col("a") == F.col("h1")) & (F.col("j") == F.col("band"))).select("a", F.xxhash64(F.lit("centre"), "b").alias("b"))
+    centre = lambda c: F.xxhash64(F.lit("centre"), c)
+    bridges = found.where(F.col("kind") == BRIDGE).where("a <> b").select(centre("a").alias("a"), centre("b").alias("b"))
+    graph = scratch.written(pairs.union(spokes).union(bridges).distinct(), "graph", folder)
+    clusters = connected(graph, folder).select("id", F.col("label").alias("cluster"))
+    degree = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+    members = clusters.join(classes.select(F.col("h1").alias("id"), "rep", "n"), "id").join(degree, "id", "left").fillna(0, ["degree"])
+    members = scratch.written(members, "members", folder)
+    totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1").select("cluster", "total")
+    members = scratch.written(members.join(totals, "cluster"), "clusters", folder)
+    every = members.agg(F.sum("n")).first()[0] or 0
+    made = _sets(members.select("id", "rep"), docs, words, folder)
+    bins = int(every // most_items) + 1
+    small = members.where(F.col("total") <= most_items).withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int")).select("bin", "cluster", "id").join(made, "id")
+    edges = scratch.written(_linked_clusters(small, numerator, denominator), "edges", folder)
+    large = members.where(F.col("total") > most_items).select("cluster", "id", "n", "degree")
+    if not large.isEmpty():
+        large = scratch.written(large.join(made, "id"), "large", folder)
+        edges = edges.union(_linked_large(large, most_items, numerator, denominator, folder))
+
+    # Different texts under one id link their sets; then each class has the smallest document of its component.
+    texts = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("last")).where("a < last")
+    more = sets.where("n > 0").join(texts.select("doc_id", "a"), "doc_id").select("a", F.col("h1").alias("b"))
+    labels = connected(edges.union(more), folder)
+    several = classes.join(labels, classes["h1"] == labels["id"], "left").select("h1", "rep", "last", "label").where("label is not null or rep < last")
+    roots = several.where("label is not null").groupBy("label").agg(F.min("rep").alias("root"))
+    linked = several.join(roots, "label", "left").select(F.col("h1").alias("of"), F.coalesce("root", "rep").alias("root"))
+    linked = scratch.written(linked, "roots", kept)
+    scratch.remove(spark, folder)
+    out = sets.join(linked, sets["h1"] == linked["of"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import scratch
-from millrace.llm.common import texts_of
+from millrace.llm.common import give_back, texts_of
 
 WINDOW = 2048
 END_ID = 1
 #: So many partitions' totals (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Words, and stems of words, whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: The characters that byte-level vocabularies show for the 256 bytes: a printable one for itself, the others from 256 upwards.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SHOWN = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
@@ -125,6 +125,7 @@ def token_table(docs: DataFrame, make: Callable[[], Callable[[str], bytes]], end
                     names=["doc_id", "part", "before", "n_ids", "ids"],
                 )
                 first = last
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return scratch.written(rows.mapInArrow(run, "doc_id long, part long, before long, n_ids long, ids binary"), "packing-ids")

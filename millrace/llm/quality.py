@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_chunks
+from millrace.llm.common import byte_chunks, give_back
 
 BITS, MOST_TEXTS, STEPS = 18, 3000, 150
 
@@ -187,5 +187,6 @@ def score_table(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str =
                         z += float((weights[names] * np.sqrt(n)).sum(dtype=float) / np.sqrt(n.sum()))
                     scores.append(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")

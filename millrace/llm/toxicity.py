@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_chunks
+from millrace.llm.common import byte_chunks, give_back
 
 BITS, SIZES = 20, (3, 4, 5)
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
@@ -146,6 +146,7 @@ def score_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             scores = np.fromiter((known.score(f) for f in features(batch.column(1), seen)), np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -160,5 +161,6 @@ def filter_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, te
         for batch in batches:
             clean = [known.score(f) < threshold for f in features(batch.column(at), seen)]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -75,8 +75,14 @@ def test_pieces_equal_the_library(docs, odd):
     assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and row["n_tokens"] == len(ids)
 
 
+def plain_shingles(text):
+    """Five-word shingles by the definition, with none of the operator's code."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute_components(rows):
-    sets = {d: set(jaccard_join.shingles(t or "").tolist()) for d, t in rows}
+    sets = {d: plain_shingles(t) for d, t in rows}
     over = {d: d for d in sets}
 
     def root(x):
@@ -94,7 +100,7 @@ def brute_components(rows):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"few": 3, "local_few": 4}, {"few": 3, "most_items": 1}])
+@pytest.mark.parametrize("options", [{}, {"few": 2}, {"few": 2, "most_items": 1}, {"few": 3, "most_items": 900}])
 def test_jaccard_join_equals_brute_force(spark, options):
     random.seed(7)
     vocabulary, rows, n = [f"w{i}" for i in range(2000)], [], 0
@@ -115,7 +121,35 @@ def test_jaccard_join_odd_rows(odd, empty):
     found = jaccard_join.jaccard_join(odd)
     assert found.count() == len(ODD) and jaccard_join.jaccard_join(empty).count() == 0
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
-    assert rows[1] == (0, 1) and rows[3] == (0, 3) and rows[5] == (2, 5)
+    assert rows[1] == (0, 1) and rows[3] == (0, 3) and rows[5] == (2, 5) and rows[None] == (1, None)
+
+
+def test_jaccard_join_one_id_with_two_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, "one short text of six words"), (7, long), (3, long + " more"), (9, "one short text of six words"), (9, None), (4, "alone here")]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 57, 3), (4, 1, 4), (7, 2, 3), (7, 56, 3), (9, 0, 9), (9, 2, 3)]
+
+
+def test_partenum_signatures_hold_the_guarantee():
+    rng = np.random.default_rng(3)
+    made = []
+    for size in [1, 2, 3, 4, 6, 7, 8, 12, 15, 16, 24, 31, 32, 50, 63, 64, 100, 127, 128, 200, 500, 1500]:
+        for _ in range(12):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            # A partner at the threshold: as many shingles gone and come as it allows.
+            gone = rng.integers(0, len(a) // 4 + 1)
+            come = max(0, (100 * (len(a) - gone) - 75 * len(a)) // 75)
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 2**63, come).astype(np.uint64))))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= 75 * (len(a) + len(b) - both)
+            (bands_a, sigs_a), (bands_b, sigs_b) = jaccard_join.signatures(a), jaccard_join.signatures(b)
+            assert len(np.intersect1d(np.concatenate(sigs_a), np.concatenate(sigs_b)))
+            # The count filter: in some band both take part in, they agree as often as either's sound partitions ask.
+            common = [(x, y, i, k) for i, x in enumerate(bands_a) for k, y in enumerate(bands_b) if x[0] == y[0]]
+            assert any(len(np.intersect1d(sigs_a[i], sigs_b[k])) >= max(1, x[1] - x[2], y[1] - y[2]) for x, y, i, k in common)
+            made.append(sum(map(len, sigs_a)) / len(a))
+    assert np.mean(made[-48:]) < 1.6  # signatures a shingle
 
 
 def test_top_inner(spark):
