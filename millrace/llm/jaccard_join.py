@@ -16,9 +16,10 @@ is untouched and gives both sets the same signature.
   keeps enough sound partitions without them loses nothing by that. The others are joined to their common signatures'
   centres: two of them that share one are in one cluster.
 * Candidates' clusters are verified on the whole sets. Clusters of bounded size are compared in tasks, many in each, by
-  a prefix filter that takes a cluster's rarest shingles first. In a larger one hubs meet all others first, in tasks of
-  bounded shares; then what is outside the largest component meets all others, in blocks against shares. Links that
-  components imply are not counted again. No cap, no sample: every link between different texts is found or implied.
+  a prefix filter that takes a cluster's rarest shingles first. Larger ones are cut anew by the same filter over all
+  their sets, which takes apart what only a passage holds together. In one that stays large hubs meet all others first,
+  in tasks of bounded shares; then what is outside the largest component meets all others, in blocks against shares.
+  Links that components imply are not counted again. No cap, no sample: every link between different texts is found or implied.
 
 Signatures travel as numpy blocks in one shuffle, dealt by hash to as many buckets as the input's bytes call for. What a
 task holds of one signature beyond ``FEW`` classes stays out of it: those classes go to the centre directly, so no
@@ -51,9 +52,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A signature of more classes than this is common.
 FEW = 8
 #: Shingles of the sets that a task compares at a time; larger clusters are compared by hubs and in blocks.
-CLUSTER_ITEMS = 250_000
+CLUSTER_ITEMS = 500_000
 #: Hubs of each large cluster in the rounds before its blocks.
-HUBS = (1, 8, 64)
+HUBS = (1, 16)
 #: Ids that are broadcast to pick documents (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST_IDS = 200_000
 #: Signatures in a bucket, and signatures made of a byte of text, for the number of buckets.
@@ -439,8 +440,39 @@ def _linked_blocks(asked: DataFrame, all_sets: DataFrame, most_items: int, numer
     return left.groupBy(kept[:3]).cogroup(right.groupBy(right.columns[:3])).applyInArrow(run, "a long, b long")
 
 
+def _recut(large: DataFrame, numerator: int, denominator: int, folder: str) -> DataFrame:
+    """Clusters beyond the bound (``id``, ``n``, ``items``) cut anew: ``id`` and ``cluster``.
+
+    Over all these sets the shingles are counted, and of each set's n shingles the n - ceil(t n) + 1 rarest stand for it:
+    similar sets have one of them in common. Passages that many sets share are not among a set's rarest, so what hangs
+    together then is near copies. A shingle's holders meet at the smallest one.
+    """
+    flat = scratch.written(large.select("id", "n", F.explode("items").alias("item")), "items", folder)
+    often = flat.groupBy("item").agg(F.count("*").alias("often"), F.min("id").alias("centre")).where("often > 1")
+    ahead = F.col("n") + 1 - F.ceil(F.col("n") * numerator / denominator)
+    # Shingles that no other set has come first; they join nothing, so only their number matters.
+    held = flat.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item", "centre"))).alias("x"))
+    front = F.slice("x", F.lit(1), F.greatest(ahead - (F.col("n") - F.size("x")), F.lit(0)).cast("int"))
+    spokes = held.select("id", F.explode(F.array_distinct(F.transform(front, lambda x: x["centre"]))).alias("centre"))
+    return connected(spokes.select(F.col("id").alias("a"), F.xxhash64(F.lit("centre"), "centre").alias("b")), folder).select("id", F.col("label").alias("cluster"))
+
+
+def _sized(members: DataFrame, folder: str) -> DataFrame:
+    """``members`` (``cluster``, ``n`` and more) of clusters with several sets, with ``total``, the shingles of the cluster."""
+    totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1").select("cluster", "total")
+    return scratch.written(members.join(totals, "cluster"), "clusters", folder)
+
+
+def _linked_small(members: DataFrame, made: DataFrame, most_items: int, numerator: int, denominator: int, folder: str) -> DataFrame:
+    """Links within the clusters of up to ``most_items`` shingles."""
+    small = members.where(F.col("total") <= most_items)
+    bins = int((small.agg(F.sum("n")).first()[0] or 0) // most_items) + 1
+    small = small.select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("bin"), "cluster", "id").join(made, "id")
+    return scratch.written(_linked_clusters(small, numerator, denominator), "edges", folder)
+
+
 def _linked_large(members: DataFrame, most_items: int, numerator: int, denominator: int, folder: str) -> DataFrame:
-    """Links within clusters beyond ``most_items``: ``cluster``, ``id``, ``n``, ``degree``, ``items``."""
+    """Links within clusters beyond ``most_items``: ``cluster``, ``id``, ``n``, ``items``."""
     edges: DataFrame | None = None
     for turn in range(len(HUBS) + 1):
         sets = members.withColumn("label", F.col("id"))
@@ -454,9 +486,8 @@ def _linked_large(members: DataFrame, most_items: int, numerator: int, denominat
             break
         rest = sets.join(left, "cluster").where("label <> largest")
         if turn < len(HUBS):
-            # Near copies mostly share a centre, so those with the most spokes come first.
-            place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("degree").desc(), "id"))
-            chosen = rest.select("cluster", "id", "degree").withColumn("place", place).where(F.col("place") <= HUBS[turn]).select("id")
+            place = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
+            chosen = rest.select("cluster", "id").withColumn("place", place).where(F.col("place") <= HUBS[turn]).select("id")
             asked = sets.join(chosen, "id")
         else:
             asked = rest.select(sets.columns)
@@ -498,20 +529,18 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR
     bridges = found.where(F.col("kind") == BRIDGE).where("a <> b").select(centre("a").alias("a"), centre("b").alias("b"))
     graph = scratch.written(pairs.union(spokes).union(bridges).distinct(), "graph", folder)
     clusters = connected(graph, folder).select("id", F.col("label").alias("cluster"))
-    degree = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-    members = clusters.join(classes.select(F.col("h1").alias("id"), "rep", "n"), "id").join(degree, "id", "left").fillna(0, ["degree"])
-    members = scratch.written(members, "members", folder)
-    totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1").select("cluster", "total")
-    members = scratch.written(members.join(totals, "cluster"), "clusters", folder)
-    every = members.agg(F.sum("n")).first()[0] or 0
+    members = scratch.written(clusters.join(classes.select(F.col("h1").alias("id"), "rep", "n"), "id"), "members", folder)
+    members = _sized(members, folder)
     made = _sets(members.select("id", "rep"), docs, words, folder)
-    bins = int(every // most_items) + 1
-    small = members.where(F.col("total") <= most_items).withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int")).select("bin", "cluster", "id").join(made, "id")
-    edges = scratch.written(_linked_clusters(small, numerator, denominator), "edges", folder)
-    large = members.where(F.col("total") > most_items).select("cluster", "id", "n", "degree")
+    edges = _linked_small(members, made, most_items, numerator, denominator, folder)
+    large = members.where(F.col("total") > most_items).select("id", "n")
     if not large.isEmpty():
         large = scratch.written(large.join(made, "id"), "large", folder)
-        edges = edges.union(_linked_large(large, most_items, numerator, denominator, folder))
+        recut = _sized(large.select("id", "n").join(_recut(large, numerator, denominator, folder), "id"), folder)
+        edges = edges.union(_linked_small(recut, large.select("id", "items"), most_items, numerator, denominator, folder))
+        large = recut.where(F.col("total") > most_items).select("cluster", "id", "n").join(large.select("id", "items"), "id")
+        if not large.isEmpty():
+            edges = edges.union(_linked_large(scratch.written(large, "large", folder), most_items, numerator, denominator, folder))
 
     # Different texts under one id link their sets; then each class has the smallest document of its component.
     texts = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("last")).where("a < last")
