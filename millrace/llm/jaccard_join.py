@@ -41,7 +41,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import scratch
@@ -52,15 +52,16 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A signature of more classes than this is common.
 FEW = 8
 #: Shingles of the sets that a task compares at a time; larger clusters are compared by hubs and in blocks.
-CLUSTER_ITEMS = 500_000
+CLUSTER_ITEMS = 250_000
 #: Hubs of each large cluster in the rounds before its blocks.
 HUBS = (1, 16)
-#: Ids that are broadcast to pick documents (8 bytes each); more are joined by a shuffle.
+#: Sets whose names are broadcast to pick documents (40 bytes each); more are joined by a shuffle.
 MOST_BROADCAST_IDS = 200_000
 #: Signatures in a bucket, and signatures made of a byte of text, for the number of buckets.
-BUCKET_ROWS, ROWS_A_BYTE = 800_000, 0.17
+BUCKET_ROWS, ROWS_A_BYTE = 1_600_000, 0.17
 #: Signatures that a task gathers before it deals them to buckets.
 FLUSH = 1 << 19
+SALT = 0x01E3779B97F4A7C1  # times 64 it still is a signed 64-bit number
 SINGLES, COMMON = 63, 128  # the band of single shingles; the mark of a signature that a task has found common
 
 _words: dict[bytes, int] = {}
@@ -174,25 +175,35 @@ def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], np.diff(np.append(first, len(columns[0])))
 
 
-_OUT = "kind int, a long, b long, j int, n long, doc_id long, bands array<struct<j:int,sound:int,spoilt:int>>"
+_OUT = "kind int, a long, b long, n long, doc_id long, bands array<struct<j:int,sound:int,spoilt:int>>"
 _SENT = f"bucket int, block binary, {_OUT}"
 _BANDS = pa.list_(pa.struct([("j", pa.int32()), ("sound", pa.int32()), ("spoilt", pa.int32())]))
 PAIR, COUNT, SPOKE, BRIDGE, SET = range(5)
 
 
-def _rows(kind: int, a, b, j, n) -> dict[str, pa.Array]:
+def in_band(h1: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A class's name in a band. ``key_of`` makes the same of columns."""
+    return h1 ^ (band.astype(np.uint64) + np.uint64(1)) * np.uint64(SALT)
+
+
+def key_of(h1: Column, band: Column) -> Column:
+    return h1.bitwiseXOR((band + 1).cast("long") * F.lit(SALT))
+
+
+def _rows(kind: int, a, b, n) -> dict[str, pa.Array]:
     signed = lambda x: pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
     size = len(a)
-    return {"kind": pa.array(np.full(size, kind, np.int32)), "a": signed(a), "b": signed(b), "j": pa.array(np.asarray(j).astype(np.int32)), "n": pa.array(np.asarray(n).astype(np.int64)), "doc_id": pa.nulls(size, pa.int64()), "bands": pa.nulls(size, _BANDS)}
+    return {"kind": pa.array(np.full(size, kind, np.int32)), "a": signed(a), "b": signed(b), "n": pa.array(np.asarray(n).astype(np.int64)), "doc_id": pa.nulls(size, pa.int64()), "bands": pa.nulls(size, _BANDS)}
 
 
 def _to_centres(sig: np.ndarray, h1: np.ndarray, band: np.ndarray) -> list[dict[str, pa.Array]]:
     """Common signatures' members (sorted by signature, then class): how many each class has, and spokes to the smallest class."""
     first = _runs(sig)
     centre = np.repeat(h1[first], np.diff(np.append(first, len(sig))))
-    (a, j), n = counted(h1, band)
-    (x, y, k), _ = counted(h1, centre, band)
-    return [_rows(COUNT, a, np.zeros(len(a)), j, n), _rows(SPOKE, x, y, k, np.zeros(len(x)))]
+    key = in_band(h1, band)
+    (a,), n = counted(key)
+    (x, y), _ = counted(key, centre)
+    return [_rows(COUNT, a, np.zeros(len(a)), n), _rows(SPOKE, x, y, np.zeros(len(x)))]
 
 
 def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denominator: int, few: int) -> DataFrame:
@@ -215,8 +226,8 @@ def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denomin
         if hot.any():  # the centre stands for all of them in the bucket, marked; the others are counted here
             rest = hot.copy()
             rest[first] = False
-            (a, j), n = counted(h1[rest], band[rest])
-            for part in (_rows(COUNT, a, np.zeros(len(a)), j, n), _to_centres(sig[hot], h1[hot], band[hot])[1]):
+            (a,), n = counted(in_band(h1[rest], band[rest]))
+            for part in (_rows(COUNT, a, np.zeros(len(a)), n), _to_centres(sig[hot], h1[hot], band[hot])[1]):
                 n = len(part["a"])
                 yield sent(pa.array((part["a"].to_numpy() % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), part)
             band = band.copy()
@@ -230,7 +241,7 @@ def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denomin
         for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
             classes, index = np.unique(h1[a:b], return_inverse=True)
             blocks.append(len(classes).to_bytes(4, "little") + classes.astype("<u8").tobytes() + low[a:b].tobytes() + index.astype("<u2" if len(classes) < 1 << 16 else "<u4").tobytes() + band[a:b].tobytes())
-        yield sent(pa.array(bucket[first].astype(np.int32)), pa.array(blocks, pa.binary()), {k: pa.nulls(len(blocks), v.type) for k, v in _rows(0, *[np.zeros(0)] * 4).items()})
+        yield sent(pa.array(bucket[first].astype(np.int32)), pa.array(blocks, pa.binary()), {k: pa.nulls(len(blocks), v.type) for k, v in _rows(0, *[np.zeros(0)] * 3).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -255,7 +266,7 @@ def _map_pass(docs: DataFrame, buckets: int, words: int, numerator: int, denomin
                 if waiting > FLUSH:
                     yield from flush(rows)
                     rows, waiting = [], 0
-            own = _rows(SET, np.array(names, np.uint64), np.zeros(len(names)), np.zeros(len(names)), np.array(sizes, np.int64))
+            own = _rows(SET, np.array(names, np.uint64), np.zeros(len(names)), np.array(sizes, np.int64))
             own |= {"doc_id": ids, "bands": pa.array(all_bands, _BANDS)}
             yield sent(pa.array((np.arange(len(names)) % buckets).astype(np.int32)), pa.nulls(len(names), pa.binary()), own)
         yield from flush(rows)
@@ -279,7 +290,7 @@ def _bucket_pass(sent: DataFrame, few: int) -> DataFrame:
     """Of each bucket: counted pairs of classes, counts and spokes of common signatures, and the sets' rows as they came."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        through = table.filter(pa.compute.is_null(table.column("block"))).select(["kind", "a", "b", "j", "n", "doc_id", "bands"])
+        through = table.filter(pa.compute.is_null(table.column("block"))).select(["kind", "a", "b", "n", "doc_id", "bands"])
         found = [unpack(x.as_py()) for x in table.column("block").drop_null().combine_chunks()]
         del table
         if not found:
@@ -299,42 +310,44 @@ def _bucket_pass(sent: DataFrame, few: int) -> DataFrame:
         out = _to_centres(sig[common], h1[common], band[common]) if common.any() else []
         if len(stands):
             (a, b), _ = counted(its, h1[first][np.searchsorted(sig[first], stands)])
-            out.append(_rows(BRIDGE, a, b, np.zeros(len(a)), np.zeros(len(a))))
+            out.append(_rows(BRIDGE, a, b, np.zeros(len(a))))
         rest = np.repeat(size > 1, size) & ~common
         sig, h1, band = sig[rest], h1[rest], band[rest]
-        a, b, j = [], [], []
+        a, b = [], []
         for d in range(1, few):
             same = np.flatnonzero(sig[d:] == sig[:-d]) if len(sig) > d else np.zeros(0, np.int64)
             if not len(same):
                 break
-            a.append(h1[same])
-            b.append(h1[same + d])
-            j.append(band[same])
+            a.append(in_band(h1[same], band[same]))
+            b.append(in_band(h1[same + d], band[same]))
         if a:
-            (a, b, j), n = counted(*map(np.concatenate, (a, b, j)))
-            out.append(_rows(PAIR, a, b, j, n))
+            a, b = np.concatenate(a), np.concatenate(b)
+            (a, b), n = counted(np.minimum(a, b), np.maximum(a, b))
+            out.append(_rows(PAIR, a, b, n))
         give_back()
-        return pa.concat_tables([through.cast(pa.table(_rows(0, *[np.zeros(0)] * 4)).schema), *map(pa.table, out)])
+        return pa.concat_tables([through.cast(pa.table(_rows(0, *[np.zeros(0)] * 3)).schema), *map(pa.table, out)])
 
     return sent.groupBy("bucket").applyInArrow(run, _OUT)
 
 
-def _sets(classes: DataFrame, docs: DataFrame, words: int, folder: str) -> DataFrame:
-    """``id`` (the class) and ``items`` of the ``classes`` (id, rep). Sets are made again for these only."""
+def _sets(members: DataFrame, docs: DataFrame, words: int, folder: str) -> DataFrame:
+    """``members`` (``rep``, ``id``, ``cluster``, ``n``, ``total``) with ``items``, made again from the texts of these only.
+
+    A row that occurs twice gives two equal ones; a document's other texts, of other sets, give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch)
+            texts, ids = texts_of(batch), batch.column(1).to_numpy().view(np.uint64)
             for i in range(0, len(texts), 256):
                 made = [shingles(t, words) for t in texts[i : i + 256]]
-                names = np.array([class_of(s) for s in made], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "items"])
+                own = pa.array([class_of(s) == h1 for s, h1 in zip(made, ids[i : i + 256].tolist(), strict=True)], pa.bool_())
+                part = batch.slice(i, len(made))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=[*part.schema.names[1:], "items"]).filter(own)
         give_back()
 
-    ids = classes.select("rep").distinct()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, docs["doc_id"] == ids["rep"], "left_semi")
-    made = texts.select("text").mapInArrow(run, "id long, items array<long>")
-    return scratch.written(made.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets", folder)
+    met = docs.join(F.broadcast(members) if members.count() <= MOST_BROADCAST_IDS else members, docs["doc_id"] == members["rep"])
+    return scratch.written(met.select("text", "id", "cluster", "n", "total").mapInArrow(run, "id long, cluster long, n long, total long, items array<long>"), "sets", folder)
 
 
 def link(ids: np.ndarray, labels: np.ndarray, items: np.ndarray, sizes: np.ndarray, numerator: int, denominator: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -392,6 +405,10 @@ def _table(links: list[tuple[int, int]]) -> pa.Table:
 
 
 def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels, items and sizes of the sets, each id once."""
+    ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+    if len(ids) < table.num_rows:
+        table = table.take(pa.array(first))
     lists = table.column("items").combine_chunks()
     return table.column("id").to_numpy(), table.column("label").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
@@ -432,7 +449,7 @@ def _linked_blocks(asked: DataFrame, all_sets: DataFrame, most_items: int, numer
         right = right.rename_columns(kept)
         right = right.filter(pa.compute.invert(pa.compute.is_in(right.column("id"), left.column("id").combine_chunks())))
         ids, labels, items, sizes = (np.concatenate(x) for x in zip(_arrays(left), _arrays(right), strict=True))
-        links = link(ids, labels, items, sizes, numerator, denominator, np.arange(len(ids)) < left.num_rows)
+        links = link(ids, labels, items, sizes, numerator, denominator, np.isin(ids, left.column("id").to_numpy()))
         give_back()
         return _table(links)
 
@@ -463,39 +480,14 @@ def _sized(members: DataFrame, folder: str) -> DataFrame:
     return scratch.written(members.join(totals, "cluster"), "clusters", folder)
 
 
-def _linked_small(members: DataFrame, made: DataFrame, most_items: int, numerator: int, denominator: int, folder: str) -> DataFrame:
-    """Links within the clusters of up to ``most_items`` shingles."""
-    small = members.where(F.col("total") <= most_items)
-    bins = int((small.agg(F.sum("n")).first()[0] or 0) // most_items) + 1
-    small = small.select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("bin"), "cluster", "id").join(made, "id")
+def _linked_small(sets: DataFrame, most_items: int, numerator: int, denominator: int, folder: str) -> DataFrame:
+    """Links within the clusters of up to ``most_items`` shingles: ``cluster``, ``id``, ``n``, ``total``, ``items``."""
+    small = sets.where(F.col("total") <= most_items)
+    bins = 4 * int((small.agg(F.sum("n")).first()[0] or 0) // most_items) + 4
+    small = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int"))
     return scratch.written(_linked_clusters(small, numerator, denominator), "edges", folder)
 
 
-def _linked_large(members: DataFrame, most_items: int, numerator: int, denominator: int, folder: str) -> DataFrame:
-    """Links within clusters beyond ``most_items``: ``cluster``, ``id``, ``n``, ``items``."""
-    edges: DataFrame | None = None
-    for turn in range(len(HUBS) + 1):
-        sets = members.withColumn("label", F.col("id"))
-        if edges is not None:
-            labels = connected(edges, folder)
-            sets = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        by_label = sets.groupBy("cluster", "label").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
-        largest = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        left = largest.where("all > most")
-        if left.isEmpty():
-            break
-        rest = sets.join(left, "cluster").where("label <> largest")
-        if turn < len(HUBS):
-            place = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
-            chosen = rest.select("cluster", "id").withColumn("place", place).where(F.col("place") <= HUBS[turn]).select("id")
-            asked = sets.join(chosen, "id")
-        else:
-            asked = rest.select(sets.columns)
-        found = scratch.written(_linked_blocks(asked, sets.join(left.select("cluster"), "cluster", "left_semi"), most_items, numerator, denominator), "links", folder)
-        edges = found if edges is None else edges.union(found)
-    return edges if edges is not None else members.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-
-
 def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, most_items: int = CLUSTER_ITEMS) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -511,36 +503,38 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR
 
     # One row for each class of equal sets: its smallest document, and by band what it keeps without common signatures.
     classes = scratch.written(sets.where("n > 0 and doc_id is not null").groupBy("h1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes", folder)
-    common = found.where(F.col("kind") == COUNT).groupBy("a", "j").agg(F.sum("n").alias("common"))
-    by_band = classes.select("h1", "rep", "n", F.explode("bands").alias("x")).select("h1", "rep", "n", "x.j", F.col("x.sound").alias("sound"), F.col("x.spoilt").alias("spoilt"))
-    by_band = by_band.join(common, (by_band["h1"] == common["a"]) & (by_band["j"] == common["j"]), "left").select("h1", "n", by_band["j"], "spoilt", (F.col("sound") - F.coalesce("common", F.lit(0))).alias("left"))
+    common = found.where(F.col("kind") == COUNT).groupBy("a").agg(F.sum("n").alias("common"))
+    by_band = classes.select("h1", "n", F.explode("bands").alias("x")).select(key_of(F.col("h1"), F.col("x.j")).alias("key"), "h1", "n", F.col("x.sound").alias("sound"), F.col("x.spoilt").alias("spoilt"))
+    by_band = by_band.join(common, F.col("key") == F.col("a"), "left").select("key", "h1", "n", (F.col("sound") - F.col("spoilt") - F.coalesce("common", F.lit(0))).alias("least"))
     by_band = scratch.written(by_band, "bands", folder)
 
-    info = lambda p: by_band.select(*[F.col(c).alias(f"{p}_{c}") for c in ("h1", "n", "j", "spoilt", "left")])
-    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b", "j").agg(F.sum("n").alias("agree"))
-    pairs = pairs.join(info("l"), (F.col("a") == F.col("l_h1")) & (F.col("j") == F.col("l_j"))).join(info("r"), (F.col("b") == F.col("r_h1")) & (F.col("j") == F.col("r_j")))
+    # Pairs are dealt by their first class once: counted there, and left out there if they agree too seldom for it.
+    info = lambda p: by_band.select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "h1", "n", "least")])
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b", "n").repartition("a").groupBy("a", "b").agg(F.sum("n").alias("agree"))
+    pairs = pairs.join(info("l"), F.col("a") == F.col("l_key")).where(F.col("agree") >= F.col("l_least")).select("b", "agree", "l_h1", "l_n")
+    pairs = pairs.join(info("r"), F.col("b") == F.col("r_key")).where(F.col("agree") >= F.col("r_least"))
     sizes = (F.col("l_n") * denominator >= F.col("r_n") * numerator) & (F.col("r_n") * denominator >= F.col("l_n") * numerator)
-    pairs = pairs.where(sizes & (F.col("agree") >= F.greatest(F.col("l_left") - F.col("l_spoilt"), F.col("r_left") - F.col("r_spoilt")))).select("a", "b")
+    pairs = pairs.where(sizes).select(F.col("l_h1").alias("a"), F.col("r_h1").alias("b"))
 
     # Sets that common signatures leave too few others: their spokes to the centres of those.
-    unsafe = by_band.where("left <= spoilt").select("h1", F.col("j").alias("band"))
-    spokes = found.where(F.col("kind") == SPOKE).join(unsafe, (F.col("a") == F.col("h1")) & (F.col("j") == F.col("band"))).select("a", F.xxhash64(F.lit("centre"), "b").alias("b"))
+    unsafe = by_band.where("least <= 0").select("key", "h1")
     centre = lambda c: F.xxhash64(F.lit("centre"), c)
+    spokes = found.where(F.col("kind") == SPOKE).select(F.col("a").alias("of"), "b").join(unsafe, F.col("of") == F.col("key")).select(F.col("h1").alias("a"), centre("b").alias("b"))
     bridges = found.where(F.col("kind") == BRIDGE).where("a <> b").select(centre("a").alias("a"), centre("b").alias("b"))
     graph = scratch.written(pairs.union(spokes).union(bridges).distinct(), "graph", folder)
     clusters = connected(graph, folder).select("id", F.col("label").alias("cluster"))
     members = scratch.written(clusters.join(classes.select(F.col("h1").alias("id"), "rep", "n"), "id"), "members", folder)
-    members = _sized(members, folder)
-    made = _sets(members.select("id", "rep"), docs, words, folder)
-    edges = _linked_small(members, made, most_items, numerator, denominator, folder)
-    large = members.where(F.col("total") > most_items).select("id", "n")
+    made = _sets(_sized(members, folder), docs, words, folder)
+    edges = _linked_small(made, most_items, numerator, denominator, folder)
+    large = made.where(F.col("total") > most_items).drop("cluster", "total")
     if not large.isEmpty():
-        large = scratch.written(large.join(made, "id"), "large", folder)
+        large = scratch.written(large.dropDuplicates(["id"]), "large", folder)
         recut = _sized(large.select("id", "n").join(_recut(large, numerator, denominator, folder), "id"), folder)
-        edges = edges.union(_linked_small(recut, large.select("id", "items"), most_items, numerator, denominator, folder))
-        large = recut.where(F.col("total") > most_items).select("cluster", "id", "n").join(large.select("id", "items"), "id")
+        recut = scratch.written(recut.join(large.select("id", "items"), "id"), "recut", folder)
+        edges = edges.union(_linked_small(recut, most_items, numerator, denominator, folder))
+        large = recut.where(F.col("total") > most_items).drop("total")
         if not large.isEmpty():
-            edges = edges.union(_linked_large(scratch.written(large, "large", folder), most_items, numerator, denominator, folder))
+            edges = edges.union(_linked_large(large, most_items, numerator, denominator, folder))
 
     # Different texts under one id link their sets; then each class has the smallest document of its component.
     texts = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("last")).where("a < last")
