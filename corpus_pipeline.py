@@ -11,10 +11,11 @@ All but the last return the columns of ``documents``; where a text changes, ``n_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, line_dedup, packing, pii, toxicity
+from millrace.llm.common import free_prefix
 from millrace.llm.queries import WORD_MODEL, tokenizer_path
 from millrace.scratch import written
 
@@ -24,7 +25,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on all labelled documents that are here; rows without text are kept."""
+    """Fitted on all labelled documents that are here; a document without text is scored as the rest, by the share of labels alone."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.filter_toxic(docs, model)
 
@@ -34,13 +35,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without words are linked with nothing and stay; of rows repeated under one id, one stays."""
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Documents without words are linked with nothing and stay, as do rows without id. Of rows repeated under one id one
+    stays: the one with the smallest text, null first.
+    """
     found = jaccard_join.jaccard_join(docs.where("doc_id is not null"))
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    mark = free_prefix(docs.columns, "gone_")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(f"{mark}id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(f"{mark}id"), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = kept.where("doc_id is not null").withColumn(f"{mark}turn", turn).where(F.col(f"{mark}turn") == 1).drop(f"{mark}turn")
+    return one.union(kept.where("doc_id is null"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

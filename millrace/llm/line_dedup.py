@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import scratch
+from millrace.llm.common import free_prefix
 
 #: Fixed value: the white space that a key loses at both ends.
 BLANKS = "\t\n\x0b\x0c\r "
@@ -34,8 +35,10 @@ def line_key(line: Column) -> Column:
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", prefix: str = "ld_") -> DataFrame:
     """Every row of ``docs``, its text without the dropped lines, and the counts ``n_lines`` and ``n_dropped``.
 
-    The two counts and the working columns are named with ``prefix``, so that no column of ``docs`` is hidden.
+    The two counts are the last columns. They and the working columns are named with ``prefix``, which gets underscores
+    in front of it while a column of ``docs`` begins with it, so that none is hidden.
     """
+    prefix = free_prefix(docs.columns, prefix)
     doc, text = F.col(id_col), F.col(text_col)
     lines = (
         docs.select(doc.cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(split_lines(text)).alias("pos", "line"))

@@ -1,24 +1,30 @@
 """PII by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the spans of four fixed forms: e-mail, IP, card and phone. The words in front of an identifier are its
-lexical patterns (the last word, and the last two). Spark keeps the graph of patterns and instances (the strings
-found after them: the seeds, and unseen identifiers, words of six characters or more with a digit) and scores it in
-rounds. A pattern's confidence for a kind is the share of known instances of that kind among all its distinct
-instances; patterns with enough of both are kept; an unseen identifier is taken over when the kept patterns that
-it follows leave little doubt (noisy or). What is taken over counts as known in the next round. Rounds go on until one
-takes nothing; each takes at least one of finitely many identifiers. In the end the occurrences of new instances join
-the seeds' spans.
+Seeds are the spans of four fixed forms: e-mail, IP, card and phone. What stands about an identifier, and what it looks
+like, are its patterns: the last word before it, the last two, the word after it, both neighbours, the marks that join it
+to the word before, and its shape (letters and digits as classes, runs with their lengths). Spark keeps the graph of
+patterns and instances (the strings found there: the seeds, and unseen identifiers, words of six characters or more with
+a digit) and scores it in rounds:
+
+* A pattern's confidence is the share of known identifiers among all its distinct instances. It is kept if at least
+  ``MIN_SUPPORT`` are known, the confidence reaches ``MIN_CONFIDENCE``, and confidence times log2 of the known ones
+  reaches ``MIN_STRENGTH``: a pattern seen often with identifiers counts for more than one seen seldom.
+* An unseen identifier is taken over when the kept patterns of at least two sorts that it has leave little doubt (noisy
+  or over ``MIN_INSTANCE``). Its kind is the one that those patterns' known instances have most of.
+* What is taken over counts as known in the next round. Rounds go on until one takes nothing; each takes at least one of
+  finitely many identifiers. In the end the occurrences of the new instances join the seeds' spans.
 
 Counts go by distinct (pattern, instance) pairs with partial sums first, so a pattern or a number that a third of
 all rows hold costs a task one row a pair. Texts are read once for the seeds and never shuffled; positions of new
 instances are made for the texts that hold one.
 
 Positions are code points, ends exclusive. Regular expressions carry look-behinds and possessive repeats that do
-not change what the plain forms match but keep long runs linear.
+not change what the plain forms match but keep long runs linear. Words of context are looked for in the ``AROUND``
+characters before and after an identifier; a word that is longer than that counts by its nearest ones.
 
 Defined cases: a null or empty text has no span. Repeated rows are answered as often as they occur. Spans of
 different kinds may overlap; ``redact`` joins them. Without seeds there are no patterns. Extra columns are ignored,
-and kept by ``redact``.
+and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import scratch
+from millrace.llm.common import free_prefix
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -41,7 +48,10 @@ UNSEEN = r"(?<![\p{L}\p{N}_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 #: Cheap tests that must hold before a form is looked for.
 MAY_HOLD = {"email": r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]"}
 FORMS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 4, 0.8, 0.9
+AROUND = 80
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_STRENGTH, MIN_INSTANCE = 4, 0.5, 1.5, 0.8
+
+_SPAN = "struct<kind:string,start:int,end:int,found:string,before:string,after:string>"
 
 
 def of_kind(kind: str):
@@ -74,62 +84,105 @@ def holds(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def about(i: Column) -> list[Column]:
+    """``before`` and ``after`` of the match i: the ends of the gaps next to it."""
+    return [F.right(F.get("_g", i), F.lit(AROUND)).alias("before"), F.left(F.get("_g", i + 1), F.lit(AROUND)).alias("after")]
+
+
 def spans_of(df: DataFrame, kind: str, text: str = "text") -> DataFrame:
-    """``df`` with the column ``kind``: array of (kind, start, end, found, before), the text's matches that are kept."""
+    """``df`` with the column ``kind``: array of (kind, start, end, found, before, after), the text's matches that are kept."""
     here, form = F.col(text).rlike(MAY_HOLD[kind]), FORMS[kind]
     df = df.withColumn("_m", F.when(here, F.regexp_extract_all(text, F.lit(form), F.lit(0))))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, form, -1)))
     # A match starts after the gaps and matches before it.
     lengths = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x))
     start = lambda i: lengths(F.slice("_g", F.lit(1), i + 1)) + lengths(F.slice("_m", F.lit(1), i))
-    rows = F.transform("_m", lambda x, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("found"), F.right(F.get("_g", i), F.lit(80)).alias("before")))
+    rows = F.transform("_m", lambda x, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("found"), *about(i)))
     df = df.withColumn(kind, F.when(F.size("_m") > 0, F.filter(rows, lambda s: holds(kind, s["found"]))))
     return df.drop("_m", "_g")
 
 
-def patterns(before: Column) -> Column:
-    """Lexical patterns of what stands in front of an identifier: the last word, and the last two."""
-    low = F.lower(before)
+def shape(found: Column) -> Column:
+    """An identifier's look: each run of letters or digits as its class and length; other characters stand for themselves.
+
+    Runs of letters and digits that alternate three times or more are one run of hexadecimal digits or of mixed characters.
+    """
+    mixed = F.when(found.rlike("^(?:[0-9]+[A-Za-z]+|[A-Za-z]+[0-9]+){2,}[0-9A-Za-z]*$"), F.concat(F.when(found.rlike("^[0-9A-Fa-f]+$"), F.lit("hex ")).otherwise(F.lit("mixed ")), F.length(found).cast("string")))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(found, "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    runs = F.regexp_extract_all(classes, F.lit("9+|A+|a+|[^9Aa]+"), F.lit(0))
+    return F.coalesce(mixed, F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[9Aa]"), F.concat(F.left(r, F.lit(1)), F.length(r).cast("string"))).otherwise(r)), ""))
+
+
+def patterns(found: Column, before: Column, after: Column) -> Column:
+    """The patterns of an identifier as (sort, pattern)."""
+    low, then = F.lower(before), F.lower(after)
     one = F.regexp_extract(low, r"(\p{L}+)[^\p{L}]*$", 1)
     two = F.regexp_extract(low, r"(\p{L}+)[^\p{L}]+(\p{L}+)[^\p{L}]*$", 1)
-    return F.filter(F.array(F.when(one != "", F.concat(F.lit("1 "), one)), F.when(two != "", F.concat_ws(" ", F.lit("2"), two, one))), lambda x: x.isNotNull())
+    joint = F.regexp_extract(low, r"\p{L}([^\p{L}]*)$", 1)
+    following = F.regexp_extract(then, r"^[^\p{L}]*(\p{L}+)", 1)
+    made = [
+        ("before", F.when(one != "", one)),
+        ("two before", F.when(two != "", F.concat_ws(" ", two, one))),
+        ("after", F.when(following != "", following)),
+        ("both", F.when((one != "") & (following != ""), F.concat_ws(" _ ", one, following))),
+        ("joint", F.when((one != "") & (F.trim(joint) != ""), F.concat(one, joint))),
+        ("shape", shape(found)),
+    ]
+    return F.filter(F.array(*[F.struct(F.lit(sort).alias("sort"), p.alias("pattern")) for sort, p in made]), lambda x: x["pattern"].isNotNull())
 
 
 def seed_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: its seeds, and the unseen identifiers with what stands before them. Written once."""
+    """One row a document: its seeds, and the unseen identifiers with what stands about them. Written once."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = reduce(spans_of, KINDS, rows)
     rows = rows.withColumn("_m", F.when(F.col("text").rlike(r"[0-9]"), F.regexp_extract_all("text", F.lit(UNSEEN), F.lit(0))))
     rows = rows.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", UNSEEN, -1)))
-    unseen = F.when(F.size("_m") > 0, F.transform("_m", lambda x, i: F.struct(x.alias("found"), F.right(F.get("_g", i), F.lit(80)).alias("before"))))
-    base = F.flatten(F.array(*[F.coalesce(F.col(k), F.array().cast("array<struct<kind:string,start:int,end:int,found:string,before:string>>")) for k in KINDS]))
+    unseen = F.when(F.size("_m") > 0, F.transform("_m", lambda x, i: F.struct(x.alias("found"), *about(i))))
+    base = F.flatten(F.array(*[F.coalesce(F.col(k), F.array().cast(f"array<{_SPAN}>")) for k in KINDS]))
     return scratch.written(rows.select("doc_id", F.xxhash64("text").alias("version"), base.alias("base"), unseen.alias("unseen")), "pii-seeds")
 
 
-def bootstrap(seeds: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_instance: float = MIN_INSTANCE) -> DataFrame:
-    """``kind`` and ``found`` of the identifiers that the patterns discover."""
-    known = seeds.select(F.explode("base").alias("s")).select("s.found", "s.kind", "s.before")
+def pattern_graph(seeds: DataFrame) -> DataFrame:
+    """Distinct ``found``, ``kind`` (null: unseen), ``sort`` and ``pattern``."""
+    known = seeds.select(F.explode("base").alias("s")).select("s.found", "s.kind", "s.before", "s.after")
     # A seed's inner parts look like unseen identifiers too; they aren't.
     fresh = seeds.where(F.size("unseen") > 0).select(F.explode("unseen").alias("s"), F.transform("base", lambda b: b["found"]).alias("own")).where(~F.exists("own", lambda x: F.contains(x, F.col("s.found"))))
-    graph = known.select("found", "kind", F.explode(patterns(F.col("before"))).alias("pattern")).union(fresh.select("s.found", F.lit(None).cast("string"), F.explode(patterns(F.col("s.before")))))
-    graph = scratch.written(graph.distinct(), "pii-graph")
+    every = known.union(fresh.select("s.found", F.lit(None).cast("string"), "s.before", "s.after"))
+    return every.select("found", "kind", F.explode(patterns(F.col("found"), F.col("before"), F.col("after"))).alias("p")).select("found", "kind", "p.sort", "p.pattern").distinct()
+
+
+def kept_patterns(graph: DataFrame, min_support: int, min_confidence: float, min_strength: float) -> DataFrame:
+    """``sort``, ``pattern``, ``confidence`` and ``kinds`` (how many known instances of each kind) of the patterns that are kept."""
+    one = graph.groupBy("sort", "pattern", "found").agg(F.max("kind").alias("kind"))  # an instance counts once, known if it is anywhere
+    every = one.groupBy("sort", "pattern").agg(F.count("*").alias("all"), F.count("kind").alias("known"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+    every = every.withColumn("confidence", F.col("known") / F.col("all")).where((F.col("known") >= min_support) & (F.col("confidence") >= min_confidence) & (F.col("confidence") * F.log2("known") >= min_strength))
+    return every.select("sort", "pattern", "confidence", *KINDS)
+
+
+def taken_over(graph: DataFrame, kept: DataFrame, min_instance: float) -> DataFrame:
+    """``found`` and ``kind`` of the unseen identifiers that the kept patterns leave little doubt about."""
+    known = graph.where("kind is not null").select("found").distinct()
+    met = graph.where("kind is null").select("found", "sort", "pattern").join(known, "found", "left_anti").join(kept, ["sort", "pattern"])
+    # Of each sort the surest pattern: a place that is seen several times tells no more than once.
+    by_sort = met.groupBy("found", "sort").agg(F.max("confidence").alias("confidence"), *[F.sum(F.col("confidence") * F.col(k)).alias(k) for k in KINDS])
+    odds = by_sort.groupBy("found").agg((1 - F.exp(F.sum(F.log(F.lit(1.000001) - F.col("confidence"))))).alias("score"), F.count("*").alias("sorts"), *[F.sum(k).alias(k) for k in KINDS])
+    best = F.array_max(F.array(*[F.struct(F.col(k).alias("weight"), F.lit(-n).alias("turn"), F.lit(k).alias("kind")) for n, k in enumerate(KINDS)]))["kind"]
+    return odds.where((F.col("score") >= min_instance) & (F.col("sorts") >= 2)).select("found", best.alias("kind"))
+
+
+def bootstrap(seeds: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_strength: float = MIN_STRENGTH, min_instance: float = MIN_INSTANCE) -> DataFrame:
+    """``kind`` and ``found`` of the identifiers that the patterns discover."""
+    graph = scratch.written(pattern_graph(seeds), "pii-graph")
     taken: DataFrame | None = None
     while True:
         now = graph
         if taken is not None:
-            more = taken.select("found", F.col("kind").alias("new"))
-            now = graph.join(more, "found", "left").select("found", F.coalesce("kind", "new").alias("kind"), "pattern")
-        everything = now.groupBy("pattern").agg(F.count_distinct("found").alias("all"))
-        kept = now.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("found").alias("positive")).where(F.col("positive") >= min_support)
-        kept = kept.join(everything, "pattern").withColumn("confidence", F.col("positive") / F.col("all")).where((F.col("confidence") >= min_confidence) & (F.col("all") > F.col("positive")))
-        doubt = F.sum(F.log(F.lit(1.000001) - F.col("confidence")))
-        odds = now.where("kind is null").drop("kind").join(kept, "pattern").groupBy("found", "kind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= min_instance)
-        best = odds.groupBy("found").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-        best = scratch.written(best, "pii-taken")
+            now = graph.join(taken.select("found", F.col("kind").alias("new")), "found", "left").select("found", F.coalesce("kind", "new").alias("kind"), "sort", "pattern")
+        best = scratch.written(taken_over(now, kept_patterns(now, min_support, min_confidence, min_strength), min_instance), "pii-taken")
         if best.isEmpty():
             break
         taken = best if taken is None else scratch.written(taken.union(best), "pii-taken")
-    return taken if taken is not None else graph.where("false").select("found", "kind")
+    return taken.select("kind", "found") if taken is not None else graph.where("false").select("kind", "found")
 
 
 def added_spans(docs: DataFrame, seeds: DataFrame, taken: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,11 +219,12 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "pii_") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, each span of its text replaced by its kind in brackets. Overlapping spans are one, with the first one's kind."""
+    prefix = free_prefix(docs.columns, "pii_")
     found = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias(f"{prefix}doc"), F.col("version").alias(f"{prefix}version"), F.col("spans").alias(f"{prefix}spans")).dropDuplicates([f"{prefix}doc", f"{prefix}version"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    met = docs.join(found, (F.col(id_col).cast("long") == F.col(f"{prefix}doc")) & (F.xxhash64(text) == F.col(f"{prefix}version")), "left")
+    met = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(f"{prefix}doc")) & (F.xxhash64(text) == F.col(f"{prefix}version")), "left")
     by_place = F.array_sort(F.col(f"{prefix}spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))).otherwise(F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at")))

@@ -1,15 +1,17 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Each text is the set of its hashed byte n-grams (ASCII letters lower-cased). From labelled texts come the
-document counts of each n-gram in both classes and their log ratio r; logistic regression is then fitted on the
-features r, and a text's score is the logistic of the sum over its n-grams. The fit sees a bounded sample of
-labelled rows (``MOST_TOXIC`` and ``MOST_CLEAN``, the smallest hashes of their ids; the intercept is set back to
-the share of all labelled rows); scoring sees every whole text, one pass, with a table of fixed size.
-
-Defined cases: a null or empty text has no n-gram and gets the score of the intercept. Rows without label, or
-with a label other than 0 and 1, teach nothing. Repeated label rows count once each; repeated documents are scored
-as often as they occur. Without labels of both classes every score is the share of toxic labels (0 without any).
-Extra columns are ignored by scoring; ``filter_toxic`` returns all of them.
+Each text is the set of its hashed byte n-grams (ASCII letters lower-cased). From labelled texts come the document
+counts of each n-gram in both classes and their log ratio r (none below ``LEAST_DOCS`` documents or ``LEAST_RATIO``);
+logistic regression is then fitted on the features r, and a text's score is the logistic of the sum over its n-grams.
+The fit sees a bounded sample of labelled rows (``MOST_TOXIC`` and ``MOST_CLEAN``, the smallest hashes of their ids; the
+intercept is set back to the share of all labelled rows); scoring sees every whole text, one pass, with a table of fixed
+size.
+
+Defined cases: a null or empty text has no n-gram and gets the score of the intercept. Rows without label, or with a
+label other than 0 and 1, teach nothing. Repeated label rows count once each; a document labelled both 0 and 1 counts as
+toxic. Repeated documents are scored as often as they occur, and teach as often if they are labelled. Without labels of
+both classes every score is the share of toxic labels (0 without any). Extra columns are ignored by scoring;
+``filter_toxic`` returns all of them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import byte_chunks, give_back
 
 BITS, SIZES = 20, (3, 4, 5)
+#: N-grams of fewer documents, or whose log ratio is nearer to 0, have no weight.
+LEAST_DOCS, LEAST_RATIO = 3, 0.8
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
 THRESHOLD = 0.7
 
@@ -88,7 +92,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float, strength:
     part = toxic / (toxic + clean)
     # Smoothing in proportion to the classes, so that a rare n-gram leans to neither.
     ratio = np.log((p + strength * part) / (toxic + strength * part)) - np.log((q + strength * (1 - part)) / (clean + strength * (1 - part)))
-    ratio[(p + q < 3) | (np.abs(ratio) < 0.8)] = 0
+    ratio[(p + q < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     names = np.flatnonzero(ratio)
     index = np.full(1 << BITS, -1, np.int32)
     index[names] = np.arange(len(names))
@@ -116,11 +120,12 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float, strength:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """A model from the labelled documents. ``labels`` holds one row for each labelled document that may teach."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
     count, toxic = known.agg(F.count("*"), F.sum("label")).first()
     if not count:
         return Model(np.zeros(1 << BITS, np.float32), -500.0)
     order = F.xxhash64("id")
-    chosen = known.where("label = 1").orderBy(order, "id").limit(most_toxic).union(known.where("label = 0").orderBy(order, "id").limit(most_clean)).dropDuplicates(["id"])
+    chosen = known.where("label = 1").orderBy(order, "id").limit(most_toxic).union(known.where("label = 0").orderBy(order, "id").limit(most_clean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int32)
