@@ -84,9 +84,15 @@ def drop_phrases(text: Column, phrases: Sequence[str] = TRIGGERS) -> Column:
     return text
 
 
-def drop_fillers(text: Column, patterns: Sequence[str] = FILLERS) -> Column:
+def drop_fillers(text: Column, patterns: Sequence[str] = FILLERS, protect: Sequence[str] = ()) -> Column:
+    """Each pattern in turn goes. What stands in ``protect`` (aliases that hold a filler) stays as it is, longest first."""
+    names = sorted({p for p in protect if p}, key=lambda p: (-len(p), p))
+    for n, name in enumerate(names):  # a code point of the private planes stands for each name meanwhile
+        text = F.replace(text, F.lit(name), F.lit(chr(0xF0000 + n)))
     for pattern in patterns:
         text = F.regexp_replace(text, pattern, "")
+    for n, name in enumerate(names):
+        text = F.replace(text, F.lit(chr(0xF0000 + n)), F.lit(name))
     return text
 
 
@@ -98,8 +104,13 @@ def size_mb(data: Column) -> Column:
     return F.octet_length(data) / F.lit(1048576.0)
 
 
-def strip_echo(text: Column, marker: str = "[CONTEXT]", closing: str = "]") -> Column:
-    """What a reply repeats of its context goes: the text after the last marker, then after the last closing bracket."""
+def strip_echo(text: Column, marker: str = "[CONTEXT]", closing: str = "]", anchored: bool = False) -> Column:
+    """What a reply repeats of its context goes: the text after the last marker, then after the last closing bracket.
+
+    ``anchored`` takes an echo away only where the reply begins with the marker, up to the first closing bracket after it.
+    """
+    if anchored:
+        return strip(F.regexp_replace(text, rf"(?s)^\s*{_literal(marker)}[^{_literal(closing)}]*{_literal(closing)}", ""))
     after = F.when(F.contains(text, F.lit(marker)), F.element_at(F.split(text, _literal(marker), -1), -1)).otherwise(text)
     return strip(F.when(F.contains(text, F.lit(marker)) & F.contains(after, F.lit(closing)), F.element_at(F.split(after, _literal(closing), -1), -1)).otherwise(after))
 
@@ -113,6 +124,10 @@ def candidates(text: Column, least: int = 2, most: int = 8) -> Column:
     return F.regexp_extract_all(F.upper(text), F.lit(f"(?<!{WORD})([A-Z]{{{least},{most}}})(?!{WORD})"), F.lit(1))
 
 
+def first_candidate(text: Column) -> Column:
+    return F.get(candidates(text), F.lit(0))
+
+
 def not_blacklisted(tokens: Column, words: Sequence[str] = BLACKLIST) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(*words))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,14 +29,19 @@ def reassemble(chunks: DataFrame, group: str, idx: str, text: str, separator: st
     return chunks.groupBy(group).agg(F.array_join(parts, separator).alias("text"), F.count("*").alias("n_parts"))
 
 
+def in_order(chunks: DataFrame, group: str, idx: str, text: str) -> DataFrame:
+    """Per group the array ``texts`` of its parts in order."""
+    return chunks.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(idx, text))), lambda x: x[text]).alias("texts"))
+
+
 def longest_block(a: str, b: str, autojunk: bool = False) -> tuple[int, int, int]:
     m = difflib.SequenceMatcher(None, a, b, autojunk=autojunk).find_longest_match(0, len(a), 0, len(b))
     return m.a, m.b, m.size
 
 
-def stitch_two(before: str, text: str, window: int, least: int) -> str:
+def stitch_two(before: str, text: str, window: int, least: int, autojunk: bool = False) -> str:
     """Add a chunk: what stands after the longest block common to the end of ``before`` and the start of ``text``."""
-    _, at, size = longest_block(before[-window:], text[:window])
+    _, at, size = longest_block(before[-window:], text[:window], autojunk)
     return before + text[at + size :] if size > least else before + " " + text
 
 
@@ -48,10 +54,11 @@ def stitch_words_two(before: str, text: str, most: int) -> str:
     return " ".join(a + b)
 
 
-def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str = "collapse", words: int | None = None) -> DataFrame:
+def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str = "collapse", words: int | None = None, autojunk: bool = False) -> DataFrame:
     """One text a media item from ``media_id``, ``idx``, ``text``: chunks folded in order, overlaps cut.
 
-    Each step needs the text so far, so a media item is one group; items are spread over the cluster.
+    Each step needs the text so far, so a media item is one group; items are spread over the cluster. With ``autojunk``
+    characters that are frequent in a window of 200 or more begin no common block, as difflib does by default.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +66,7 @@ def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str =
         parts = [t for t in parts if t]
         out = parts[0] if parts else ""
         for part in parts[1:]:
-            out = stitch_words_two(out, part, words) if words else stitch_two(out, part, window, least)
+            out = stitch_words_two(out, part, words) if words else stitch_two(out, part, window, least, autojunk)
         out = " ".join(out.split()) if cleanup == "collapse" else out.replace("  ", " ")
         return pd.DataFrame({"media_id": [group["media_id"].iloc[0]], "text": [out]})
 
@@ -69,19 +76,59 @@ def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str =
 def lookback_dedupe(text: Column, k: int = 5, ratio: float = 0.85, delimiter: str = "\n+") -> Column:
     """Lines whose similarity to one of the last k kept lines is over ``ratio`` go. Similarity: 1 - edits / longer length.
 
-    Lines of any length are compared; a pair costs up to the product of its length and the edits that ``ratio`` allows.
+    Lines of any length are compared. A pair costs up to the product of its length and the edits that ``ratio`` allows;
+    lines whose first halves differ by more than all allowed edits cost half of that. The fold carries the last k kept
+    lines and the places of all kept ones, so it is linear in the lines.
     """
     lines = F.filter(F.transform(F.split(text, delimiter), lambda x: F.trim(x)), lambda x: x != "")
+    edits = lambda a, b, most: F.call_function("levenshtein", a, b, most) >= 0  # noqa: E731  -1 beyond the allowed ones
 
     def near(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))
         allowed = F.ceil(longest * (1 - ratio)).cast("int")
-        # Lengths first: edits are counted only where they can suffice, as far as they can, and exact copies need none.
-        edits = F.call_function("levenshtein", a, b, allowed)  # -1 beyond the allowed ones
-        return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & F.exists(F.array(edits), lambda n: (n >= 0) & (1 - n / longest > ratio)))
+        exact = F.exists(F.array(F.call_function("levenshtein", a, b, allowed)), lambda n: (n >= 0) & (1 - n / longest > ratio))
+        # Lengths first: edits are counted only where they can suffice, and exact copies need none. A start of one line is as near
+        # to some start of the other as the lines are, and that start's length differs by the edits at most.
+        start = F.floor(longest / 4).cast("int")
+        begins = edits(F.left(a, start), F.left(b, start), 2 * allowed)
+        return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & begins & exact)
+
+    state = F.struct(F.slice(lines, 1, 0).alias("last"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("at"))
+
+    def step(s: Column, line: Column) -> Column:
+        following = (s["at"] + 1).alias("at")
+        drop = F.struct(s["last"].alias("last"), s["kept"].alias("kept"), following)
+        keep = F.struct(F.slice(F.concat(s["last"], F.array(line)), F.greatest(F.size(s["last"]) + 2 - k, F.lit(1)), F.lit(k)).alias("last"), F.concat(s["kept"], F.array(s["at"])).alias("kept"), following)
+        return F.when(F.exists(s["last"], lambda x: near(x, line)), drop).otherwise(keep)
+
+    return F.array_join(F.aggregate(lines, state, step, lambda s: F.transform(s["kept"], lambda i: F.get(lines, i))), "\n")
+
+
+def lookback_dedupe_sequence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, ratio: float = 0.85, autojunk: bool = False, delimiter: str = "\n+") -> DataFrame:
+    """``id_col`` and ``value``: as ``lookback_dedupe``, with difflib's ratio as the similarity, in Arrow batches.
+
+    difflib's own upper bounds are asked first, so most pairs are never matched. A null text stays null.
+    """
+
+    def clean(text: str) -> str:
+        kept: list[str] = []
+        matcher = difflib.SequenceMatcher(None, autojunk=autojunk)
+        for line in filter(None, map(str.strip, re.split(delimiter, text))):
+            matcher.set_seq2(line)
+            for before in kept[-k:] if k else []:
+                matcher.set_seq1(before)
+                if before == line or (matcher.real_quick_ratio() > ratio and matcher.quick_ratio() > ratio and matcher.ratio() > ratio):
+                    break
+            else:
+                kept.append(line)
+        return "\n".join(kept)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(value=[None if t is None else clean(t) for t in frame["value"]])
 
-    step = lambda kept, line: F.when(F.exists(F.slice(kept, F.greatest(F.size(kept) - k + 1, F.lit(1)), F.lit(k)), lambda x: near(x, line)), kept).otherwise(F.concat(kept, F.array(line)))
-    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("value"))
+    return rows.mapInPandas(run, rows.schema)
 
 
 def carry_context(chunks: DataFrame, group: str, idx: str, text: str, length: int = 300) -> DataFrame:

@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MARKS_BEFORE, MARKS_AFTER = r"^[^\p{L}\p{N}]+", r"[^\p{L}\p{N}]+$"
 
-def hint_replace(docs: DataFrame, hints: DataFrame, longest: int = 3, id_col: str = "doc_id", text_col: str = "text", rules: Column | None = None) -> DataFrame:
-    """``id_col`` and the text with hints (``hint``, ``term``) of up to ``longest`` words replaced, longest first, left to right.
+
+def hint_replace(docs: DataFrame, hints: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Column | None = None) -> DataFrame:
+    """``id_col`` and the text with hints (``hint``, ``term``) of any number of words replaced, longest first, left to right.
 
     Words are what blanks part; a hint matches words without the marks around them, whatever their case, and the
-    marks stay. Where hints overlap the one that begins first counts, and of those the longest. With ``rules``
-    (a condition on ``hint``, ``term`` and ``around``, the ten words about the place) a hint counts only where it holds.
+    marks stay. Where hints overlap the one that begins first counts, and of those the longest (among equally long
+    ones the first term). With ``rules`` (a condition on ``hint``, ``term``, the table's other columns and ``around``,
+    the ten words about the place) a hint counts only where it holds.
+
+    Single words meet the hints' first words in the join; the other words of a hint are compared in the text's own row,
+    where all its hits come together. Texts are told apart by their digest, so ids may repeat or be null, and equal
+    texts are looked through once. A null text stays null.
     """
-    words = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.split(text_col, " ").alias("_w"))
-    bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    grams = words.select("_id", "_w", F.posexplode("_w").alias("at", "_first")).withColumn("size", F.explode(F.array(*[F.lit(n) for n in range(1, longest + 1)])))
-    grams = grams.where(F.col("at") + F.col("size") <= F.size("_w"))
-    gram = F.array_join(F.transform(F.slice("_w", F.col("at") + 1, F.col("size")), bare), " ")
-    around = F.lower(F.array_join(F.slice("_w", F.greatest(F.col("at") - 4, F.lit(1)), F.lit(10)), " "))
-    table = hints.select(F.lower("hint").alias("hint"), "term").groupBy("hint").agg(F.min("term").alias("term")) if rules is None else hints.select(F.lower("hint").alias("hint"), *[c for c in hints.columns if c != "hint"])
-    found = grams.select("_id", "at", "size", gram.alias("hint"), around.alias("around")).join(table, "hint")
+    bare = lambda w: F.lower(F.regexp_replace(w, f"{MARKS_BEFORE}|{MARKS_AFTER}", ""))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_key", F.md5(F.col("_t").cast("binary")))
+    table = hints.withColumn("hint", F.array_join(F.filter(F.split(F.lower("hint"), " "), lambda x: x != ""), " ")).where("hint <> ''")
+    table = table.groupBy("hint").agg(F.min("term").alias("term")) if rules is None else table.distinct()
+    table = table.withColumn("_first", F.substring_index("hint", " ", 1)).withColumn("_size", F.size(F.split("hint", " ")))
+
+    words = texts.where(F.col("_t").isNotNull()).select("_key", F.posexplode(F.transform(F.split("_t", " "), bare)).alias("_at", "_word"))
+    found = words.join(table, F.col("_word") == F.col("_first")).select("_key", F.struct("_at", "_size", *[c for c in table.columns if not c.startswith("_")]).alias("h"))
+    hits = found.groupBy("_key").agg(F.collect_set("h").alias("_h"))
+
+    met = texts.join(hits.withColumnRenamed("_key", "_of"), F.col("_key") == F.col("_of"), "left")
+    met = met.withColumn("_w", F.when(F.col("_h").isNotNull(), F.split("_t", " "))).withColumn("_b", F.transform("_w", bare))
+    whole = lambda h: (h["_size"] == 1) | (F.array_join(F.slice("_b", h["_at"] + 1, h["_size"]), " ") == h["hint"])
+    met = met.withColumn("_h", F.filter("_h", whole))
     if rules is not None:
-        found = found.where(rules)
-    found = found.groupBy("_id", "at").agg(F.max_by(F.struct("size", "term"), F.struct("size", "term")).alias("x")).select("_id", "at", "x.size", "x.term")
-    # Left to right: a fold over the document's hits keeps those that begin after the end of the last kept.
-    hits = found.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "size", "term"))).alias("_h"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-    piece = lambda a, h: F.concat(a["out"], F.slice("_w", a["end"] + 1, h["at"] - a["end"]), F.array(F.concat(F.regexp_extract(F.get("_w", h["at"]), r"^[^\p{L}\p{N}]+", 0), h["term"], F.regexp_extract(F.get("_w", h["at"] + h["size"] - 1), r"[^\p{L}\p{N}]+$", 0))))
-    fold = F.aggregate("_h", start, lambda a, h: F.when(h["at"] < a["end"], a).otherwise(F.struct((h["at"] + h["size"]).alias("end"), piece(a, h).alias("out"))), lambda a: F.concat(a["out"], F.slice("_w", a["end"] + 1, F.size("_w"))))
-    met = words.join(hits, "_id", "left")
-    return met.select(F.col("_id").alias(id_col), F.when(F.col("_h").isNull(), F.col("_t")).otherwise(F.array_join(fold, " ")).alias(text_col))
+        # The condition is on columns, so the hits that are left stand as rows while it is asked.
+        rows = met.where(F.size("_h") > 0).select("_key", "_w", F.explode("_h").alias("h")).select("_key", "h", "h.*", F.lower(F.array_join(F.slice("_w", F.greatest(F.col("h._at") - 4, F.lit(1)), F.lit(10)), " ")).alias("around"))
+        kept = rows.where(rules).groupBy("_key").agg(F.collect_set("h").alias("_kept")).withColumnRenamed("_key", "_held")
+        met = met.join(kept, F.col("_key") == F.col("_held"), "left").withColumn("_h", F.coalesce("_kept", F.filter("_h", lambda h: F.lit(False))))
+    # Left to right: the fold keeps hits that begin after the end of the last kept; then gaps and terms alternate.
+    by_place = F.array_sort(F.transform("_h", lambda h: F.struct(h["_at"].alias("at"), (-h["_size"]).alias("less"), h["term"].alias("term"))))
+    kept = F.aggregate(by_place, F.filter(by_place, lambda h: F.lit(False)), lambda a, h: F.when(F.coalesce(F.get(a, F.size(a) - 1)["at"] - F.get(a, F.size(a) - 1)["less"], F.lit(0)) <= h["at"], F.concat(a, F.array(h))).otherwise(a))
+    met = met.withColumn("_h", kept)
+    end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_h", i - 1)["at"] - F.get("_h", i - 1)["less"])
+    outer = lambda i, form: F.regexp_extract(F.get("_w", i), form, 0)
+    term = lambda h: F.concat(outer(h["at"], MARKS_BEFORE), h["term"], outer(h["at"] - h["less"] - 1, MARKS_AFTER))
+    pieces = F.transform("_h", lambda h, i: F.concat(F.slice("_w", end(i) + 1, h["at"] - end(i)), F.array(term(h))))
+    last = F.slice("_w", end(F.size("_h")) + 1, F.size("_w"))
+    return met.select(F.col("_id").alias(id_col), F.when(F.coalesce(F.size("_h"), F.lit(0)) <= 0, F.col("_t")).otherwise(F.array_join(F.concat(F.flatten(pieces), last), " ")).alias(text_col))
 
 
 def context_rule(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Hints whose term depends on the words about them: ``rules`` has ``hint``, ``term`` and ``ctx``, a pattern that must occur near."""
-    return hint_replace(docs, rules, 1, id_col, text_col, F.regexp_like("around", F.col("ctx")))
+    return hint_replace(docs, rules, id_col, text_col, F.regexp_like("around", F.col("ctx")))
 
 
 def standardise(docs: DataFrame, mapping: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Resolved mentions become their tickers in capitals; parts of longer words stay."""
-    return hint_replace(docs, mapping.select(F.col("mention").alias("hint"), F.upper("ticker").alias("term")), 1, id_col, text_col)
+    """Resolved mentions, of any number of words, become their tickers in capitals; parts of longer words stay."""
+    return hint_replace(docs, mapping.select(F.col("mention").alias("hint"), F.upper("ticker").alias("term")), id_col, text_col)

@@ -7,7 +7,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions.text import bracket_json, fence_json
 
 
 def batch_call(df: DataFrame, prompt: str, fn: Callable[[str], str], workers: int | None = None, attempts: int = 5, wait: float = 1.0, fallback: str = "input") -> DataFrame:
@@ -37,6 +40,12 @@ def batch_call(df: DataFrame, prompt: str, fn: Callable[[str], str], workers: in
     return rows.mapInPandas(run, f"{fields}, response string, attempts int, status string")
 
 
+def structured(df: DataFrame, reply: Column, schema: str, fenced: bool = False) -> DataFrame:
+    """``df`` with a row an element of the array that a reply holds, its fields as columns; a reply without one gives none."""
+    read = fence_json if fenced else bracket_json
+    return df.select("*", F.inline(read(reply, schema)))
+
+
 def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     for step in steps:
         df = df.transform(step)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import candidates, index_guard, not_blacklisted
+from millrace.functions.text import candidates, index_guard, not_blacklisted, strip_suffix
 
 
 def build_dictionary(aliases: DataFrame, order: list[str], include_codes: bool = False) -> DataFrame:
@@ -108,6 +108,27 @@ def first_verified(rows: DataFrame, traded: DataFrame, orders: list[str], key: s
     return rows.select(key, F.explode(tries).alias("x")).select(key, "x.*").join(traded.select("ticker").distinct(), "ticker", "left_semi").groupBy(key).agg(F.min_by("ticker", "prio").alias("ticker"))
 
 
+def top_k_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k first hits of each query, by rank."""
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("_n") <= k).drop("_n")
+
+
+def priority(docs: DataFrame, title: Column, tickers: DataFrame, id_col: str = "doc_id", least: int = 2) -> DataFrame:
+    """``id_col`` and ``token``: the words of a title that are bare tickers, each once."""
+    tokens = docs.select(id_col, F.explode(F.array_distinct(F.split(title, r"[^\p{L}\p{N}_]+"))).alias("token")).where(F.length("token") >= least)
+    return tokens.join(tickers.select(strip_suffix(F.col("ticker")).alias("token")).distinct(), "token", "left_semi").select(id_col, "token")
+
+
+def kb_count(kb: DataFrame) -> DataFrame:
+    """One row: pairs of sector and ticker, and distinct tickers."""
+    return kb.select("sector", "ticker").distinct().agg(F.count("*").alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"))
+
+
+def run_stats(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document its mentions, distinct ones, and the last place."""
+    return mentions.groupBy(doc).agg(F.count("*").alias("n_mentions"), F.count_distinct("mention").alias("n_distinct"), F.max("pos").alias("last_pos"))
+
+
 def hits_to_candidate(hits: DataFrame, k: int) -> DataFrame:
     """From the first k hits of a query: the first ``X.BK``, else the first allowed token."""
     text = hits.where(F.col("rank") <= k).groupBy("query").agg(F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "body"))), lambda x: F.concat_ws(" ", x["title"], x["body"])), " ")).alias("text"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace import scratch
 from millrace.operators.resolve import build_dictionary
 
 
@@ -18,6 +17,11 @@ def words(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "word")).where(F.length("word") >= 6)
 
 
+def all_words(df: DataFrame, *keep: str) -> DataFrame:
+    """Lower-case words of any letters and length."""
+    return df.select(*keep, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("mention")).where("mention <> ''")
+
+
 def kb(spark: SparkSession, d: str) -> DataFrame:
     """Aliases from the benchmark's words: item_id, alias_pos, alias, ticker, sector."""
     rows = words(t(spark, d, "benchmark"), "item_id")
@@ -36,11 +40,6 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return m.join(dictionary(spark, d), F.col("mention") == F.col("key")).select("doc_id", "pos", "mention", "ticker")
 
 
-def mentions_once(spark: SparkSession, d: str) -> DataFrame:
-    """The mentions as a table, for queries that use them several times."""
-    return scratch.written(mentions(spark, d), "mentions")
-
-
 def sectors(spark: SparkSession, d: str) -> DataFrame:
     """ticker, sector, sector_pos (first item of the sector)."""
     return kb(spark, d).groupBy("ticker", "sector").agg(F.min("item_id").alias("sector_pos"))
@@ -63,8 +62,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").where(F.col("user_id") % 2 == 0)
-    return e.select(F.concat(F.lit("T"), F.col("user_id") % 16, F.lit(".BK")).alias("ticker"), "ts", F.col("value").alias("close"))
+    """Quotes of the tickers with even numbers; all events take part."""
+    return t(spark, d, "events").select(F.concat(F.lit("T"), F.col("user_id") % 8 * 2, F.lit(".BK")).alias("ticker"), "ts", F.col("value").alias("close"))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +94,9 @@ doc_words AS (SELECT doc_id, unnest(a) AS mention, generate_subscripts(a, 1) - 1
               FROM (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS a FROM documents)),
 mentions AS (SELECT doc_id, pos, mention, ticker FROM doc_words JOIN dictionary ON mention = key WHERE length(mention) >= 6),
 firsts AS (SELECT doc_id, mention, ticker, min(pos) AS pos FROM mentions GROUP BY ALL)"""
+ALL_WORDS = KB + r""",
+every_word AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\pL]+')) AS mention FROM documents),
+all_words AS (SELECT doc_id, mention FROM every_word WHERE mention <> '')"""
 CACHE = KB + """,
 cache AS (SELECT lower(p_brand) AS key, 'T' || max(p_partkey % 16) || '.BK' AS ticker, max(p_partkey)::BIGINT AS updated_at FROM part GROUP BY 1
           UNION ALL SELECT key, 'W' || length(key) || '.BK', length(key)::BIGINT FROM dictionary WHERE length(key) % 3 = 0)"""
@@ -102,7 +104,7 @@ MEDIA = """
 media AS (SELECT o_orderkey AS media_id, o_orderpriority AS title, NULL::VARCHAR AS description, [o_orderstatus] AS tags,
                  o_orderstatus AS channel, (o_totalprice / 60)::DOUBLE AS duration_sec FROM orders)"""
 QUOTES = """
-quotes AS (SELECT 'T' || (user_id % 16) || '.BK' AS ticker, ts, value AS close FROM events WHERE user_id % 2 = 0)"""
+quotes AS (SELECT 'T' || (user_id % 8 * 2) || '.BK' AS ticker, ts, value AS close FROM events)"""
 HITS = """
 hits AS (SELECT page_id % 20 AS query, page_id // 20 AS rank, url AS href, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
                 regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages)"""

@@ -11,7 +11,7 @@ from millrace import scratch
 from millrace.functions import text as X
 from millrace.operators import audit, chunks, corrections, infer, prompts, resolve
 from millrace.plans import fixtures as fx
-from millrace.plans.fixtures import CACHE, HITS, KB, MARKDOWN, MEDIA, MENTIONS, QUOTES, t
+from millrace.plans.fixtures import ALL_WORDS, CACHE, HITS, KB, MARKDOWN, MEDIA, MENTIONS, QUOTES, t
 from millrace.sources import knowledge
 from millrace.streaming import transcripts
 
@@ -72,14 +72,13 @@ def vocab_scan(spark, d):
     rows = t(spark, d, "part").select(F.to_json(F.struct(F.lit("base").alias("investment_prompt"), F.array(F.struct(F.col("p_name").alias("term"), F.col("p_brand").alias("desc"), F.array("p_type").alias("hints"))).alias("vocab_list"))).alias("value"))
     path = scratch.new_path(spark, "vocabulary")
     rows.write.text(path)  # one document a line, so that the file is read in parallel
-    return spark.read.text(path).select(F.inline(F.from_json("value", knowledge.VOCABULARY)["vocab_list"]))
+    return knowledge.read_vocabulary(spark, path)
 
 
 @query("SRC4_cache_scan", f"WITH {KB} SELECT row_number() OVER (ORDER BY key) - 1 AS pos, key AS mention, ticker FROM dictionary")
 def cache_scan(spark, d):
     path = scratch.new_path(spark, "cache-json")
-    rows = fx.dictionary(spark, d).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "ticker"))))).alias("value"))
-    rows.write.text(path)
+    knowledge.write_cache(fx.dictionary(spark, d).withColumnRenamed("key", "mention"), path)
     return knowledge.read_cache(spark, path)
 
 
@@ -90,12 +89,12 @@ def media_scan(spark, d):
 
 @query("SRC6_chunk_text_scan", "SELECT conv_id AS media_id, turn AS idx, text, 'ok' AS status FROM conversations")
 def chunk_text_scan(spark, d):
-    return fx.turns(spark, d).select(F.col("conv_id").alias("media_id"), F.col("turn").alias("idx"), "text", F.lit("ok").alias("status"))
+    return knowledge.chunk_text(fx.turns(spark, d))
 
 
 @query("SNK1_kb_write", f"WITH {KB} SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, count(DISTINCT sector) AS n_sectors FROM kb")
 def kb_write(spark, d):
-    return spark.read.text(_kb_file(spark, d), wholetext=True).transform(lambda x: knowledge.kb_rows(F.col("value"), x)).agg(F.count("*").alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("sector").alias("n_sectors"))
+    return knowledge.read_kb(spark, _kb_file(spark, d)).agg(F.count("*").alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("sector").alias("n_sectors"))
 
 
 @query("SNK2_cache_upsert", f"""WITH {CACHE}, every AS (SELECT key AS mention, ticker, updated_at FROM cache UNION ALL
@@ -186,13 +185,22 @@ def index_guard(spark, d):
 per_doc("TXT19_protected_gate", lambda x: F.array_sort(X.protected(X.candidates(_sharp(x)), F.array(F.lit("IT"), F.lit("DE")))), f"list_sort(list_distinct(list_filter({_CANDS}, lambda x: x IN ('IT', 'DE') OR (length(x) >= 3 AND NOT list_contains({_BLACK}, x)))))")
 
 
-@query("TXT20_hint_replace")
+def _replaced(term: str, rule: str = "true") -> str:
+    """Texts with the dictionary's words replaced by ``term`` where ``rule`` holds, marks about the words kept."""
+    return rf"""WITH {KB}, lists AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents),
+parts AS (SELECT doc_id, a, unnest(a) AS w, generate_subscripts(a, 1) AS n FROM lists),
+bare AS (SELECT doc_id, a, n, w, lower(regexp_replace(w, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')) AS b FROM parts),
+met AS (SELECT doc_id, n, w, ticker, key, lower(array_to_string(list_slice(a, greatest(n - 5, 1), greatest(n - 5, 1) + 9), ' ')) AS around FROM bare LEFT JOIN dictionary ON b = key)
+SELECT doc_id, string_agg(CASE WHEN key IS NOT NULL AND {rule} THEN regexp_extract(w, '^[^\pL\pN]+') || {term} || regexp_extract(w, '[^\pL\pN]+$') ELSE w END, ' ' ORDER BY n) AS text FROM met GROUP BY doc_id"""
+
+
+@query("TXT20_hint_replace", _replaced("upper(key)"))
 def hint_replace(spark, d):
     hints = fx.dictionary(spark, d).select(F.col("key").alias("hint"), F.upper("key").alias("term"))
     return corrections.hint_replace(docs(spark, d), hints)
 
 
-@query("TXT21_context_rule")
+@query("TXT21_context_rule", _replaced("upper(key)", "regexp_matches(around, '(^| )(the|de|und)( |$)')"))
 def context_rule(spark, d):
     rules = fx.dictionary(spark, d).select(F.col("key").alias("hint"), F.upper("key").alias("term"), F.lit("(^| )(the|de|und)( |$)").alias("ctx"))
     return corrections.context_rule(docs(spark, d), rules)
@@ -208,14 +216,14 @@ def split_recursive(spark, d):
     return chunks.split_text(docs(spark, d), 4000)
 
 
-@query("TXT23_ticker_standardise")
+@query("TXT23_ticker_standardise", _replaced("upper(ticker)"))
 def ticker_standardise(spark, d):
     return corrections.standardise(docs(spark, d), fx.dictionary(spark, d).withColumnRenamed("key", "mention"))
 
 
 @query("TXT24_artifact_name", "SELECT o_orderkey, o_orderstatus || '_RAW_' || strftime(o_orderdate::TIMESTAMP, '%Y%m%d_%H%M') AS name FROM orders")
 def artifact_name(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", F.concat_ws("_", "o_orderstatus", F.lit("RAW"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMMdd_HHmm")).alias("name"))
+    return t(spark, d, "orders").select("o_orderkey", knowledge.artifact_name(F.lit("RAW"), F.col("o_orderdate"), F.col("o_orderstatus")).alias("name"))
 
 
 # --- replies ------------------------------------------------------------------------------------------------------
@@ -246,7 +254,7 @@ def fence_json(spark, d):
 
 @query("INF4_structured_out", f"WITH {MENTIONS} SELECT doc_id, count(*) AS n FROM firsts WHERE doc_id % 5 < 3 GROUP BY doc_id")
 def structured_out(spark, d):
-    return bracket_json(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return infer.structured(replies(spark, d, False), F.col("reply"), _ENTITY).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 # --- lookups ------------------------------------------------------------------------------------------------------
@@ -257,9 +265,9 @@ def distinct_words(spark, d) -> DataFrame:
 _WORDS = MENTIONS + ", distinct_words AS (SELECT DISTINCT mention FROM doc_words WHERE length(mention) >= 6)"
 
 
-@query("JOIN1_exact_resolve", f"WITH {_WORDS} SELECT mention, ticker FROM distinct_words LEFT JOIN dictionary ON mention = key")
+@query("JOIN1_exact_resolve", f"WITH {ALL_WORDS} SELECT mention, ticker FROM (SELECT DISTINCT mention FROM all_words) LEFT JOIN dictionary ON mention = key")
 def exact_resolve(spark, d):
-    return resolve.resolve_exact(distinct_words(spark, d), fx.dictionary(spark, d))
+    return resolve.resolve_exact(fx.all_words(docs(spark, d)).distinct(), fx.dictionary(spark, d))
 
 
 @query("JOIN2_code_resolve", f"""WITH {KB}, m AS (SELECT 't' || (doc_id % 40) AS mention, count(*) AS n FROM documents GROUP BY 1)
@@ -274,8 +282,10 @@ def overlay(spark, d):
     return resolve.overlay(fx.dictionary(spark, d), fx.cache(spark, d))
 
 
-_FUZZY = f"""WITH {_WORDS}, scored AS (SELECT mention, key AS alias, ticker, round(100.0 * (1 - levenshtein(mention, key)::DOUBLE / greatest(length(mention), length(key))))::INTEGER AS score
- FROM distinct_words JOIN dictionary ON abs(length(mention) - length(key)) <= 0.11 * greatest(length(mention), length(key))),
+_FUZZY = f"""WITH {_WORDS.replace("distinct_words AS (", "distinct_words AS MATERIALIZED (").replace("dictionary AS (", "dictionary AS MATERIALIZED (")},
+near AS MATERIALIZED (SELECT key, ticker, unnest(generate_series(length(key) - length(key) // 8 - 1, length(key) + length(key) // 8 + 1)) AS len FROM dictionary),
+scored AS MATERIALIZED (SELECT mention, key AS alias, ticker, round(100.0 * (1 - levenshtein(mention, key)::DOUBLE / greatest(length(mention), length(key))))::INTEGER AS score
+ FROM distinct_words JOIN near ON length(mention) = len WHERE abs(length(mention) - length(key)) <= 0.11 * greatest(length(mention), length(key))),
 best AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, alias) AS n FROM scored WHERE score >= 90),
 fuzzy AS (SELECT mention, alias, ticker, score FROM best WHERE n = 1 AND NOT (length(replace(ticker, '.BK', '')) <= 3 AND score < 100) AND NOT (regexp_full_match(mention, '[A-Za-z]+') AND score < 95)) """
 
@@ -297,17 +307,16 @@ def cascade(spark, d):
     return resolve.cascade(distinct_words(spark, d), fx.dictionary(spark, d), fx.kb(spark, d))
 
 
-@query("JOIN6_unknown", f"WITH {_WORDS} SELECT mention FROM distinct_words WHERE mention NOT IN (SELECT key FROM dictionary)")
+@query("JOIN6_unknown", f"WITH {ALL_WORDS} SELECT DISTINCT mention FROM all_words WHERE mention NOT IN (SELECT key FROM dictionary)")
 def unknown(spark, d):
-    return resolve.unknown(distinct_words(spark, d), fx.dictionary(spark, d))
+    return resolve.unknown(fx.all_words(docs(spark, d)).distinct(), fx.dictionary(spark, d))
 
 
 @query("JOIN7_priority", f"""WITH {KB}, tok AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(upper(source || ' T' || (doc_id % 40)), '[^\\pL\\pN_]+'), lambda x: length(x) >= 2)) AS token FROM documents)
 SELECT doc_id, token FROM tok WHERE token IN (SELECT replace(ticker, '.BK', '') FROM kb)""")
 def priority(spark, d):
     title = F.upper(F.concat_ws(" ", "source", F.concat(F.lit("T"), F.col("doc_id") % 40)))
-    tokens = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.split(title, r"[^\p{L}\p{N}_]+"))).alias("token")).where(F.length("token") >= 2)
-    return tokens.join(fx.kb(spark, d).select(X.strip_suffix(F.col("ticker")).alias("token")).distinct(), "token", "left_semi").select("doc_id", "token")
+    return resolve.priority(docs(spark, d), title, fx.kb(spark, d))
 
 
 _TRADED = f"""WITH {MENTIONS}, {QUOTES.strip()}, latest AS (SELECT max(ts) AS ts FROM events),
@@ -347,10 +356,10 @@ def hits_to_candidate_v2(spark, d):
 
 @query("LIM3_top_k_hits", f"WITH {HITS.strip()} SELECT query, rank, href FROM hits QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 3")
 def top_k_hits(spark, d):
-    return fx.hits(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("n <= 3").select("query", "rank", "href")
+    return resolve.top_k_hits(fx.hits(spark, d), 3).select("query", "rank", "href")
 
 
-per_doc("LIM4_first_candidate", lambda x: F.get(X.candidates(_sharp(x)), F.lit(0)), f"{_CANDS}[1]")
+per_doc("LIM4_first_candidate", lambda x: X.first_candidate(_sharp(x)), f"{_CANDS}[1]")
 
 
 def entities(spark, d) -> DataFrame:
@@ -389,17 +398,24 @@ def sector_list(spark, d):
 
 
 @query("AGG3_terms_list", f"""WITH {KB}, one AS (SELECT sector AS grp, ticker AS canonical, min(item_id * 100000 + alias_pos) AS pos, string_agg(alias, ', ' ORDER BY item_id * 100000 + alias_pos) AS a FROM kb GROUP BY ALL)
-SELECT grp, '## ' || grp || chr(10) || string_agg('- ' || canonical || ': ' || a, chr(10) ORDER BY pos) AS text FROM one GROUP BY grp""")
+SELECT grp, '## ' || grp || chr(10) || string_agg('- ' || canonical || ': ' || a, chr(10) ORDER BY pos) AS text FROM one GROUP BY grp
+UNION ALL SELECT DISTINCT n_name, '{prompts.NO_TERMS}' FROM nation WHERE n_name NOT IN (SELECT grp FROM one)""")
 def terms_list(spark, d):
-    return prompts.terms_list(fx.kb(spark, d).select(F.col("sector").alias("grp"), F.col("ticker").alias("canonical"), "alias", (F.col("item_id") * 100000 + F.col("alias_pos")).alias("pos")))
+    terms = fx.kb(spark, d).select(F.col("sector").alias("grp"), F.col("ticker").alias("canonical"), "alias", (F.col("item_id") * 100000 + F.col("alias_pos")).alias("pos"))
+    groups = t(spark, d, "nation").select(F.col("n_name").alias("grp")).union(terms.select("grp"))
+    return prompts.terms_list(terms, groups)
 
 
 @query("AGG4_kb_count", f"WITH {KB} SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers FROM (SELECT DISTINCT sector, ticker FROM kb)")
 def kb_count(spark, d):
-    return fx.kb(spark, d).select("sector", "ticker").distinct().agg(F.count("*").alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"))
+    return resolve.kb_count(fx.kb(spark, d))
 
 
-per_doc("AGG5_keep_first", lambda x: F.array_sort(prompts.keep_first(F.split(x, " "))), "list_sort(list_distinct(list_filter(string_split(text, ' '), lambda x: trim(x) <> '')))")
+@query("AGG5_keep_first", """WITH lists AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS n FROM lists),
+f AS (SELECT doc_id, x, min(n) AS n FROM w WHERE trim(x) <> '' GROUP BY doc_id, x), j AS (SELECT doc_id, list(x ORDER BY n) AS value FROM f GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(value, []) END AS value FROM documents LEFT JOIN j USING (doc_id)""")
+def keep_first(spark, d):
+    return docs(spark, d).select("doc_id", prompts.keep_first(F.split("text", " ")).alias("value"))
 
 
 def vocabulary(spark, d) -> DataFrame:
@@ -417,9 +433,10 @@ def mapping_text(spark, d):
     return prompts.mapping_text(resolve.first_seen(fx.mentions(spark, d)))
 
 
-@query("AGG8_entity_text", _ENTITIES + " SELECT doc_id, string_agg(mention || ' (' || type || '): ' || coalesce(ticker, 'UNKNOWN'), chr(10) ORDER BY pos) AS entities FROM enriched GROUP BY doc_id")
+@query("AGG8_entity_text", _ENTITIES + f""", made AS (SELECT doc_id, string_agg(mention || ' (' || type || '): ' || coalesce(ticker, 'UNKNOWN'), chr(10) ORDER BY pos) AS entities FROM enriched GROUP BY doc_id)
+SELECT doc_id, coalesce(entities, '{prompts.NO_ENTITIES}') AS entities FROM documents LEFT JOIN made USING (doc_id)""")
 def entity_text(spark, d):
-    return prompts.entity_text(enrich(spark, d))
+    return prompts.entity_text(enrich(spark, d), docs=docs(spark, d))
 
 
 @query("AGG9_hint_text", "SELECT p_brand AS grp, string_agg('- ' || p_name || ' (heard as: ' || p_type || ')' || CASE WHEN p_partkey % 2 = 0 THEN ' rule: ' || p_type ELSE '' END, chr(10) ORDER BY p_partkey) AS hints_text FROM part GROUP BY 1")
@@ -429,7 +446,7 @@ def hint_text(spark, d):
 
 @query("AGG10_media_prompt", f"WITH {MEDIA} SELECT media_id, substr(concat_ws(' | ', 'Channel: ' || channel, CASE WHEN channel = 'F' THEN title END, array_to_string(tags, ' ')), 1, 1000) AS prompt FROM media")
 def media_prompt(spark, d):
-    return fx.media(spark, d).select("media_id", X.cap(F.concat_ws(" | ", F.concat(F.lit("Channel: "), "channel"), F.when(F.col("channel") == "F", F.col("title")), F.array_join("tags", " ")), 1000).alias("prompt"))
+    return prompts.media_prompt(fx.media(spark, d), F.when(F.col("channel") == "F", F.col("title")))
 
 
 @query("AGG12_cache_audit", f"""WITH {CACHE} SELECT c.ticker, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM cache) AS share, count(*) FILTER (b.ticker <> c.ticker) AS n_contradict
@@ -440,7 +457,7 @@ def cache_audit(spark, d):
 
 @query("AGG13_run_stats", f"WITH {MENTIONS} SELECT doc_id, count(*) AS n_mentions, count(DISTINCT mention) AS n_distinct, max(pos)::INTEGER AS last_pos FROM mentions GROUP BY doc_id")
 def run_stats(spark, d):
-    return fx.mentions(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_mentions"), F.count_distinct("mention").alias("n_distinct"), F.max("pos").alias("last_pos"))
+    return resolve.run_stats(fx.mentions(spark, d))
 
 
 @query("AGG14_reassemble", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_parts FROM conversations GROUP BY conv_id")
@@ -472,7 +489,7 @@ def chunk_plan_stop(spark, d):
 
 @query("WIN4_restore_order", "SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def restore_order(spark, d):
-    return fx.turns(spark, d).groupBy("conv_id").agg(prompts.ordered("text", "turn").alias("texts"))
+    return chunks.in_order(fx.turns(spark, d), "conv_id", "turn", "text")
 
 
 def _slices(spark, d) -> DataFrame:
@@ -496,7 +513,12 @@ def lookback_dedupe(spark, d):
     return docs(spark, d).select("doc_id", chunks.lookback_dedupe(F.col("text")).alias("value"))
 
 
-@query("WIN8_carry_context", "SELECT conv_id, turn, text, coalesce(lag(right(text, 300)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context FROM conversations")
+@query("WIN7b_lookback_dedupe_sequence")
+def lookback_dedupe_sequence(spark, d):
+    return chunks.lookback_dedupe_sequence(fx.turns(spark, d).groupBy("conv_id").agg(F.array_join(prompts.ordered("text", "turn"), "\n").alias("text")), "conv_id")
+
+
+@query("WIN8_carry_context","SELECT conv_id, turn, text, coalesce(lag(right(text, 300)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context FROM conversations")
 def carry_context(spark, d):
     return chunks.carry_context(fx.turns(spark, d).select("conv_id", "turn", "text"), "conv_id", "turn", "text")
 
@@ -517,7 +539,7 @@ def sample_terms(spark, d):
 @query("SET1_vocab_union", f"WITH {KB} SELECT ticker AS term FROM kb UNION ALL SELECT alias FROM kb UNION ALL SELECT p_brand FROM part")
 def vocab_union(spark, d):
     k = fx.kb(spark, d)
-    return k.select(F.col("ticker").alias("term")).union(k.select("alias")).union(t(spark, d, "part").select("p_brand"))
+    return prompts.vocab_union(k.select("ticker"), k.select("alias"), t(spark, d, "part").select("p_brand"))
 
 
 per_doc("SET2_distinct_set", lambda x: F.array_sort(F.array_distinct(X.candidates(_sharp(x)))), f"list_sort(list_distinct({_CANDS}))")
@@ -549,10 +571,9 @@ def length_ratio(spark, d):
     return audit.length_ratio(rows, "text", "fixed").select("conv_id", "turn", "ratio", "too_short")
 
 
-@query("AUD4_verify_status", f"WITH {_WORDS}, u AS (SELECT DISTINCT doc_id, mention FROM doc_words WHERE length(mention) >= 6 AND mention NOT IN (SELECT key FROM dictionary)) SELECT doc_id, count(*) AS n_unknown, string_agg(mention, ',' ORDER BY mention) AS unknown FROM u GROUP BY doc_id")
+@query("AUD4_verify_status", f"WITH {ALL_WORDS}, u AS (SELECT DISTINCT doc_id, mention FROM all_words WHERE mention NOT IN (SELECT key FROM dictionary)) SELECT doc_id, count(*) AS n_unknown, string_agg(mention, ',' ORDER BY mention) AS unknown FROM u GROUP BY doc_id")
 def verify_status(spark, d):
-    m = fx.words(docs(spark, d), "doc_id").select("doc_id", F.col("word").alias("mention"))
-    return audit.verify_status(resolve.unknown(m, fx.dictionary(spark, d)))
+    return audit.verify_status(resolve.unknown(fx.all_words(docs(spark, d), "doc_id"), fx.dictionary(spark, d)))
 
 
 @query("AUD5_bullet_detail", f"""WITH {MARKDOWN}, b AS (SELECT doc_id, list_filter(string_split(markdown, chr(10)), lambda x: starts_with(x, '- ')) AS b FROM summary)
@@ -602,7 +623,7 @@ def mention_stream(spark, d) -> DataFrame:
 
 
 @query("STR1_sliding_mentions", f"""WITH {MENTIONS}, w AS (SELECT doc_id AS media_id, unnest(generate_series(pos // 30 * 30 - 30, pos // 30 * 30, 30)) AS s, pos FROM mentions)
-SELECT media_id, make_timestamp(s * 1000000) AS start, make_timestamp((s + 45) * 1000000) AS "end", count(*) AS n_mentions FROM w WHERE pos < s + 45 GROUP BY ALL""")
+SELECT media_id, make_timestamp(s * 1000000) AS start, make_timestamp((s + 45) * 1000000) AS "end", count(*) AS n_mentions FROM w WHERE pos < s + 45 AND s >= 0 GROUP BY ALL""")
 def sliding_mentions(spark, d):
     out = transcripts.replay(mention_stream(spark, d), transcripts.sliding_mentions, "complete", "sliding")
     return out.select("media_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_mentions")
@@ -611,7 +632,7 @@ def sliding_mentions(spark, d):
 @query("STR2_stream_stitch")
 def stream_stitch(spark, d):
     rows = fx.turns(spark, d).select(F.col("conv_id").alias("media_id"), F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn")).alias("idx"), "text").withColumn("idx", F.col("idx") - 1)
-    return transcripts.replay(rows, transcripts.stream_stitch, "update", "stitch")
+    return transcripts.stitched(transcripts.replay(rows, transcripts.stream_stitch, "update", "stitch"))
 
 
 @query("STR3_stream_first_seen", f"WITH {MENTIONS} SELECT DISTINCT doc_id AS media_id, mention FROM mentions")
@@ -621,7 +642,19 @@ def stream_first_seen(spark, d):
     return transcripts.replay(rows, transcripts.first_seen, "append", "first")
 
 
-@query("STR4_stream_resolve", f"WITH {_WORDS} SELECT doc_id AS media_id, mention, ticker FROM (SELECT doc_id, mention FROM doc_words WHERE length(mention) >= 6) LEFT JOIN dictionary ON mention = key")
+@query("STR4_stream_resolve", f"WITH {ALL_WORDS} SELECT doc_id AS media_id, mention, ticker FROM all_words LEFT JOIN dictionary ON mention = key")
 def stream_resolve(spark, d):
-    rows = fx.words(docs(spark, d), "doc_id").select(F.col("doc_id").alias("media_id"), F.col("word").alias("mention"))
+    rows = fx.all_words(docs(spark, d), "doc_id").withColumnRenamed("doc_id", "media_id")
     return transcripts.replay(rows, lambda s: transcripts.stream_resolve(s, fx.dictionary(spark, d)), "append", "resolve")
+
+
+@query("STR4b_stream_resolve_cache", f"""WITH {MENTIONS}, {CACHE.replace(KB + ",", "").strip()}, every AS (SELECT key AS mention, ticker, updated_at - 1000000 AS updated_at FROM cache
+ UNION ALL SELECT DISTINCT mention, ticker, 0 FROM mentions)
+SELECT mention, ticker, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY updated_at DESC, ticker DESC) AS n FROM every) WHERE n = 1""")
+def stream_resolve_cache(spark, d):
+    """The cache after a stream has run: older entries give way to what the stream resolved."""
+    cache = fx.cache(spark, d).select(F.col("key").alias("mention"), "ticker", (F.col("updated_at") - 1000000).alias("updated_at"))
+    rows = fx.words(docs(spark, d), "doc_id").select(F.col("doc_id").alias("media_id"), F.col("word").alias("mention"))
+    sink = transcripts.CacheSink(cache)
+    transcripts.replay(rows, lambda s: transcripts.stream_resolve(s, fx.dictionary(spark, d)), "append", "resolve", sink)
+    return sink.table()

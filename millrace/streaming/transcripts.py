@@ -13,33 +13,60 @@ from millrace import scratch
 from millrace.operators.chunks import stitch_two
 
 
-def sliding_mentions(mentions: DataFrame, length: str = "45 seconds", slide: str = "30 seconds", late: str = "1 minute") -> DataFrame:
-    """Mentions per media item and window of event time ``ts``."""
+def sliding_mentions(mentions: DataFrame, length: str = "45 seconds", slide: str = "30 seconds", late: str = "1 minute", begin: str | None = "1970-01-01 00:00:00") -> DataFrame:
+    """Mentions per media item and window of event time ``ts``. Windows that start before ``begin``, where the media start, are left out."""
     w = mentions.withWatermark("ts", late).groupBy("media_id", F.window("ts", length, slide)).agg(F.count("*").alias("n_mentions"))
-    return w.select("media_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_mentions")
+    w = w.select("media_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_mentions")
+    return w.where(F.col("start") >= F.lit(begin).cast("timestamp")) if begin else w
 
 
 def first_seen(mentions: DataFrame, late: str = "1 minute") -> DataFrame:
     return mentions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["media_id", "mention"]).select("media_id", "mention")
 
 
-def stream_stitch(chunks: DataFrame, window: int = 500, least: int = 10) -> DataFrame:
-    """``media_id``, ``next_idx``, ``text`` after each batch: chunks are added in order of ``idx``; later ones wait for the gap."""
+def stream_stitch(chunks: DataFrame, window: int = 500, least: int = 10, wait_ms: int | None = None) -> DataFrame:
+    """``media_id``, ``start``, ``next_idx``, ``piece`` after each batch: chunks are added in order of ``idx``; later ones wait for the gap.
+
+    A piece is what the batch adds to the text; joined by ``start``, the characters before it, a media item's pieces are
+    the text (``stitched`` does that). The state holds the text's last ``window`` characters, which the next overlap is
+    looked for in, and the waiting chunks. With ``wait_ms`` a gap that stays open for so long is left out: the chunks
+    behind it are added as if it were empty.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, following, idx, waiting = state.get if state.exists else ("", 0, [], [])
-        held = dict(zip(idx, waiting, strict=True))
-        for frame in frames:
-            held.update({int(i): t for i, t in zip(frame["idx"], frame["text"], strict=True) if int(i) >= following})
-        while following in held:
-            part = (held.pop(following) or "").strip()
+        tail, start, following, idx, waiting = state.get if state.exists else ("", 0, 0, [], [])
+        held, added = dict(zip(idx, waiting, strict=True)), ""
+
+        def take() -> None:
+            nonlocal tail, following, added
+            part = (held.pop(following, None) or "").strip()
             if part:
-                text = stitch_two(text, part, window, least) if text else part
+                whole = stitch_two(tail, part, window, least) if start + len(added) else part
+                added += whole[len(tail) :]
+                tail = whole[-window:]
             following += 1
-        state.update((text, following, list(held), list(held.values())))
-        yield pd.DataFrame({"media_id": [key[0]], "next_idx": [following], "text": [" ".join(text.split())]})
 
-    return chunks.groupBy("media_id").applyInPandasWithState(step, "media_id long, next_idx int, text string", "text string, next_idx int, idx array<int>, waiting array<string>", "update", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            following = min(held)
+        else:
+            for frame in frames:
+                held.update({int(i): t for i, t in zip(frame["idx"], frame["text"], strict=True) if int(i) >= following})
+        while following in held:
+            take()
+        state.update((tail, start + len(added), following, list(held), list(held.values())))
+        if wait_ms and held:
+            state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame({"media_id": [key[0]], "start": [start], "next_idx": [following], "piece": [added]})
+
+    return chunks.groupBy("media_id").applyInPandasWithState(step, "media_id long, start long, next_idx int, piece string", "tail string, start long, next_idx int, idx array<int>, waiting array<string>", "update", timeout)
+
+
+def stitched(pieces: DataFrame) -> DataFrame:
+    """The texts that ``stream_stitch`` has put out so far: ``media_id``, ``next_idx``, ``text``, with single blanks."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "next_idx", "piece"))), lambda x: x["piece"])
+    whole = pieces.groupBy("media_id").agg(F.max("next_idx").alias("next_idx"), F.array_join(parts, "").alias("text"))
+    return whole.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
 
 
 def stream_resolve(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -48,13 +75,49 @@ def stream_resolve(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     return mentions.join(d, F.col("mention") == F.col("_key"), "left").drop("_key")
 
 
-def replay(table: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a streaming plan over a table's rows, written as files, until all are read; the rows it put out."""
+def replay(table: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append", name: str = "stream", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a streaming plan over a table's rows, written as files, until all are read; the rows it put out.
+
+    ``each`` gets every batch besides, with its number: a sink that is written anew when Spark repeats a batch.
+    """
     spark = table.sparkSession
     source, out, log = (scratch.new_path(spark, f"{name}-{k}") for k in ("in", "out", "log"))
     table.write.parquet(source)
     made = make(spark.readStream.schema(table.schema).parquet(source))
     schema = made.schema
-    query = made.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if each is not None:
+            each(spark.read.schema(schema).parquet(f"{out}/batch={n}"), n)
+
+    query = made.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+
+
+class CacheSink:
+    """A cache of resolved mentions that batches of ``stream_resolve`` are merged into: ``mention``, ``ticker``, ``updated_at``.
+
+    Each batch writes a version of its own, from the newest version before it; a batch that Spark repeats writes the
+    same one anew. ``updated_at`` is the batch's number.
+    """
+
+    def __init__(self, cache: DataFrame) -> None:
+        self.spark, self.schema = cache.sparkSession, cache.select("mention", "ticker", "updated_at").schema
+        self.path, self.newest = scratch.new_path(cache.sparkSession, "resolve-cache"), -1
+        cache.select("mention", "ticker", "updated_at").write.parquet(f"{self.path}/version=-1")
+
+    def version(self, n: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={n}")
+
+    def __call__(self, batch: DataFrame, n: int) -> None:
+        from millrace.sources.knowledge import upsert
+
+        found = batch.where("ticker is not null").select("mention", "ticker").distinct().withColumn("updated_at", F.lit(n).cast(self.schema["updated_at"].dataType))
+        before = self.newest if self.newest < n else n - 1
+        upsert(self.version(before), found).select("mention", "ticker", "updated_at").write.mode("overwrite").parquet(f"{self.path}/version={n}")
+        self.newest = n
+
+    def table(self) -> DataFrame:
+        return self.version(self.newest)

@@ -145,3 +145,94 @@ def test_empty_dictionary(spark):
     d = spark.createDataFrame([], "key string, ticker string")
     m = spark.createDataFrame([("abc",)], "mention string")
     assert resolve.cascade(m, d, d).first()["method"] == "none"
+
+
+def test_hint_replace_any_length_and_any_ids(spark):
+    hints = spark.createDataFrame([("one two three four five", "LONG"), ("big red", "BR"), ("Two", "2")], "hint string, term string")
+    rows = [(1, "say (one two three four five), two"), (1, "nothing here now"), (1, "big red big big red."), (None, "Big Red!"), (2, ""), (2, None), (3, "one two three four")]
+    found = corrections.hint_replace(spark.createDataFrame(rows, "doc_id long, text string"), hints).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in found) == sorted(
+        [("1", "say (LONG), 2"), ("1", "nothing here now"), ("1", "BR big BR."), ("None", "BR!"), ("2", ""), ("2", "None"), ("3", "one 2 three four")]
+    )
+
+
+def test_context_rule_and_standardise_of_several_words(spark):
+    rules = spark.createDataFrame([("the phase", "Phase 2", "revenue"), ("the phase", "Phase 3", "tender")], "hint string, term string, ctx string")
+    docs = spark.createDataFrame([(1, "revenue of the phase grew"), (2, "a tender for the phase, then"), (3, "the phase alone")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corrections.context_rule(docs, rules).collect()} == {1: "revenue of Phase 2 grew", 2: "a tender for Phase 3, then", 3: "the phase alone"}
+    mapping = spark.createDataFrame([("big red", "brd.bk")], "mention string, ticker string")
+    assert corrections.standardise(docs.selectExpr("doc_id", "'the big red, bigger' AS text"), mapping).first()["text"] == "the BRD.BK, bigger"
+
+
+def test_lookback_dedupe_sequence_equals_difflib(spark):
+    import difflib
+
+    random.seed(12)
+    texts = []
+    for _ in range(40):
+        lines = ["".join(random.choice("ab cü") for _ in range(random.randint(1, 260)))]
+        for _ in range(7):
+            line = list(random.choice(lines))
+            for _ in range(random.randint(0, 9)):
+                line.insert(random.randrange(len(line) + 1), random.choice("abü"))
+            lines.append("".join(line))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id int, text string")
+    for autojunk in (False, True):
+        found = {r["doc_id"]: r["value"] for r in chunks.lookback_dedupe_sequence(df, autojunk=autojunk).collect()}
+        assert found[99] is None
+        for n, text in enumerate(texts):
+            kept = []
+            for line in filter(None, (x.strip() for x in text.split("\n"))):
+                if not any(difflib.SequenceMatcher(None, a, line, autojunk=autojunk).ratio() > 0.85 for a in kept[-5:]):
+                    kept.append(line)
+            assert found[n] == "\n".join(kept)
+
+
+def test_readers_survive_missing_and_broken_files(spark, tmp_path):
+    from millrace.sources import knowledge
+
+    nowhere, broken = str(tmp_path / "nowhere"), tmp_path / "broken.json"
+    broken.write_text("{oops")
+    for whole in (False, True):
+        for path in (nowhere, str(broken)):
+            for read in (knowledge.read_kb, knowledge.read_vocabulary, knowledge.read_cache):
+                assert read(spark, path, whole=whole).count() == 0
+    (tmp_path / "kb.json").write_text('{"Energy": {"PTT.BK": ["ptt", "p t t"], "EGCO.BK": []}, "Bank": {"KBANK.BK": ["kasikorn"]}}')
+    rows = [tuple(r) for r in knowledge.read_kb(spark, str(tmp_path / "kb.json"), whole=True).collect()]
+    assert rows == [("Energy", 0, "PTT.BK", 0, 0, "ptt"), ("Energy", 0, "PTT.BK", 0, 1, "p t t"), ("Energy", 0, "EGCO.BK", 1, None, None), ("Bank", 1, "KBANK.BK", 0, 0, "kasikorn")]
+    (tmp_path / "cache.json").write_text('{"b": "B.BK", "a": "A.BK"}')
+    assert [tuple(r) for r in knowledge.read_cache(spark, str(tmp_path / "cache.json"), whole=True).collect()] == [(0, "b", "B.BK"), (1, "a", "A.BK")]
+
+
+def test_options_of_text_functions(spark):
+    assert one(spark, lambda c: X.drop_fillers(c, protect=["อ่างทอง"]), "อ่าา อ่างทอง") == " อ่างทอง"
+    assert one(spark, lambda c: X.strip_echo(c, anchored=True), " [CONTEXT old] answer [1] x") == "[CONTEXT old] answer [1] x"
+    assert one(spark, lambda c: X.strip_echo(c, marker="[CONTEXT", anchored=True), " [CONTEXT old] answer [1] x") == "answer [1] x"
+
+
+def test_notices_and_fallback(spark):
+    from millrace.operators import prompts
+
+    v = spark.createDataFrame([("g", 1, "SET ", ["fed", "", None]), ("g", 2, "fed", None)], "grp string, pos int, term string, hints array<string>")
+    prompt = lambda *a: prompts.keyword_prompt(v, "grp", *a).first()["prompt"]
+    assert prompt("Base ", " more ") == "more Base SET fed" and prompt(" ", "more") == prompts.FALLBACK_CONTEXT + " SET fed"
+
+
+def test_batch_call_bounds_its_calls(spark):
+    from millrace.operators import infer
+
+    df = spark.range(40).selectExpr("cast(id AS string) AS text").repartition(16)
+    assert infer.batch_call(df, "text", str.upper, workers=3, wait=0).rdd.getNumPartitions() == 3
+
+
+def test_stream_stitch_equals_batch_and_gaps_time_out(spark):
+    from millrace.streaming import transcripts
+
+    random.seed(5)
+    text = " ".join("".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(3, 9))) for _ in range(400))
+    rows = [(1, k, text[a : a + 450]) for k, a in enumerate(range(0, len(text) - 150, 300))] + [(2, 1, "late"), (3, 0, " "), (3, 1, "first words"), (3, 2, "words after")]
+    table = spark.createDataFrame(rows, "media_id long, idx int, text string").repartition(5)
+    found = {r["media_id"]: r["text"] for r in transcripts.stitched(transcripts.replay(table, transcripts.stream_stitch, "update", "test")).collect()}
+    batch = {r["media_id"]: r["text"] for r in chunks.stitch(table).collect()}
+    assert found == batch | {2: ""}
