@@ -52,8 +52,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         shared = lines.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last")
     else:  # one row for each key and document first, so that no key's documents meet in one place
         shared = lines.groupBy("key", "doc").agg(F.lit(1).alias("one")).groupBy("key").agg(F.min("doc").alias("keeper"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    # A table of its own: both sides of the join are dealt plainly then, so Spark can split a line that very many hold.
+    shared = scratch.written(shared.select("key", "keeper"), "shared-lines")
     cut = (
-        lines.join(shared.select("key", "keeper"), "key")
+        lines.join(shared, "key")
         .where("doc <> keeper")
         .groupBy("doc", "version")
         .agg(F.sort_array(F.collect_set("pos")).alias(f"{prefix}cut"))

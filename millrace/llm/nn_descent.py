@@ -4,14 +4,16 @@ Equal vectors are one point. Every point gets first neighbours from a few deals
 Then, in rounds, Spark joins each point's neighbours (its own and those that have it) with each other: each pair of
 them is measured, and each keeps what is nearer than its farthest neighbour, until the lists hardly get nearer. A query starts
 from its own point and widens a list of the ``BEAM`` nearest by the neighbours of the nearest not yet opened, one
-join a round for all queries, until all on the list are open. Scores are made anew from the original vectors.
+join a round for all queries, until all on the list are open. A round moves the lists and the vectors of what was
+opened; a query measures them in one block. Scores are made anew from the original vectors.
 
 The graph is the method's own approximation: lists of ``DEGREE`` neighbours, and as many of those that point back;
 the recall against brute force is measured in the tests. All points are in the graph; nothing is sampled.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components take no part. Shorter
 vectors are filled up with zeros. Equal vectors are found at distance 0, smallest ids first, without the query's own
-row. Fewer candidates than k are all returned if the graph reaches them, as it does in tables of few points.
+row. Up to BLOCK / 2 points are one block, so lists there hold all others or DEGREE of them, and fewer candidates than k
+are all returned. An id with several vectors is searched for by each, and is found at each.
 """
 
 from __future__ import annotations
@@ -142,6 +144,28 @@ def build_graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -
     return graph
 
 
+def _widened(state: DataFrame, fresh: DataFrame, width: int, beam: int) -> DataFrame:
+    """``state`` with what its opened nodes lead to: each query measures its fresh nodes at once and keeps the ``beam`` nearest."""
+    schema = "q long, qv array<float>, node array<long>, d array<double>, opened array<boolean>"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["q", "qv", "node", "d", "opened"])
+        held = {c: left.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("node", "d", "opened", "next")}
+        node, d, opened = held["node"], held["d"], held["opened"].astype(bool) | np.isin(held["node"], held["next"])
+        if right.num_rows:
+            new = ~np.isin(right.column("node").to_numpy(), node)
+            x, q = matrix(right.column("v"), width)[new].astype(float), matrix(left.column("qv"), width)[0].astype(float)
+            node = np.concatenate((node, right.column("node").to_numpy()[new]))
+            d, opened = np.concatenate((d, np.sqrt(((x - q) ** 2).sum(1)))), np.concatenate((opened, np.zeros(len(x), bool)))
+            order = np.lexsort((node, d))[:beam]
+            node, d, opened = node[order], d[order], opened[order]
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        return pa.table({"q": left.column("q"), "qv": left.column("qv").cast(pa.list_(pa.float32())), "node": one(node, pa.int64()), "d": one(d, pa.float64()), "opened": one(opened, pa.bool_())})
+
+    return state.groupBy("q").cogroup(fresh.groupBy("of")).applyInArrow(run, schema)
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE, beam: int = BEAM, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (Euclidean distance) of about the k nearest. ``is_query`` is a condition on ``vec_id``."""
     vectors = valid(rows, id_col, vec_col).where(F.exists("v", lambda x: x != 0.0))
@@ -154,19 +178,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE,
     links = scratch.written(flat.select("a", "b").union(back).distinct().groupBy("a").agg(F.collect_list("b").alias("to")), "nn-links")
     asked = scratch.written(vectors.where(is_query).join(points.select("rep", "v"), "v").select(F.col("vec_id").alias("query_id"), "rep", "v"), "nn-asked")
     asking = scratch.written(asked.groupBy(F.col("rep").alias("q")).agg(F.first("v").alias("qv")), "nn-asking")
-    state = asking.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("open"))
+    narrow = scratch.written(points.select(F.col("rep").alias("node"), F.col("v").cast("array<float>").alias("v")), "nn-narrow")
+    width = points.agg(F.max(F.size("v"))).first()[0]
+    # One row a query: its ``beam`` nearest nodes so far, nearest first, and which of them have been opened.
+    state = asking.select("q", F.col("qv").cast("array<float>").alias("qv"), F.array("q").alias("node"), F.array(F.lit(0.0)).alias("d"), F.array(F.lit(False)).alias("opened"))
     while True:
-        # One row a query: the nodes seen, nearest first; of the first ``beam`` the nearest closed ones are opened.
-        lists = scratch.written(state.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "node", "open"))).alias("seen")), "nn-seen")
-        to_open = F.slice(F.filter(F.slice("seen", 1, beam), lambda s: ~s["open"]), 1, OPENED)
-        lists = lists.withColumn("next", F.transform(to_open, lambda s: s["node"]))
-        if lists.where(F.size("next") > 0).isEmpty():
+        closed = F.filter(F.arrays_zip("node", "opened"), lambda s: ~s["opened"])
+        state = scratch.written(state.withColumn("next", F.transform(F.slice(closed, 1, OPENED), lambda s: s["node"])), "nn-state")
+        if state.where(F.size("next") > 0).isEmpty():
             break
-        seen = lists.select("q", F.explode("seen").alias("s"), "next").select("q", "s.node", "s.d", (F.col("s.open") | F.array_contains("next", F.col("s.node"))).alias("open"))
-        fresh = lists.select("q", F.explode("next").alias("a")).join(links, "a").select("q", F.explode("to").alias("node")).distinct().join(seen.select("q", "node"), ["q", "node"], "left_anti")
-        fresh = fresh.join(points.select(F.col("rep").alias("node"), "v"), "node").join(asking, "q").select("q", "node", distance(F.col("v"), F.col("qv")).alias("d"), F.lit(False).alias("open"))
-        state = scratch.written(seen.union(fresh), "nn-state")
-    best = lists.select("q", F.explode(F.slice("seen", 1, k + 1)).alias("s")).select("q", F.col("s.node").alias("node"), F.col("s.d").alias("d"))
+        fresh = state.select("q", F.explode("next").alias("a")).join(links, "a").select("q", F.explode("to").alias("node")).distinct()
+        state = _widened(state, fresh.join(narrow, "node").select(F.col("q").alias("of"), "node", "v"), width, beam)
+    # The nearest anew, from the original vectors; twice as many as are wanted, as the beam's distances are those of rounded ones.
+    best = state.select("q", F.explode(F.slice("node", 1, 2 * (k + 1))).alias("node")).join(asking, "q").join(points.select(F.col("rep").alias("node"), "v"), "node").select("q", "node", distance(F.col("v"), F.col("qv")).alias("d"))
     best = best.join(points.select(F.col("rep").alias("node"), "ids"), "node").groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("s"), i.alias("i")))))), 1, k + 1).alias("best"))
     rest = F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k)
     out = asked.select("query_id", F.col("rep").alias("q")).join(best, "q").select("query_id", F.posexplode(rest).alias("pos", "x"))
