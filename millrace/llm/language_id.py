@@ -7,8 +7,10 @@ of distinct bytes seen there against that and the count). A text costs the sum o
 each language; the cheapest language is predicted. The trees are learned from a bounded sample, about
 ``MOST_DOCS`` whole texts a language chosen by hash; scoring sees every byte of every text.
 
-Scoring looks all windows of DEPTH + 1 bytes up at once: the windows that some tree holds in a hash table with
-their cost in each language, the others by their last DEPTH bytes and the escape of their context.
+Scoring looks all windows of DEPTH + 1 bytes up at once: the windows that some tree holds in a hash table with their
+cost in each language, the others by the escape of their context and the window without its first byte, and so on. The
+tables hold a row for each n-gram and context that some language has, so they grow with the sample and the number of
+languages, and not with the alphabet.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, empty text too. Rows without a language
 teach nothing. If nothing is learned, every text is ``und``. Ties go to the language first in alphabetical order.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_chunks
+from millrace.llm.common import byte_chunks, give_back
 
 DEPTH = 3
 MOST_DOCS = 1500
@@ -68,95 +70,105 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     return sample.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-class Coder:
-    """Code lengths from the counts, ready for lookups. Built once in a worker."""
+class Lookup:
+    """Rows of numbers by 64-bit names, in hash tables; a name that finds its slot taken goes to the next table."""
 
-    def __init__(self, langs: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]], depth: int) -> None:
-        """``counts[language][size - 1]``: sorted n-grams and their counts."""
-        self.langs, self.depth = langs, depth
-        used = np.unique(np.concatenate([c[0][0] for c in counts]))
-        self.bits = max(1, int(len(used)).bit_length())
-        self.symbol = np.full(256, len(used), np.int64)  # all bytes never met are one symbol: they cost the same
-        self.symbol[used] = np.arange(len(used))
-        width, n = self.bits, len(langs)
-        self.base = np.empty((1 << (width * depth), n), np.float32)  # cost of a byte after depth - 1 others
-        self.escape = np.zeros((1 << (width * depth), n), np.float32)  # cost of leaving a context of depth bytes
-        held = []
-        for k, own in enumerate(counts):
-            cost = np.full(1 << width, 8.0)  # below all contexts every byte is alike
-            for size in range(1, depth + 2):
-                names, seen = self._packed(own[size - 1][0], size), own[size - 1][1].astype(float)
-                context = names >> width
-                rooms = 1 << (width * (size - 1))
-                total = np.bincount(context, weights=seen, minlength=rooms)
-                kinds = np.bincount(context, minlength=rooms)
-                known = total > 0
-                leave = np.where(known, -np.log2(np.where(known, kinds, 1) / np.where(known, total + kinds, 1)), 0.0)
-                direct = -np.log2(seen / (total[context] + kinds[context]))
-                if size <= depth:
-                    cost = np.tile(cost, 1 << width) if size > 1 else cost
-                    cost = cost + np.repeat(leave, 1 << width)
-                    cost[names] = direct
-                else:
-                    self.base[:, k], self.escape[:, k] = cost, leave
-                    held.append((names, direct))
-        windows = np.unique(np.concatenate([h[0] for h in held]))
-        short = (1 << (width * depth)) - 1
-        self.windows, self.cost = windows, self.base[windows & short] + self.escape[windows >> width]
-        for k, (names, direct) in enumerate(held):
-            self.cost[np.searchsorted(windows, names), k] = direct
-        self.cost = np.vstack([self.cost, np.zeros((1, n), np.float32)])
-        # Hash tables: windows that find their slot taken go to the next table.
-        self.slots, left = [], np.arange(len(windows))
+    def __init__(self, names: np.ndarray, values: np.ndarray) -> None:
+        """``names``: distinct. A name that is not among them has the last row, zeros."""
+        self.values = np.vstack([values, np.zeros((1, values.shape[1]), np.float32)]).astype(np.float32)
+        self.names, self.slots, left = np.append(names, -1), [], np.arange(len(names))
         while len(left):
             bits = max(10, int(2 * len(left)).bit_length() + 1)
-            slot = self._slot(windows[left], len(self.slots), bits)
-            table = np.full(1 << bits, len(windows), np.int32)
+            slot = self._slot(names[left], len(self.slots), bits)
+            table = np.full(1 << bits, len(names), np.int32)
             table[slot] = left
             self.slots.append((table, bits))
             left = left[table[slot] != left]
-        self.windows = np.append(windows, -1)
 
     @staticmethod
     def _slot(names: np.ndarray, turn: int, bits: int) -> np.ndarray:
         h = names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
         return (h >> np.uint64(64 - bits)).astype(np.int64)
 
-    def _packed(self, names: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros(len(names), np.int64)
-        for k in range(size):
-            out = out << self.bits | self.symbol[names >> (8 * (size - 1 - k)) & 255]
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """The row of each name; the last one for names that are not there."""
+        found, left = np.full(len(names), len(self.names) - 1, np.int64), np.arange(len(names))
+        for turn, (table, bits) in enumerate(self.slots):
+            slot = table[self._slot(names[left], turn, bits)]
+            hit = self.names[slot] == names[left]
+            found[left[hit]] = slot[hit]
+            left = left[~hit]
+            if not len(left):
+                break
+        return found
+
+
+class Coder:
+    """Code lengths from the counts, ready for lookups: only contexts and n-grams that some language has are held. Built once in a worker."""
+
+    def __init__(self, langs: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]], depth: int) -> None:
+        """``counts[language][size - 1]``: sorted n-grams and their counts."""
+        self.langs, self.depth, n = langs, depth, len(langs)
+        self.single = np.full((256, n), 8.0, np.float32)  # below all contexts every byte is alike
+        self.grams: list[Lookup] = []  # by size from 2: what the last byte costs
+        self.escapes: list[Lookup] = []  # by size of the context from 1: what it costs to leave it
+        for size in range(1, depth + 2):
+            names = np.unique(np.concatenate([c[size - 1][0] for c in counts]))
+            contexts = np.unique(names >> 8)
+            leave, direct = np.zeros((len(contexts), n), np.float32), []
+            for k, own in enumerate(counts):
+                grams, seen = own[size - 1][0], own[size - 1][1].astype(float)
+                at = np.searchsorted(contexts, grams >> 8)
+                total, kinds = np.bincount(at, weights=seen, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+                known = total > 0
+                leave[known, k] = -np.log2(kinds[known] / (total[known] + kinds[known]))
+                direct.append(-np.log2(seen / (total[at] + kinds[at])))
+            if size == 1:
+                cost = self.single + leave
+                places = [own[0][0] for own in counts]
+            else:
+                self.escapes.append(Lookup(contexts, leave))
+                cost = leave[np.searchsorted(contexts, names >> 8)] + self._bits(names, size - 1)
+                places = [np.searchsorted(names, own[size - 1][0]) for own in counts]
+            for k, bits in enumerate(direct):
+                cost[places[k], k] = bits
+            if size == 1:
+                self.single = cost
+            else:
+                self.grams.append(Lookup(names, cost))
+
+    def _bits(self, windows: np.ndarray, size: int) -> np.ndarray:
+        """What the last byte of each window costs in each language, after the ``size`` - 1 bytes before it."""
+        out, left = np.zeros((len(windows), len(self.langs)), np.float32), np.arange(len(windows))
+        for now in range(size, 1, -1):
+            names = windows[left] & ((1 << 8 * now) - 1)
+            held = self.grams[now - 2]
+            row = held.find(names)
+            hit = row < len(held.names) - 1
+            out[left[hit]] += held.values[row[hit]]
+            left, names = left[~hit], names[~hit]
+            if not len(left):
+                return out
+            escape = self.escapes[now - 2]
+            out[left] += escape.values[escape.find(names >> 8)]
+        out[left] += self.single[windows[left] & 255]
         return out
 
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each row in each language, in bits."""
-        rows, n, depth = len(offsets) - 1, len(self.langs), self.depth
-        out = np.zeros((rows, n))
+        rows, depth = len(offsets) - 1, self.depth
+        out = np.zeros((rows, len(self.langs)))
         if not len(data):
             return out
         # Each text begins after line ends, so that its first bytes have a context too.
-        starts = offsets[:-1] + depth * np.arange(rows)
         at = np.arange(len(data)) + depth * (1 + np.repeat(np.arange(rows), np.diff(offsets)))
-        symbols = np.full(len(data) + depth * rows, self.symbol[10], np.int64)
-        symbols[at] = self.symbol[data]
-        window = symbols[at]
+        symbols = np.full(len(data) + depth * rows, 10, np.int64)
+        symbols[at] = data
+        windows = symbols[at]
         for k in range(1, depth + 1):
-            window |= symbols[at - k] << (self.bits * k)
-        del starts
-        found = np.full(len(window), len(self.windows) - 1, np.int64)
-        open_ = np.arange(len(window))
-        for turn, (table, bits) in enumerate(self.slots):
-            slot = table[self._slot(window[open_], turn, bits)]
-            hit = self.windows[slot] == window[open_]
-            found[open_[hit]] = slot[hit]
-            open_ = open_[~hit]
-            if not len(open_):
-                break
-        bits = self.cost[found]
-        if len(open_):
-            bits[open_] = self.base[window[open_] & ((1 << (self.bits * depth)) - 1)] + self.escape[window[open_] >> self.bits]
+            windows |= symbols[at - k] << (8 * k)
         filled = np.flatnonzero(np.diff(offsets))
-        out[filled] = np.add.reduceat(bits, offsets[:-1][filled], axis=0, dtype=np.float64)
+        out[filled] = np.add.reduceat(self._bits(windows, depth + 1), offsets[:-1][filled], axis=0, dtype=np.float64)
         return out
 
 
@@ -175,7 +187,7 @@ def predict(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col:
         for batch in batches:
             known, sure = [], []
             letters = batch.column(2).to_pylist()
-            for first, _, data, offsets in byte_chunks(batch.column(1), 1 << 20) if langs else []:
+            for first, _, data, offsets in byte_chunks(batch.column(1), (1 << 22) // max(4, len(langs))) if langs else []:
                 bits = _tables[key].costs(data, offsets)
                 best = bits.argmin(axis=1)
                 weight = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
@@ -185,6 +197,7 @@ def predict(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col:
             if not langs:
                 known, sure = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace import scratch
 from millrace.llm.vectors import cells, distinct_vectors, matrix, valid
 
-K, DEGREE, BEAM, OPENED = 10, 24, 128, 96
+K, DEGREE, BEAM, OPENED = 10, 24, 256, 96
 #: First deals: how many, points in a block at most, pivots at most.
 DEALS, BLOCK, PIVOTS = 4, 768, 1024
 ROUNDS, OFFERED = 5, 24
