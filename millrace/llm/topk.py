@@ -30,7 +30,7 @@ from millrace import scratch
 from millrace.llm.vectors import cells, distinct_vectors, matrix, valid
 
 K, BASE, LEAF = 20, 2.0, 16
-DATA_BLOCK, QUERY_BLOCK = 8192, 4096
+DATA_BLOCK, QUERY_BLOCK = 2048, 2048
 #: Data blocks' balls that one task holds against query blocks.
 SLICE = 4096
 #: Pivots of cells at most (one vector each goes through the driver).
@@ -57,19 +57,25 @@ def _node(points: np.ndarray, rows: np.ndarray, center: np.ndarray) -> Node:
 def cover_tree(points: np.ndarray) -> Node:
     """A tree over all rows of ``points``: children's centres are points, no two of them within the child's radius of each other."""
     root = _node(points, np.arange(len(points)), points.mean(0))
+    # Distances of all pairs, rounded: they choose centres and owners only, radii are made from the points. Blocks are bounded.
+    x = points.astype(np.float32)
+    length = (x**2).sum(1)
+    apart = length[:, None] - 2 * (x @ x.T) + length
     todo = [root]
     while todo:
         node = todo.pop()
         if len(node.rows) <= LEAF or node.radius == 0:
             continue
-        own, reach = points[node.rows], (node.radius / BASE) ** 2
-        near, owner, left = np.full(len(own), np.inf), np.zeros(len(own), np.int64), np.ones(len(own), bool)
+        own, reach = apart if node is root else apart[np.ix_(node.rows, node.rows)], np.float32((node.radius / BASE) ** 2)
+        near, owner, left = np.full(len(own), np.inf, np.float32), np.zeros(len(own), np.int64), np.ones(len(own), bool)
         count = 0
         while left.any():  # the next centre is a point that no centre covers yet; points go to their nearest centre
-            d = ((own - own[left.argmax()]) ** 2).sum(1)
+            at = int(left.argmax())
+            d = own[at]
             closer = d < near
             near[closer], owner[closer] = d[closer], count
             left &= d > reach
+            left[at] = False
             count += 1
         order = np.argsort(owner, kind="stable")
         for part in np.split(node.rows[order], np.cumsum(np.bincount(owner, minlength=count))[:-1]):
@@ -148,24 +154,21 @@ def dual_search(queries: np.ndarray, data: np.ndarray, reps: np.ndarray, k: int,
         q_nodes, *q_balls = parts(q)
         d_nodes, *d_balls = parts(d)
         most = bounds(*q_balls, *d_balls)
-        inner_d = np.array([bool(n.children) for n in d_nodes])
-        flat = np.flatnonzero(~inner_d)
+        leaf_q, leaf_d = (np.flatnonzero([not n.children for n in side]) for side in (q_nodes, d_nodes))
+        worst = np.array([n.worst for n in q_nodes])
+        if len(leaf_q) and len(leaf_d):  # leaves of both sides: one product of what any of them can use
+            used = (most[np.ix_(leaf_q, leaf_d)] >= worst[leaf_q][:, None]).any(0)
+            q_rows = np.concatenate([q_nodes[i].rows for i in leaf_q])
+            counts.pruned += len(q_rows) * sum(len(d_nodes[j].rows) for j in leaf_d[~used])
+            if used.any():
+                score(q_rows, np.concatenate([d_nodes[j].rows for j in leaf_d[used]]))
+                for i in leaf_q:
+                    q_nodes[i].worst = float(best.floor[q_nodes[i].rows].min())
         for i in np.argsort(-most.max(1)):
             below = q_nodes[i]
-            if below.children:
-                for j in np.argsort(-most[i]):
-                    if most[i, j] < below.worst:
-                        counts.pruned += len(below.rows) * len(d_nodes[j].rows)
-                    else:
-                        walk(below, d_nodes[j])
-                continue
-            # Leaves of the data side are scored together; a leaf's inner nodes after them, when the kth score is better.
-            ahead = flat[most[i, flat] >= below.worst]
-            counts.pruned += len(below.rows) * sum(len(d_nodes[j].rows) for j in flat[most[i, flat] < below.worst])
-            if len(ahead):
-                score(below.rows, np.concatenate([d_nodes[j].rows for j in ahead]))
-                below.worst = float(best.floor[below.rows].min())
-            for j in sorted(np.flatnonzero(inner_d), key=lambda j: -most[i, j]):  # noqa: B023
+            for j in np.argsort(-most[i]):
+                if not below.children and not d_nodes[j].children:
+                    continue
                 if most[i, j] < below.worst:
                     counts.pruned += len(below.rows) * len(d_nodes[j].rows)
                 else:
@@ -235,9 +238,11 @@ def top_inner(rows: DataFrame, is_query: Column, scale: float = 64.0, k: int = K
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     data = in_blocks(cells(table, min(PIVOTS, -(-count // DATA_BLOCK)), width), DATA_BLOCK, folder, "data")
-    asked = scratch.written(points.where(is_query).join(data.select("rep", "v", "cell"), "v").select(F.col("vec_id").alias("query_id"), "rep", "cell", "v"), "asked", kept)
+    asked = scratch.written(points.where(is_query).distinct().join(data.select("rep", "v", "cell"), "v").select(F.col("vec_id").alias("query_id"), "rep", "cell", "v"), "asked", kept)
     queries = in_blocks(asked.groupBy("rep").agg(F.first("cell").alias("cell"), F.first("v").alias("v")), QUERY_BLOCK, folder, "queries")
 
+    groups = -(-queries.count() // QUERY_BLOCK) or 1
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query": [], "rep": [], "score": [], "ids": []}
         if left.num_rows and right.num_rows:
@@ -252,10 +257,11 @@ def top_inner(rows: DataFrame, is_query: Column, scale: float = 64.0, k: int = K
         return pa.table({"query": pa.array(out["query"], pa.int64()), "rep": pa.array(out["rep"], pa.int64()), "score": pa.array(out["score"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64()))})
 
     def meet(left: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The query blocks against the data blocks that ``pairs`` (q_block, d_block) names."""
-        sent = left.join(pairs, F.col("block") == F.col("q_block")).select("rep", "v", "floor", "q_block", "d_block")
-        there = data.join(pairs.toDF("to_q", "to_d"), F.col("block") == F.col("to_d")).select("to_q", "to_d", F.col("rep").alias("d_rep"), F.col("ids").alias("d_ids"), F.col("v").alias("d_v"))
-        return sent.groupBy("q_block", "d_block").cogroup(there.groupBy("to_q", "to_d")).applyInArrow(search, "query long, rep long, score long, ids array<long>")
+        """The query blocks against the data blocks that ``pairs`` (q_block, d_block) names: small query blocks together, so that a data block's tree is made seldom."""
+        pairs = pairs.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(groups)).cast("int"))
+        sent = left.join(pairs, F.col("block") == F.col("q_block")).select("rep", "v", "floor", "q_group", "d_block")
+        there = data.join(pairs.select(F.col("q_group").alias("to_q"), F.col("d_block").alias("to_d")).distinct(), F.col("block") == F.col("to_d")).select("to_q", "to_d", F.col("rep").alias("d_rep"), F.col("ids").alias("d_ids"), F.col("v").alias("d_v"))
+        return sent.groupBy("q_group", "d_block").cogroup(there.groupBy("to_q", "to_d")).applyInArrow(search, "query long, rep long, score long, ids array<long>")
 
     cell_of = lambda t, name: t.select("cell", F.col("block").alias(name)).distinct()
     own = cell_of(queries, "q_block").join(cell_of(data, "d_block"), "cell").select("q_block", "d_block")
