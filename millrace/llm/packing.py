@@ -28,8 +28,8 @@ WINDOW = 2048
 END_ID = 1
 #: So many partitions' totals (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Words, and stems of words, whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+#: Words, and stems of words, whose ids a worker remembers; beyond that it starts anew. A stem costs more to make.
+REMEMBERED, REMEMBERED_STEMS = 200_000, 450_000
 #: The characters that byte-level vocabularies show for the 256 bytes: a printable one for itself, the others from 256 upwards.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SHOWN = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
@@ -64,7 +64,7 @@ class WordIds(dict):
         stems = self.stems
         made = stems.get(stem)
         if made is None:
-            if len(stems) > REMEMBERED:
+            if len(stems) > REMEMBERED_STEMS:
                 stems.clear()
             made = stems[stem] = self.ids(stem)
         if tail:
