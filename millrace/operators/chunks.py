@@ -76,22 +76,18 @@ def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str =
 def lookback_dedupe(text: Column, k: int = 5, ratio: float = 0.85, delimiter: str = "\n+") -> Column:
     """Lines whose similarity to one of the last k kept lines is over ``ratio`` go. Similarity: 1 - edits / longer length.
 
-    Lines of any length are compared. A pair costs up to the product of its length and the edits that ``ratio`` allows;
-    lines whose first halves differ by more than all allowed edits cost half of that. The fold carries the last k kept
-    lines and the places of all kept ones, so it is linear in the lines.
+    Lines of any length are compared. A pair costs up to the product of its length and the edits that ``ratio`` allows.
+    The fold carries the last k kept lines and the places of all kept ones.
     """
     lines = F.filter(F.transform(F.split(text, delimiter), lambda x: F.trim(x)), lambda x: x != "")
-    edits = lambda a, b, most: F.call_function("levenshtein", a, b, most) >= 0  # noqa: E731  -1 beyond the allowed ones
 
     def near(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))
         allowed = F.ceil(longest * (1 - ratio)).cast("int")
+        # The function gives -1 beyond the allowed edits.
         exact = F.exists(F.array(F.call_function("levenshtein", a, b, allowed)), lambda n: (n >= 0) & (1 - n / longest > ratio))
-        # Lengths first: edits are counted only where they can suffice, and exact copies need none. A start of one line is as near
-        # to some start of the other as the lines are, and that start's length differs by the edits at most.
-        start = F.floor(longest / 4).cast("int")
-        begins = edits(F.left(a, start), F.left(b, start), 2 * allowed)
-        return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & begins & exact)
+        # Lengths first: edits are counted only where they can suffice, and exact copies need none.
+        return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & exact)
 
     state = F.struct(F.slice(lines, 1, 0).alias("last"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("at"))
 
