@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import candidates, index_guard, not_blacklisted, strip_suffix
 
+#: Shares that the mentions of one length are dealt to.
+SALTS = 64
+
 
 def build_dictionary(aliases: DataFrame, order: list[str], include_codes: bool = False) -> DataFrame:
     """``key`` -> ``ticker``: for a lower-case alias that several tickers own the last in ``order`` wins."""
@@ -66,10 +69,10 @@ def fuzzy_matches(mentions: DataFrame, dictionary: DataFrame, threshold: int = 9
     plans = plans.select("alias", "t", "len", "e", F.explode(piece).alias("x")).select("alias", "t", "len", "e", "x.at", "x.piece")
     plans = plans.select("alias", "t", "len", "piece", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("e")), F.least(F.col("len") - F.length("piece"), F.col("at") + F.col("e")))).alias("place")).where(F.length("piece") > 0)
     plans = plans.where("place >= 0")
-    # The mention's substrings of the lengths that pieces have, at their places.
-    shapes = plans.select("len", F.length("piece").alias("size"), "place").distinct()
-    m = words.withColumn("len", F.length("mention"))
-    parts = m.join(shapes, "len").select("mention", "len", "place", F.substring("mention", F.col("place") + 1, F.col("size")).alias("piece"))
+    # The mention's substrings of the lengths that pieces have, at their places. Lengths are few and uneven, so each is salted.
+    shapes = plans.select("len", F.length("piece").alias("size"), "place").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = words.select("mention", F.length("mention").alias("len"), F.pmod(F.xxhash64("mention"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = m.join(shapes, ["len", "salt"]).select("mention", "len", "place", F.substring("mention", F.col("place") + 1, F.col("size")).alias("piece"))
     pairs = parts.join(plans, ["len", "place", "piece"]).select("mention", "alias", "t").distinct().withColumn("score", score(F.col("mention"), F.col("alias"))).where(F.col("score") >= threshold)
     best = pairs.groupBy("mention").agg(F.min_by(F.struct("alias", "t", "score"), F.struct(-F.col("score"), "alias")).alias("b")).select("mention", "b.alias", F.col("b.t").alias("ticker"), "b.score")
     short = (F.length(F.replace("ticker", F.lit(".BK"), F.lit(""))) <= 3) & (F.col("score") < 100)

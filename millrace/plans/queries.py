@@ -560,7 +560,9 @@ def no_bold(spark, d):
     return audit.bold_audit(fx.markdown(spark, d))
 
 
-@query("AUD2_sections", f"""WITH {MARKDOWN} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['## Risks'] ELSE ['## Stocks', '## Risks'] END AS missing, CASE WHEN doc_id % 2 = 0 THEN []::VARCHAR[] ELSE ['# Summary'] END AS repeated FROM summary""")
+@query("AUD2_sections", f"""WITH {MARKDOWN}, h AS (SELECT doc_id, list_filter(string_split(markdown, chr(10)), lambda x: starts_with(x, '#')) AS h FROM summary),
+n AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(h) AS x FROM h) GROUP BY doc_id, x), r AS (SELECT doc_id, list(x ORDER BY x) AS repeated FROM n WHERE n > 1 GROUP BY doc_id)
+SELECT doc_id, list_filter(['# Summary', '## Stocks', '## Risks'], lambda x: NOT list_contains(h, x)) AS missing, coalesce(repeated, []) AS repeated FROM h LEFT JOIN r USING (doc_id)""")
 def sections(spark, d):
     return audit.sections(fx.markdown(spark, d), ["# Summary", "## Stocks", "## Risks"], "doc_id")
 
