@@ -32,6 +32,8 @@ LABELLERS = {
     "bars": (0.01, 0.0005),
     "shouts": (0.01, 0.0005),  # exclamation marks
     "repeats": (0.45, 0.15),  # share of windows of 16 bytes, at every byte, that are repetitions
+    "twins": (0.10, 0.02),  # share of words that equal the word before
+    "marked": (0.35, 0.20),  # share of words with an ASCII mark other than . ,
     "short": (0.5, 0.02),  # 1 / words
 }
 
@@ -42,21 +44,39 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 5
 _CLASS[[44, 46]] = 6
 
 
+def by_word(text: np.ndarray, kinds: np.ndarray, blanks: np.ndarray) -> tuple[float, float]:
+    """Shares of the words that equal the word before and of those that hold a mark. Words are told apart by 64-bit hashes."""
+    at = np.arange(len(text))
+    begins = ~blanks & np.append(True, blanks[:-1])
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return 0.0, 0.0
+    place = at - np.maximum.accumulate(np.where(begins, at, 0))
+    worth = (text.astype(np.uint64) + np.uint64(1)) * np.power(np.uint64(0x9E3779B97F4A7C15), place.astype(np.uint64))
+    worth[blanks] = 0
+    names = np.add.reduceat(worth, starts)
+    holds = np.add.reduceat((kinds == 4).astype(np.int32), starts) > 0
+    return float((names[1:] == names[:-1]).sum() / len(names)), float(holds.mean())
+
+
 def figures(text: np.ndarray) -> np.ndarray | None:
     """The labellers' figures of a text's bytes."""
     n = len(text)
     if not n:
         return None
-    kinds = np.bincount(_CLASS[text], minlength=8)
-    blanks = _CLASS[text] == 5
+    own = _CLASS[text]
+    kinds = np.bincount(own, minlength=8)
+    blanks = own == 5
     words = max(1, int((blanks[1:] & ~blanks[:-1]).sum()) + 1)
     repeats = 0.0
     if n >= 64:
         parts = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view(np.uint64)[:, 0]
         mixed = parts[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ parts[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
         repeats = 1 - len(np.unique(mixed)) / len(mixed)
+        del parts, mixed
+    twins, marked = by_word(text, own, blanks)
     bars, shouts = int((text == 124).sum()), int((text == 33).sum())
-    return np.array([kinds[4] / n, kinds[2] / max(1, kinds[1] + kinds[2]), kinds[3] / n, bars / n, shouts / n, repeats, 1 / words])
+    return np.array([kinds[4] / n, kinds[2] / max(1, kinds[1] + kinds[2]), kinds[3] / n, bars / n, shouts / n, repeats, twins, marked, 1 / words])
 
 
 _BAD, _GOOD = (np.array([LABELLERS[k][i] for k in LABELLERS]) for i in range(2))
@@ -90,8 +110,8 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100) -> tuple
     n = np.array([counts[k] for k in names.tolist()], float)
     m = len(LABELLERS)
     cast = names[:, None] // 3 ** np.arange(m) % 3  # 0 none, 1 bad, 2 good
-    # Begin with the majority; the smoothing holds each labeller better than chance at first.
-    good = ((cast == 2).sum(1) + 1) / ((cast > 0).sum(1) + 2)
+    # At first a bad vote weighs as much as a good one of every labeller, for each knows some kinds of bad texts only.
+    good = ((cast == 2).sum(1) + 1) / ((cast == 2).sum(1) + m * (cast == 1).sum(1) + 2)
     table, share = np.zeros((2, m, 3)), 0.5
     for _ in range(rounds):
         for k, weight in enumerate((n * (1 - good), n * good)):

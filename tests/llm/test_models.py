@@ -114,7 +114,7 @@ def test_code_lengths_equal_plain_python(spark, depth):
 def test_expectation_maximisation_finds_planted_accuracies():
     rng = np.random.default_rng(4)
     m = len(quality.LABELLERS)
-    right, cast = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.7]), np.array([0.9, 0.8, 0.9, 0.7, 0.9, 0.6, 0.9])
+    right, cast = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.7, 0.85, 0.8]), np.array([0.9, 0.8, 0.9, 0.7, 0.9, 0.6, 0.9, 0.8, 0.7])
     truth = rng.random(40_000) < 0.7
     agree, vote = rng.random((len(truth), m)) < right, rng.random((len(truth), m)) < cast
     digits = np.where(vote, np.where(agree == truth[:, None], 2, 1), 0)
@@ -131,14 +131,16 @@ def test_expectation_maximisation_finds_planted_accuracies():
 
 
 def test_quality_figures_equal_plain_python():
-    for t in [text(40), text(3) + "!!! ||| $$", "A B C 1 2 3", "é" * 50, text(10) * 6, "x"]:
+    for t in [text(40), text(3) + "!!! ||| $$", "A B C 1 2 3", "é" * 50, text(10) * 6, "x", " \n", "on on on  the the\nthe end, on on.", "a# b$ c, d. e " * 9]:
         data, marks = t.encode(), "".join(chr(c) for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)] if chr(c) not in ".,")
         n = len(data)
         letters, capitals = len(re.findall("[a-z]", t)), len(re.findall("[A-Z]", t))
         windows = [data[i : i + 16] for i in range(n - 15)]
         repeats = 1 - len(set(windows)) / len(windows) if n >= 64 else 0.0
         want = [sum(t.count(c) for c in marks) / n, capitals / max(1, letters + capitals), len(re.findall("[0-9]", t)) / n, t.count("|") / n, t.count("!") / n, repeats]
-        assert quality.figures(np.frombuffer(data, np.uint8))[:6].tolist() == pytest.approx(want)
+        words = re.findall("[^ \t\n\v\f\r]+", t)
+        want += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)), sum(any(c in marks for c in w) for w in words) / max(1, len(words))]
+        assert quality.figures(np.frombuffer(data, np.uint8))[:8].tolist() == pytest.approx(want)
 
 
 def plain_bootstrap(graph):
