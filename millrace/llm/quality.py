@@ -42,17 +42,19 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 7
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
 _CLASS[[9, 10, 11, 12, 13, 32]] = 5
 _CLASS[[44, 46]] = 6
+#: Weights of a word's bytes by their place; they come again after 65,536 bytes.
+_POWERS = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(1 << 16, dtype=np.uint64))
 
 
 def by_word(text: np.ndarray, kinds: np.ndarray, blanks: np.ndarray) -> tuple[float, float]:
     """Shares of the words that equal the word before and of those that hold a mark. Words are told apart by 64-bit hashes."""
-    at = np.arange(len(text))
+    at = np.arange(len(text), dtype=np.int32)
     begins = ~blanks & np.append(True, blanks[:-1])
     starts = np.flatnonzero(begins)
     if not len(starts):
         return 0.0, 0.0
-    place = at - np.maximum.accumulate(np.where(begins, at, 0))
-    worth = (text.astype(np.uint64) + np.uint64(1)) * np.power(np.uint64(0x9E3779B97F4A7C15), place.astype(np.uint64))
+    place = at - np.maximum.accumulate(np.where(begins, at, np.int32(0)))
+    worth = _POWERS[place & 0xFFFF] * text
     worth[blanks] = 0
     names = np.add.reduceat(worth, starts)
     holds = np.add.reduceat((kinds == 4).astype(np.int32), starts) > 0
