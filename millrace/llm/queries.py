@@ -126,6 +126,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL), with_ids=False)
 
 
+def op11_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.bbit_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -137,5 +155,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_nn_descent": op9_nn_descent,
     "op10_packing": op10_packing,
+    "op11_bbit_minhash": op11_bbit_minhash,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 ORACLES = {"op3_topk": OP3_SQL, "op2_line_dedup": OP2_SQL}
