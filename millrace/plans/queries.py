@@ -186,12 +186,13 @@ per_doc("TXT19_protected_gate", lambda x: F.array_sort(X.protected(X.candidates(
 
 
 def _replaced(term: str, rule: str = "true") -> str:
-    """Texts with the dictionary's words replaced by ``term`` where ``rule`` holds, marks about the words kept."""
-    return rf"""WITH {KB}, lists AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents),
-parts AS (SELECT doc_id, a, unnest(a) AS w, generate_subscripts(a, 1) AS n FROM lists),
-bare AS (SELECT doc_id, a, n, w, lower(regexp_replace(w, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')) AS b FROM parts),
-met AS (SELECT doc_id, n, w, ticker, key, lower(array_to_string(list_slice(a, greatest(n - 5, 1), greatest(n - 5, 1) + 9), ' ')) AS around FROM bare LEFT JOIN dictionary ON b = key)
-SELECT doc_id, string_agg(CASE WHEN key IS NOT NULL AND {rule} THEN regexp_extract(w, '^[^\pL\pN]+') || {term} || regexp_extract(w, '[^\pL\pN]+$') ELSE w END, ' ' ORDER BY n) AS text FROM met GROUP BY doc_id"""
+    """Texts with the dictionary's words replaced by ``term`` where ``rule`` holds. Texts are cut at the ends of words, so all else stays."""
+    return rf"""WITH {KB}, lists AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_]+') AS a, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws, regexp_matches(text, '^\s')::INTEGER AS led FROM documents),
+parts AS (SELECT doc_id, ws, led, unnest(a) AS w, generate_subscripts(a, 1) AS n FROM lists),
+placed AS (SELECT *, coalesce(sum(len(regexp_extract_all(w, '\s+'))) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT - led AS place FROM parts),
+met AS (SELECT doc_id, n, w, ticker, key, array_to_string(list_slice(ws, greatest(place - 5, 0) + 1, greatest(place - 5, 0) + 10), ' ') AS around FROM placed LEFT JOIN dictionary ON lower(w) = key),
+made AS (SELECT doc_id, string_agg(CASE WHEN key IS NOT NULL AND {rule} THEN {term} ELSE w END, '' ORDER BY n) AS made FROM met GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(made, '') END AS text FROM documents LEFT JOIN made USING (doc_id)"""
 
 
 @query("TXT20_hint_replace", _replaced("upper(key)"))
