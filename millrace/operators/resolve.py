@@ -80,12 +80,15 @@ def fuzzy_matches(mentions: DataFrame, dictionary: DataFrame, threshold: int = 9
     return best.where(~short & ~plain)
 
 
-def cascade(mentions: DataFrame, dictionary: DataFrame, tickers: DataFrame, threshold: int = 90) -> DataFrame:
-    """Distinct mentions with ``ticker`` and ``method``: exact, code, fuzzy or none. Only what is left goes to the fuzzy join."""
+def cascade(mentions: DataFrame, dictionary: DataFrame, tickers: DataFrame, threshold: int = 90, fuzzy: DataFrame | None = None) -> DataFrame:
+    """Distinct mentions with ``ticker`` and ``method``: exact, code, fuzzy or none. Only what is left goes to the fuzzy join.
+
+    ``fuzzy`` is the dictionary of the fuzzy lookup, if it isn't the same one: entries learned by it are no aliases.
+    """
     words = mentions.select("mention").distinct()
     first = resolve_code(resolve_exact(words, dictionary), tickers)
-    fuzzy = fuzzy_matches(first.where("ticker is null and code_ticker is null"), dictionary, threshold).select("mention", F.col("ticker").alias("f_ticker"))
-    met = first.join(fuzzy, "mention", "left")
+    near = fuzzy_matches(first.where("ticker is null and code_ticker is null"), dictionary if fuzzy is None else fuzzy, threshold)
+    met = first.join(near.select("mention", F.col("ticker").alias("f_ticker")), "mention", "left")
     method = F.when(F.col("ticker").isNotNull(), "exact").when(F.col("code_ticker").isNotNull(), "code").when(F.col("f_ticker").isNotNull(), "fuzzy").otherwise("none")
     return met.select("mention", F.coalesce("ticker", "code_ticker", "f_ticker").alias("ticker"), method.alias("method"))
 

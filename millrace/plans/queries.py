@@ -13,6 +13,7 @@ from millrace.operators import audit, chunks, corrections, infer, prompts, resol
 from millrace.plans import fixtures as fx
 from millrace.plans.fixtures import ALL_WORDS, CACHE, HITS, KB, MARKDOWN, MEDIA, MENTIONS, QUOTES, t
 from millrace.sources import knowledge
+from millrace.sources.cache_table import CacheTable, learner
 from millrace.streaming import transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +103,16 @@ def kb_write(spark, d):
 SELECT mention, ticker, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY updated_at DESC, ticker DESC) AS n FROM every) WHERE n = 1""")
 def cache_upsert(spark, d):
     changes = t(spark, d, "part").select(F.col("p_brand").alias("mention"), F.concat(F.lit("N"), F.col("p_partkey") % 7, F.lit(".BK")).alias("ticker"), (F.col("p_partkey") + F.col("p_partkey") % 3).cast("long").alias("updated_at"))
-    return knowledge.upsert(fx.cache(spark, d).withColumnRenamed("key", "mention"), changes)
+    table = _cache_table(spark, d, "cache-upsert")
+    table.merge(changes)
+    return table.table()
+
+
+def _cache_table(spark, d, name: str) -> CacheTable:
+    """The learned entries as a table of its own."""
+    table = CacheTable(spark, scratch.new_path(spark, name), buckets=16)
+    table.merge(fx.cache(spark, d).withColumnRenamed("key", "mention"))
+    return table
 
 
 @query("SNK3_transcript_write", "SELECT conv_id AS media_id, CASE WHEN turn % 2 = 0 THEN 'RAW' ELSE 'CLEAN' END AS kind, turn AS run_ts, text FROM conversations")
@@ -187,11 +197,12 @@ per_doc("TXT19_protected_gate", lambda x: F.array_sort(X.protected(X.candidates(
 
 def _replaced(term: str, rule: str = "true") -> str:
     """Texts with the dictionary's words replaced by ``term`` where ``rule`` holds. Texts are cut at the ends of words, so all else stays."""
-    return rf"""WITH {KB}, lists AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_]+') AS a, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws, regexp_matches(text, '^\s')::INTEGER AS led FROM documents),
-parts AS (SELECT doc_id, ws, led, unnest(a) AS w, generate_subscripts(a, 1) AS n FROM lists),
-placed AS (SELECT *, coalesce(sum(len(regexp_extract_all(w, '\s+'))) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT - led AS place FROM parts),
-met AS (SELECT doc_id, n, w, ticker, key, array_to_string(list_slice(ws, greatest(place - 5, 0) + 1, greatest(place - 5, 0) + 10), ' ') AS around FROM placed LEFT JOIN dictionary ON lower(w) = key),
-made AS (SELECT doc_id, string_agg(CASE WHEN key IS NOT NULL AND {rule} THEN {term} ELSE w END, '' ORDER BY n) AS made FROM met GROUP BY doc_id)
+    return rf"""WITH {KB}, lists AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_]+') AS a, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws, regexp_matches(text, '^\s')::INTEGER AS led FROM documents),
+parts AS (SELECT doc_id, led, unnest(a) AS w, generate_subscripts(a, 1) AS n FROM lists),
+placed AS MATERIALIZED (SELECT doc_id, n, w, coalesce(sum(len(regexp_extract_all(w, '\s+'))) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT - led AS place FROM parts),
+met AS MATERIALIZED (SELECT doc_id, n, place, ticker, key FROM placed JOIN dictionary ON lower(w) = key),
+ruled AS MATERIALIZED (SELECT doc_id, n, ticker, key, array_to_string(list_slice(ws, greatest(place - 5, 0) + 1, greatest(place - 5, 0) + 10), ' ') AS around FROM met JOIN lists USING (doc_id)),
+made AS (SELECT doc_id, string_agg(CASE WHEN key IS NOT NULL AND {rule} THEN {term} ELSE w END, '' ORDER BY n) AS made FROM placed LEFT JOIN ruled USING (doc_id, n) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(made, '') END AS text FROM documents LEFT JOIN made USING (doc_id)"""
 
 
@@ -287,8 +298,8 @@ _FUZZY = f"""WITH {_WORDS.replace("distinct_words AS (", "distinct_words AS MATE
 near AS MATERIALIZED (SELECT key, ticker, unnest(generate_series(length(key) - length(key) // 8 - 1, length(key) + length(key) // 8 + 1)) AS len FROM dictionary),
 scored AS MATERIALIZED (SELECT mention, key AS alias, ticker, round(100.0 * (1 - levenshtein(mention, key)::DOUBLE / greatest(length(mention), length(key))))::INTEGER AS score
  FROM distinct_words JOIN near ON length(mention) = len WHERE abs(length(mention) - length(key)) <= 0.11 * greatest(length(mention), length(key))),
-best AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, alias) AS n FROM scored WHERE score >= 90),
-fuzzy AS (SELECT mention, alias, ticker, score FROM best WHERE n = 1 AND NOT (length(replace(ticker, '.BK', '')) <= 3 AND score < 100) AND NOT (regexp_full_match(mention, '[A-Za-z]+') AND score < 95)) """
+best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, alias) AS n FROM scored WHERE score >= 90),
+fuzzy AS MATERIALIZED (SELECT mention, alias, ticker, score FROM best WHERE n = 1 AND NOT (length(replace(ticker, '.BK', '')) <= 3 AND score < 100) AND NOT (regexp_full_match(mention, '[A-Za-z]+') AND score < 95)) """
 
 
 @query("JOIN4_fuzzy_resolve", _FUZZY + "SELECT mention, alias, ticker, score FROM fuzzy")
@@ -301,7 +312,7 @@ def top1(spark, d):
     return fuzzy_resolve(spark, d).drop("ticker")
 
 
-@query("JOIN5_cascade", _FUZZY.rstrip() + """, codes AS (SELECT DISTINCT replace(ticker, '.BK', '') AS code FROM kb)
+@query("JOIN5_cascade", _FUZZY.rstrip() + """, codes AS MATERIALIZED (SELECT DISTINCT replace(ticker, '.BK', '') AS code FROM kb)
 SELECT w.mention, coalesce(d.ticker, code || '.BK', f.ticker) AS ticker, CASE WHEN d.ticker IS NOT NULL THEN 'exact' WHEN code IS NOT NULL THEN 'code' WHEN f.ticker IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS method
 FROM distinct_words w LEFT JOIN dictionary d ON w.mention = d.key LEFT JOIN codes ON upper(w.mention) = code LEFT JOIN fuzzy f ON f.mention = w.mention""")
 def cascade(spark, d):
@@ -499,9 +510,22 @@ def _slices(spark, d) -> DataFrame:
     return docs(spark, d).where(n > 0).select(F.col("doc_id").alias("media_id"), "text", F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(300))).alias("idx", "at")).select("media_id", "idx", F.substring("text", F.col("at") + 1, F.lit(450)).alias("text"))
 
 
-@query("WIN5_stitch")
+def _numbered_slices(spark, d) -> DataFrame:
+    """As ``_slices``, of the texts with each word's number behind it, so that no overlap occurs twice, up to the first chunk that reaches the end."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    text = F.array_join(F.transform(words, lambda x, i: F.concat(x, i.cast("string"))), " ")
+    rows = docs(spark, d).select(F.col("doc_id").alias("media_id"), text.alias("text")).where(F.length("text") > 0)
+    at = F.sequence(F.lit(0), F.greatest(F.length("text") - 151, F.lit(0)), F.lit(300))
+    return rows.select("media_id", "text", F.posexplode(at).alias("idx", "at")).select("media_id", "idx", F.substring("text", F.col("at") + 1, F.lit(450)).alias("text"))
+
+
+_NUMBERED = r"""WITH lists AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS a FROM documents),
+numbered AS (SELECT doc_id AS media_id, array_to_string(list_transform(a, lambda x, i: x || (i - 1)), ' ') AS text FROM lists WHERE len(a) > 0) """
+
+
+@query("WIN5_stitch", _NUMBERED + "SELECT media_id, text FROM numbered")
 def stitch(spark, d):
-    return chunks.stitch(fx.turns(spark, d).select(F.col("conv_id").alias("media_id"), F.col("turn").cast("int").alias("idx"), "text"))
+    return chunks.stitch(_numbered_slices(spark, d))
 
 
 @query("WIN6_stitch_words")
@@ -632,10 +656,9 @@ def sliding_mentions(spark, d):
     return out.select("media_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_mentions")
 
 
-@query("STR2_stream_stitch")
+@query("STR2_stream_stitch", _NUMBERED + "SELECT media_id, (greatest(length(text) - 151, 0) // 300 + 1)::INTEGER AS next_idx, text FROM numbered")
 def stream_stitch(spark, d):
-    rows = fx.turns(spark, d).select(F.col("conv_id").alias("media_id"), F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn")).alias("idx"), "text").withColumn("idx", F.col("idx") - 1)
-    return transcripts.stitched(transcripts.replay(rows, transcripts.stream_stitch, "update", "stitch"))
+    return transcripts.stitched(transcripts.replay(_numbered_slices(spark, d), transcripts.stream_stitch, "update", "stitch"))
 
 
 @query("STR3_stream_first_seen", f"WITH {MENTIONS} SELECT DISTINCT doc_id AS media_id, mention FROM mentions")
@@ -651,13 +674,17 @@ def stream_resolve(spark, d):
     return transcripts.replay(rows, lambda s: transcripts.stream_resolve(s, fx.dictionary(spark, d)), "append", "resolve")
 
 
-@query("STR4b_stream_resolve_cache", f"""WITH {MENTIONS}, {CACHE.replace(KB + ",", "").strip()}, every AS (SELECT key AS mention, ticker, updated_at - 1000000 AS updated_at FROM cache
- UNION ALL SELECT DISTINCT mention, ticker, 0 FROM mentions)
-SELECT mention, ticker, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY updated_at DESC, ticker DESC) AS n FROM every) WHERE n = 1""")
+@query("STR4b_stream_resolve_cache", _FUZZY.rstrip() + f""", {CACHE.replace(KB + ",", "").strip()},
+codes AS MATERIALIZED (SELECT DISTINCT replace(ticker, '.BK', '') AS code FROM kb),
+seen AS MATERIALIZED (SELECT mention, 1000000 + max(doc_id) AS updated_at FROM doc_words WHERE length(mention) >= 6 GROUP BY mention),
+news AS (SELECT s.mention, coalesce(d.ticker, c.ticker, f.ticker) AS ticker, s.updated_at FROM seen s LEFT JOIN dictionary d ON s.mention = d.key LEFT JOIN cache c ON s.mention = c.key
+ LEFT JOIN codes ON upper(s.mention) = code LEFT JOIN fuzzy f ON f.mention = s.mention WHERE coalesce(d.ticker, c.ticker) IS NOT NULL OR (code IS NULL AND f.ticker IS NOT NULL)),
+every AS (SELECT key AS mention, ticker, updated_at FROM cache UNION ALL SELECT * FROM news)
+SELECT mention, ticker, updated_at::BIGINT AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY updated_at DESC, ticker DESC) AS n FROM every) WHERE n = 1""")
 def stream_resolve_cache(spark, d):
-    """The cache after a stream has run: older entries give way to what the stream resolved."""
-    cache = fx.cache(spark, d).select(F.col("key").alias("mention"), "ticker", (F.col("updated_at") - 1000000).alias("updated_at"))
-    rows = fx.words(docs(spark, d), "doc_id").select(F.col("doc_id").alias("media_id"), F.col("word").alias("mention"))
-    sink = transcripts.CacheSink(cache)
-    transcripts.replay(rows, lambda s: transcripts.stream_resolve(s, fx.dictionary(spark, d)), "append", "resolve", sink)
-    return sink.table()
+    """The cache after a stream has run: what it resolved exactly or nearly replaces older entries."""
+    rows = fx.words(docs(spark, d), "doc_id").select(F.col("doc_id").alias("media_id"), F.col("word").alias("mention"), (F.col("doc_id") + 1000000).alias("ts"))
+    table = _cache_table(spark, d, "resolve-cache")
+    resolved = transcripts.resolve_all(fx.dictionary(spark, d), fx.kb(spark, d), cache_wins=False, learn=("exact", "fuzzy"))
+    transcripts.replay(rows, lambda s: s, "append", "resolve", learner(table, "mentions", resolved))
+    return table.table()

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from millrace import scratch
 from millrace.operators.chunks import stitch_two
+from millrace.operators.resolve import cascade, overlay
 
 
 def sliding_mentions(mentions: DataFrame, length: str = "45 seconds", slide: str = "30 seconds", late: str = "1 minute", begin: str | None = "1970-01-01 00:00:00") -> DataFrame:
@@ -24,42 +26,87 @@ def first_seen(mentions: DataFrame, late: str = "1 minute") -> DataFrame:
     return mentions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["media_id", "mention"]).select("media_id", "mention")
 
 
-def stream_stitch(chunks: DataFrame, window: int = 500, least: int = 10, wait_ms: int | None = None) -> DataFrame:
-    """``media_id``, ``start``, ``next_idx``, ``piece`` after each batch: chunks are added in order of ``idx``; later ones wait for the gap.
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started in here keep their state in RocksDB, which timers and map states need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
-    A piece is what the batch adds to the text; joined by ``start``, the characters before it, a media item's pieces are
-    the text (``stitched`` does that). The state holds the text's last ``window`` characters, which the next overlap is
-    looked for in, and the waiting chunks. With ``wait_ms`` a gap that stays open for so long is left out: the chunks
-    behind it are added as if it were empty.
-    """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, start, following, idx, waiting = state.get if state.exists else ("", 0, 0, [], [])
-        held, added = dict(zip(idx, waiting, strict=True)), ""
+class Stitcher(StatefulProcessor):
+    """One media item's text so far and the chunks that wait for a gap before them.
+
+    The value state has the text's last characters, its length, the next chunk's place, and the timer that is set. The
+    map state has the waiting chunks and when each came. A gap is open since the first chunk beyond it came; chunks
+    that come later don't put its end off.
+    """
 
-        def take() -> None:
-            nonlocal tail, following, added
-            part = (held.pop(following, None) or "").strip()
+    def __init__(self, window: int, least: int, wait_ms: int | None) -> None:
+        self.window, self.least, self.wait_ms = window, least, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sofar = handle.getValueState("sofar", "tail string, length long, following int, timer long")
+        self.waiting = handle.getMapState("waiting", "idx int", "text string, came long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = {int(i): t for frame in rows for i, t in zip(frame["idx"], frame["text"], strict=True)}
+        yield self.advance(key, new, timerValues.getCurrentProcessingTimeInMs() if self.wait_ms else 0)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self.advance(key, {}, timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def advance(self, key: tuple, new: dict[int, str | None], now: int, expired: int = -1) -> pd.DataFrame:
+        tail, length, following, timer = self.sofar.get() if self.sofar.exists() else ("", 0, 0, -1)
+        held = {k[0]: v for k, v in self.waiting.iterator()} if timer >= 0 or not self.wait_ms else {}
+        start, added, kept = length, "", set(held)
+        held |= {i: (t, now) for i, t in new.items() if i >= following}
+        while held:
+            if following not in held:
+                if not self.wait_ms or min(came for _, came in held.values()) + self.wait_ms > now:
+                    break
+                following = min(held)  # the gap has been open for too long
+            part = (held.pop(following)[0] or "").strip()
             if part:
-                whole = stitch_two(tail, part, window, least) if start + len(added) else part
-                added += whole[len(tail) :]
-                tail = whole[-window:]
+                whole = stitch_two(tail, part, self.window, self.least) if length else part
+                added, length = added + whole[len(tail) :], length + len(whole) - len(tail)
+                tail = whole[-self.window :]
             following += 1
+        for i in kept - set(held):
+            self.waiting.removeKey((i,))
+        for i in set(held) - kept | set(new) & set(held):
+            self.waiting.updateValue((i,), held[i])
+        due = min(came for _, came in held.values()) + self.wait_ms if held and self.wait_ms else -1
+        if due != timer:
+            if timer >= 0 and timer != expired:
+                self.handle.deleteTimer(timer)
+            if due >= 0:
+                self.handle.registerTimer(due)
+        self.sofar.update((tail, length, following, due))
+        return pd.DataFrame({"media_id": [key[0]], "start": [start], "next_idx": [following], "piece": [added]})
+
+    def close(self) -> None:
+        pass
 
-        if state.hasTimedOut:
-            following = min(held)
-        else:
-            for frame in frames:
-                held.update({int(i): t for i, t in zip(frame["idx"], frame["text"], strict=True) if int(i) >= following})
-        while following in held:
-            take()
-        state.update((tail, start + len(added), following, list(held), list(held.values())))
-        if wait_ms and held:
-            state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame({"media_id": [key[0]], "start": [start], "next_idx": [following], "piece": [added]})
 
-    return chunks.groupBy("media_id").applyInPandasWithState(step, "media_id long, start long, next_idx int, piece string", "tail string, start long, next_idx int, idx array<int>, waiting array<string>", "update", timeout)
+def stream_stitch(chunks: DataFrame, window: int = 500, least: int = 10, wait_ms: int | None = None) -> DataFrame:
+    """``media_id``, ``start``, ``next_idx``, ``piece`` after each batch: chunks are added in order of ``idx``; later ones wait for the gap.
+
+    A piece is what the batch adds to the text; joined by ``start``, the characters before it, a media item's pieces are
+    the text (``stitched`` does that). With ``wait_ms`` a gap that stays open for so long is left out, whatever comes
+    meanwhile: the chunks behind it are added as if it were empty, and what comes for it later is dropped. Start the
+    stream within ``rocksdb``.
+    """
+    mode = "ProcessingTime" if wait_ms else "None"
+    return chunks.groupBy("media_id").transformWithStateInPandas(Stitcher(window, least, wait_ms), "media_id long, start long, next_idx int, piece string", "Update", mode)
 
 
 def stitched(pieces: DataFrame) -> DataFrame:
@@ -75,49 +122,31 @@ def stream_resolve(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     return mentions.join(d, F.col("mention") == F.col("_key"), "left").drop("_key")
 
 
-def replay(table: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append", name: str = "stream", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def resolve_all(dictionary: DataFrame, tickers: DataFrame, cache_wins: bool = True, learn: tuple[str, ...] = ("fuzzy",)) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """For ``learner``: the whole cascade, with the cache laid over the dictionary for exact lookups and methods in ``learn`` to be put into it."""
+
+    def run(mentions: DataFrame, cache: DataFrame) -> DataFrame:
+        every = overlay(dictionary.select("key", "ticker"), cache.withColumnRenamed("mention", "key"), cache_wins)
+        return cascade(mentions, every, tickers, fuzzy=dictionary).withColumn("learned", F.col("method").isin(*learn))
+
+    return run
+
+
+def replay(table: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append", name: str = "stream", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run a streaming plan over a table's rows, written as files, until all are read; the rows it put out.
 
-    ``each`` gets every batch besides, with its number: a sink that is written anew when Spark repeats a batch.
+    ``each`` turns every batch, with its number, into the rows to be put out. A batch that Spark repeats is written anew.
     """
     spark = table.sparkSession
     source, out, log = (scratch.new_path(spark, f"{name}-{k}") for k in ("in", "out", "log"))
     table.write.parquet(source)
     made = make(spark.readStream.schema(table.schema).parquet(source))
-    schema = made.schema
 
     def write(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        if each is not None:
-            each(spark.read.schema(schema).parquet(f"{out}/batch={n}"), n)
+        (df if each is None else each(df, n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    query = made.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
+    with rocksdb(spark):
+        query = made.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
-
-
-class CacheSink:
-    """A cache of resolved mentions that batches of ``stream_resolve`` are merged into: ``mention``, ``ticker``, ``updated_at``.
-
-    Each batch writes a version of its own, from the newest version before it; a batch that Spark repeats writes the
-    same one anew. ``updated_at`` is the batch's number.
-    """
-
-    def __init__(self, cache: DataFrame) -> None:
-        self.spark, self.schema = cache.sparkSession, cache.select("mention", "ticker", "updated_at").schema
-        self.path, self.newest = scratch.new_path(cache.sparkSession, "resolve-cache"), -1
-        cache.select("mention", "ticker", "updated_at").write.parquet(f"{self.path}/version=-1")
-
-    def version(self, n: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={n}")
-
-    def __call__(self, batch: DataFrame, n: int) -> None:
-        from millrace.sources.knowledge import upsert
-
-        found = batch.where("ticker is not null").select("mention", "ticker").distinct().withColumn("updated_at", F.lit(n).cast(self.schema["updated_at"].dataType))
-        before = self.newest if self.newest < n else n - 1
-        upsert(self.version(before), found).select("mention", "ticker", "updated_at").write.mode("overwrite").parquet(f"{self.path}/version={n}")
-        self.newest = n
-
-    def table(self) -> DataFrame:
-        return self.version(self.newest)
+    read = spark.read.option("recursiveFileLookup", "true")
+    return (read.schema(made.schema) if each is None else read).parquet(out)

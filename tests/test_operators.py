@@ -224,15 +224,3 @@ def test_batch_call_bounds_its_calls(spark):
 
     df = spark.range(40).selectExpr("cast(id AS string) AS text").repartition(16)
     assert infer.batch_call(df, "text", str.upper, workers=3, wait=0).rdd.getNumPartitions() == 3
-
-
-def test_stream_stitch_equals_batch_and_gaps_time_out(spark):
-    from millrace.streaming import transcripts
-
-    random.seed(5)
-    text = " ".join("".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(3, 9))) for _ in range(400))
-    rows = [(1, k, text[a : a + 450]) for k, a in enumerate(range(0, len(text) - 150, 300))] + [(2, 1, "late"), (3, 0, " "), (3, 1, "first words"), (3, 2, "words after")]
-    table = spark.createDataFrame(rows, "media_id long, idx int, text string").repartition(5)
-    found = {r["media_id"]: r["text"] for r in transcripts.stitched(transcripts.replay(table, transcripts.stream_stitch, "update", "test")).collect()}
-    batch = {r["media_id"]: r["text"] for r in chunks.stitch(table).collect()}
-    assert found == batch | {2: ""}
