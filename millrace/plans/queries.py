@@ -548,6 +548,32 @@ def carry_context(spark, d):
     return chunks.carry_context(fx.turns(spark, d).select("conv_id", "turn", "text"), "conv_id", "turn", "text")
 
 
+def stub(prompt: str) -> str:
+    """A model for tests: capitals; it fails on prompts whose length leaves 3 when divided by 7."""
+    if len(prompt) % 7 == 3:
+        raise ValueError(prompt)
+    return prompt.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def stub_with_context(prompt: str) -> str:
+    """A model for tests whose answer depends on all of the prompt: its length and its end in capitals. It fails as ``stub`` does."""
+    return f"{len(prompt)}|{stub(prompt)[-120:]}"
+
+
+_OUTPUT = f"""CASE WHEN length(p) % 7 = 3 THEN text ELSE regexp_replace(CASE WHEN contains(reply, '[CONTEXT]') AND contains(x, ']') THEN string_split(x, ']')[-1] ELSE x END, '^{_WS}+|{_WS}+$', '', 'g') END AS output"""
+_REPLIED = """length(p) || '|' || right(translate(p, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 120) AS reply,
+ CASE WHEN contains(reply, '[CONTEXT]') THEN string_split(reply, '[CONTEXT]')[-1] ELSE reply END AS x"""
+
+
+@query("WIN8b_carry_output", f"""WITH RECURSIVE ranked AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
+wave AS (SELECT conv_id, turn, text, k, '' AS context, text AS p, {_REPLIED}, {_OUTPUT} FROM ranked WHERE k = 1
+ UNION ALL SELECT r.conv_id, r.turn, r.text, r.k, right(w.output, 300) AS context, CASE WHEN context <> '' THEN '[CONTEXT] ' || context || ']' || chr(10) || text ELSE text END AS p, {_REPLIED}, {_OUTPUT}
+ FROM (SELECT conv_id AS of, k AS before, output FROM wave) w JOIN ranked r ON r.conv_id = w.of AND r.k = w.before + 1)
+SELECT conv_id, turn, text, context, output, CASE WHEN length(p) % 7 = 3 THEN 'failed' ELSE 'ok' END AS status FROM wave""")
+def carry_output(spark, d):
+    return infer.carry_output(fx.turns(spark, d), "conv_id", "turn", "text", stub_with_context, attempts=1, wait=0)
+
+
 @query("WIN9_neighbour_check", f"""WITH {MENTIONS}, lists AS (SELECT ticker, list(sector) AS s FROM sectors GROUP BY ticker),
 w AS (SELECT doc_id, pos, ticker, s, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) AS b, lead(s) OVER (PARTITION BY doc_id ORDER BY pos) AS a FROM mentions JOIN lists USING (ticker))
 SELECT doc_id, pos, ticker, coalesce(NOT list_has_any(s, b), false) AND coalesce(NOT list_has_any(s, a), false) AS odd FROM w""")
@@ -622,13 +648,6 @@ def render_prompt(spark, d):
     return fx.media(spark, d).select("media_id", prompts.render("Title: {title} on {channel}", title=F.col("title"), channel=F.col("channel")).alias("prompt"))
 
 
-def stub(prompt: str) -> str:
-    """A model for tests: capitals; it fails on prompts whose length leaves 3 when divided by 7."""
-    if len(prompt) % 7 == 3:
-        raise ValueError(prompt)
-    return prompt.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-
-
 _UPPER = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
@@ -637,6 +656,18 @@ def batch_call(spark, d):
     return infer.batch_call(fx.turns(spark, d).select("conv_id", "turn", "text"), "text", stub, attempts=3, wait=0)
 
 
+_CALLED = f"SELECT conv_id, turn, CASE WHEN length(text) % 7 = 3 THEN '' ELSE {_UPPER} END AS response, 1 AS attempts, CASE WHEN length(text) % 7 = 3 THEN 'failed' ELSE 'ok' END AS status FROM conversations"
+
+
+@query("INF3_concurrency", _CALLED)
+def concurrency(spark, d):
+    """Three calls at a time over all tasks, logged; what is no rate limit or time-out is not tried again."""
+    log = infer.ResponseLog(spark, scratch.new_path(spark, "responses"))
+    rows = fx.turns(spark, d).select("conv_id", "turn", "text")
+    made = infer.batch_call(rows, "text", stub, workers=3, wait=0, fallback="empty", retry_on=lambda x: isinstance(x, TimeoutError), log=log)
+    return made.select("conv_id", "turn", "response", "attempts", "status")
+
+
 @query("INF5_chain", f"SELECT conv_id, turn, CASE WHEN length(x) % 7 = 3 THEN x ELSE translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS response FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '^ +| +$', '', 'g') AS x FROM conversations)")
 def chain(spark, d):
     clean = lambda df: df.withColumn("text", X.collapse_ws(F.col("text")))

@@ -217,10 +217,3 @@ def test_notices_and_fallback(spark):
     v = spark.createDataFrame([("g", 1, "SET ", ["fed", "", None]), ("g", 2, "fed", None)], "grp string, pos int, term string, hints array<string>")
     prompt = lambda *a: prompts.keyword_prompt(v, "grp", *a).first()["prompt"]
     assert prompt("Base ", " more ") == "more Base SET fed" and prompt(" ", "more") == prompts.FALLBACK_CONTEXT + " SET fed"
-
-
-def test_batch_call_bounds_its_calls(spark):
-    from millrace.operators import infer
-
-    df = spark.range(40).selectExpr("cast(id AS string) AS text").repartition(16)
-    assert infer.batch_call(df, "text", str.upper, workers=3, wait=0).rdd.getNumPartitions() == 3
