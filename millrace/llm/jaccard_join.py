@@ -465,7 +465,8 @@ def _recut(large: DataFrame, numerator: int, denominator: int, folder: str) -> D
     together then is near copies. A shingle's holders meet at the smallest one.
     """
     flat = scratch.written(large.select("id", "n", F.explode("items").alias("item")), "items", folder)
-    often = flat.groupBy("item").agg(F.count("*").alias("often"), F.min("id").alias("centre")).where("often > 1")
+    # A table of its own, so that Spark can split a shingle that very many sets have in the join.
+    often = scratch.written(flat.groupBy("item").agg(F.count("*").alias("often"), F.min("id").alias("centre")).where("often > 1"), "often", folder)
     ahead = F.col("n") + 1 - F.ceil(F.col("n") * numerator / denominator)
     # Shingles that no other set has come first; they join nothing, so only their number matters.
     held = flat.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item", "centre"))).alias("x"))
