@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import scratch
-from millrace.llm.vectors import cells, distinct_vectors, matrix, valid
+from millrace.llm.vectors import cells, distinct_vectors, matrix, most_own, valid
 
 K, DEGREE, BEAM, OPENED = 10, 24, 256, 96
 #: First deals: how many, points in a block at most, pivots at most.
@@ -169,14 +169,15 @@ def _widened(state: DataFrame, fresh: DataFrame, width: int, beam: int) -> DataF
 def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE, beam: int = BEAM, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (Euclidean distance) of about the k nearest. ``is_query`` is a condition on ``vec_id``."""
     vectors = valid(rows, id_col, vec_col).where(F.exists("v", lambda x: x != 0.0))
-    points = scratch.written(distinct_vectors(vectors, k + 1), "nn-vectors")
+    most = k + most_own(vectors.where(is_query))  # a list may hold the query's own vectors besides
+    points = scratch.written(distinct_vectors(vectors, most), "nn-vectors")
     if points.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph = build_graph(points.select("rep", "v"), degree)
     flat = graph.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.d").alias("d"))
     back = _best(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), degree).select("a", F.explode("near.b").alias("b"))
     links = scratch.written(flat.select("a", "b").union(back).distinct().groupBy("a").agg(F.collect_list("b").alias("to")), "nn-links")
-    asked = scratch.written(vectors.where(is_query).join(points.select("rep", "v"), "v").select(F.col("vec_id").alias("query_id"), "rep", "v"), "nn-asked")
+    asked = scratch.written(vectors.where(is_query).distinct().join(points.select("rep", "v"), "v").select(F.col("vec_id").alias("query_id"), "rep", "v"), "nn-asked")
     asking = scratch.written(asked.groupBy(F.col("rep").alias("q")).agg(F.first("v").alias("qv")), "nn-asking")
     narrow = scratch.written(points.select(F.col("rep").alias("node"), F.col("v").cast("array<float>").alias("v")), "nn-narrow")
     width = points.agg(F.max(F.size("v"))).first()[0]
@@ -190,8 +191,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE,
         fresh = state.select("q", F.explode("next").alias("a")).join(links, "a").select("q", F.explode("to").alias("node")).distinct()
         state = _widened(state, fresh.join(narrow, "node").select(F.col("q").alias("of"), "node", "v"), width, beam)
     # The nearest anew, from the original vectors; twice as many as are wanted, as the beam's distances are those of rounded ones.
-    best = state.select("q", F.explode(F.slice("node", 1, 2 * (k + 1))).alias("node")).join(asking, "q").join(points.select(F.col("rep").alias("node"), "v"), "node").select("q", "node", distance(F.col("v"), F.col("qv")).alias("d"))
-    best = best.join(points.select(F.col("rep").alias("node"), "ids"), "node").groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("s"), i.alias("i")))))), 1, k + 1).alias("best"))
+    best = state.select("q", F.explode(F.slice("node", 1, 2 * most)).alias("node")).join(asking, "q").join(points.select(F.col("rep").alias("node"), "v"), "node").select("q", "node", distance(F.col("v"), F.col("qv")).alias("d"))
+    best = best.join(points.select(F.col("rep").alias("node"), "ids"), "node").groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("s"), i.alias("i")))))), 1, most).alias("best"))
     rest = F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k)
     out = asked.select("query_id", F.col("rep").alias("q")).join(best, "q").select("query_id", F.posexplode(rest).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.i").alias("vec_id"), F.col("x.s").alias("score"))

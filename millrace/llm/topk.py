@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import scratch
-from millrace.llm.vectors import cells, distinct_vectors, matrix, valid
+from millrace.llm.vectors import cells, distinct_vectors, matrix, most_own, valid
 
 K, BASE, LEAF = 20, 2.0, 16
 DATA_BLOCK, QUERY_BLOCK = 2048, 2048
@@ -233,7 +233,8 @@ def top_inner(rows: DataFrame, is_query: Column, scale: float = 64.0, k: int = K
     folder, kept = scratch.new_path(spark, "topk"), scratch.new_path(spark, "topk-result")
     whole = lambda x: F.floor(x * F.lit(scale)).cast("long")
     points = valid(rows, id_col, vec_col).select("vec_id", F.transform("v", whole).alias("v"))
-    table = scratch.written(distinct_vectors(points, k + 1), "vectors", folder)
+    most = k + most_own(points.where(is_query))  # a list may hold the query's own vectors besides
+    table = scratch.written(distinct_vectors(points, most), "vectors", folder)
     count, width = table.agg(F.count("*"), F.max(F.size("v"))).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -244,35 +245,36 @@ def top_inner(rows: DataFrame, is_query: Column, scale: float = 64.0, k: int = K
     groups = -(-queries.count() // QUERY_BLOCK) or 1
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "rep": [], "score": [], "ids": []}
+        out = {"query": [], "score": [], "ids": []}
         if left.num_rows and right.num_rows:
             q, d = matrix(left.column("v"), width), matrix(right.column("d_v"), width)
-            reps = right.column("d_rep").to_numpy()
-            best = dual_search(q, d, reps, k + 1, left.column("floor").to_numpy())
+            ids = right.column("d_ids").combine_chunks()
+            smallest = ids.flatten().to_numpy()[(ids.offsets.to_numpy() - ids.offsets[0].as_py())[:-1]]  # breaks ties
+            best = dual_search(q, d, smallest, most, left.column("floor").to_numpy())
             sizes = [len(r) for r in best.row]
             at = np.concatenate(best.row) if sizes else np.zeros(0, np.int64)
             out["query"] = np.repeat(left.column("rep").to_numpy(), sizes)
-            out["rep"], out["score"] = reps[at], np.concatenate(best.score) if sizes else at
-            out["ids"] = right.column("d_ids").combine_chunks().take(pa.array(at))
-        return pa.table({"query": pa.array(out["query"], pa.int64()), "rep": pa.array(out["rep"], pa.int64()), "score": pa.array(out["score"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64()))})
+            out["score"] = np.concatenate(best.score) if sizes else at
+            out["ids"] = ids.take(pa.array(at))
+        return pa.table({"query": pa.array(out["query"], pa.int64()), "score": pa.array(out["score"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64()))})
 
     def meet(left: DataFrame, pairs: DataFrame) -> DataFrame:
         """The query blocks against the data blocks that ``pairs`` (q_block, d_block) names: small query blocks together, so that a data block's tree is made seldom."""
         pairs = pairs.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(groups)).cast("int"))
         sent = left.join(pairs, F.col("block") == F.col("q_block")).select("rep", "v", "floor", "q_group", "d_block")
-        there = data.join(pairs.select(F.col("q_group").alias("to_q"), F.col("d_block").alias("to_d")).distinct(), F.col("block") == F.col("to_d")).select("to_q", "to_d", F.col("rep").alias("d_rep"), F.col("ids").alias("d_ids"), F.col("v").alias("d_v"))
-        return sent.groupBy("q_group", "d_block").cogroup(there.groupBy("to_q", "to_d")).applyInArrow(search, "query long, rep long, score long, ids array<long>")
+        there = data.join(pairs.select(F.col("q_group").alias("to_q"), F.col("d_block").alias("to_d")).distinct(), F.col("block") == F.col("to_d")).select("to_q", "to_d", F.col("ids").alias("d_ids"), F.col("v").alias("d_v"))
+        return sent.groupBy("q_group", "d_block").cogroup(there.groupBy("to_q", "to_d")).applyInArrow(search, "query long, score long, ids array<long>")
 
     cell_of = lambda t, name: t.select("cell", F.col("block").alias(name)).distinct()
     own = cell_of(queries, "q_block").join(cell_of(data, "d_block"), "cell").select("q_block", "d_block")
     first = scratch.written(meet(queries.withColumn("floor", F.lit(float("-inf"))), own), "own", kept)
-    kth = first.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query", F.get("s", F.lit(k)).cast("double").alias("known"))
+    kth = first.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query", F.get("s", F.lit(most - 1)).cast("double").alias("known"))
     more = scratch.written(queries.join(kth, F.col("rep") == F.col("query"), "left").withColumn("floor", F.coalesce("known", F.lit(float("-inf")))).drop("known", "query"), "more", folder)
     held = scratch.written(balls(data, width), "balls", folder)
     pairs = scratch.written(near_blocks(balls(more, width, "floor"), held, -(-held.count() // SLICE)), "pairs", folder)
     found = first.union(scratch.written(meet(more, pairs), "others", kept))
-    # Of each query point the k + 1 best by score and smallest id; then each query leaves itself out.
-    by_point = found.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))), 1, k + 1).alias("best"))
+    # Of each query point the ``most`` best by score and smallest id; then each query leaves itself out.
+    by_point = found.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))), 1, most).alias("best"))
     out = asked.select("query_id", "rep").join(by_point, F.col("rep") == F.col("query"))
     scratch.remove(spark, folder)
     rest = F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k)

@@ -18,14 +18,19 @@ def valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return out.where("ok and vec_id is not null and size(v) > 0").select("vec_id", "v")
 
 
+def most_own(asked: DataFrame) -> int:
+    """The most different vectors that one id of ``asked`` has: so many entries of a list may be the query's own."""
+    return asked.distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+
+
 def distinct_vectors(rows: DataFrame, most_ids: int) -> DataFrame:
-    """One row for equal vectors: ``rep``, the smallest id, ``ids``, the ``most_ids`` smallest, and ``v``.
+    """One row for equal vectors: ``rep``, a hash of the vector that names it, ``ids``, the ``most_ids`` smallest, and ``v``.
 
     The rank limit works before the shuffle too, so a vector that a third of all rows hold sends few rows a task.
     """
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = rows.distinct().withColumn("place", first).where(F.col("place") <= most_ids)
-    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v")
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("v").alias("rep"), "ids", "v")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
