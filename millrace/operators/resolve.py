@@ -6,6 +6,10 @@ knows the sizes, so a dictionary that outgrows memory is joined by a shuffle.
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +53,14 @@ def score(a: Column, b: Column) -> Column:
     return F.round(100.0 * (1 - F.levenshtein(a, b) / longest)).cast("int")
 
 
-def fuzzy_matches(mentions: DataFrame, dictionary: DataFrame, threshold: int = 90, key: str = "mention") -> DataFrame:
-    """The best alias of each distinct mention and the rules on it: ``mention``, ``alias``, ``ticker``, ``score``.
+def edit_pairs(words: DataFrame, aliases: DataFrame, threshold: int) -> DataFrame:
+    """``mention``, ``alias``, ``t``, ``score`` of all pairs whose share of characters without edits reaches the threshold.
 
-    Blocking is lossless at the threshold: with at most e edits one of e + 1 pieces of the alias stands unchanged in
-    the mention, at most e places away. The alias's pieces are joined to the mention's substrings of those places, so
-    only pairs that share a piece are scored. Lengths differ by the allowed edits at most.
-    Only the best alias counts (ties: first key); it is rejected, not replaced, when a bare ticker of three characters
-    or fewer scores under 100, or an all-ASCII-letters mention scores under 95.
+    Blocking is lossless: with at most e edits one of e + 1 pieces of the alias stands unchanged in the mention, at most
+    e places away. The alias's pieces are joined to the mention's substrings of those places, so only pairs that share
+    a piece are scored. Lengths differ by the allowed edits at most.
     """
     edits = lambda n: F.floor((100.5 - threshold) / 100.0 * n).cast("int")
-    words = mentions.select(F.col(key).alias("mention")).where(F.length(key) > 0).distinct()
-    aliases = dictionary.select(F.col("key").alias("alias"), F.col("ticker").alias("t"))
     # For each possible length of the mention the longer of both fixes the edits; pieces follow from alias and edits.
     n = F.length("alias")
     plans = aliases.select("alias", "t", F.explode(F.sequence(F.greatest(F.lit(1), n - edits(n * 10 / 9 + 1)), n + edits(n * 10 / 9 + 1))).alias("len")).withColumn("e", edits(F.greatest("len", n))).where(F.abs(F.col("len") - n) <= F.col("e"))
@@ -73,21 +73,86 @@ def fuzzy_matches(mentions: DataFrame, dictionary: DataFrame, threshold: int = 9
     shapes = plans.select("len", F.length("piece").alias("size"), "place").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     m = words.select("mention", F.length("mention").alias("len"), F.pmod(F.xxhash64("mention"), F.lit(SALTS)).cast("int").alias("salt"))
     parts = m.join(shapes, ["len", "salt"]).select("mention", "len", "place", F.substring("mention", F.col("place") + 1, F.col("size")).alias("piece"))
-    pairs = parts.join(plans, ["len", "place", "piece"]).select("mention", "alias", "t").distinct().withColumn("score", score(F.col("mention"), F.col("alias"))).where(F.col("score") >= threshold)
+    return parts.join(plans, ["len", "place", "piece"]).select("mention", "alias", "t").distinct().withColumn("score", score(F.col("mention"), F.col("alias"))).where(F.col("score") >= threshold)
+
+
+def letters(word: Column, most: int) -> Column:
+    """A word's letters, each with its number among equal ones: what two words have in common are these, as a set. Null beyond ``most`` letters."""
+    each = F.split(F.when(F.length(word) <= most, word), "")
+    each = F.filter(each, lambda c: c != "")
+    return F.transform(each, lambda c, i: F.concat(c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def sequence_pairs(words: DataFrame, aliases: DataFrame, threshold: int) -> DataFrame:
+    """``mention``, ``alias``, ``t``, ``score`` of all pairs whose block-matching ratio, 2 * matched / both lengths, reaches the threshold.
+
+    The matched characters are at most the letters that both words have, so at a ratio of r two words of n and m letters
+    share at least r (n + m) / 2 of them, and m is at least n r / (2 - r). Then of the n letters, the dictionary's rarest
+    first, the n - ceil(n r / (2 - r)) + 1 first hold one that is among the other's first, too. Pairs that share one are
+    held against the whole bound, and what is left is matched in Arrow batches. Nothing is lost.
+    """
+    least = (threshold - 0.5) / 100 - 1e-9  # what is rounded up to the threshold
+    share = least / (2 - least)
+    longest = aliases.agg(F.max(F.length("alias"))).first()[0] or 0
+    most = int(longest / share)
+    words = words.where(F.length("mention") <= most)
+    known = aliases.select("alias", "t", letters(F.col("alias"), longest).alias("a_all"))
+    often = known.select(F.explode("a_all").alias("letter")).groupBy("letter").agg(F.count("*").alias("often"))
+
+    def first(table: DataFrame, name: str, every: str) -> DataFrame:
+        """The letters that stand for each word, and its length."""
+        flat = table.select(name, F.explode(every).alias("letter")).join(often, "letter", "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "letter")))
+        n = F.size("x")
+        return flat.groupBy(name).agg(order.alias("x")).select(name, n.alias(f"{name}_n"), F.explode(F.slice("x", F.lit(1), n - F.ceil(n * share).cast("int") + 1)).alias("y")).select(name, f"{name}_n", F.col("y.letter").alias("letter"))
+
+    own = words.select("mention", letters(F.col("mention"), most).alias("m_all"))
+    met = first(own, "mention", "m_all").join(first(known, "alias", "a_all"), "letter")
+    met = met.where((F.col("alias_n") >= F.col("mention_n") * share) & (F.col("mention_n") >= F.col("alias_n") * share)).select("mention", "alias").distinct()
+    met = met.join(own, "mention").join(known, "alias")
+    near = met.where(2 * F.size(F.array_intersect("m_all", "a_all")) >= least * (F.size("m_all") + F.size("a_all")))
+
+    def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = difflib.SequenceMatcher(None, autojunk=False)
+        for frame in frames:
+            ratios = []
+            for mention, alias in zip(frame["mention"], frame["alias"], strict=True):
+                matcher.set_seqs(mention, alias)
+                ratios.append(matcher.ratio())
+            yield frame.assign(ratio=ratios)
+
+    scored = near.select("mention", "alias", "t").mapInPandas(matched, "mention string, alias string, t string, ratio double")
+    return scored.select("mention", "alias", "t", F.round(100 * F.col("ratio")).cast("int").alias("score")).where(F.col("score") >= threshold)
+
+
+#: How fuzzy lookups score a mention and an alias.
+SCORERS = {"edits": edit_pairs, "sequence": sequence_pairs}
+
+
+def fuzzy_matches(mentions: DataFrame, dictionary: DataFrame, threshold: int = 90, key: str = "mention", scorer: str = "edits") -> DataFrame:
+    """The best alias of each distinct mention and the rules on it: ``mention``, ``alias``, ``ticker``, ``score``.
+
+    ``scorer`` is 'edits' or 'sequence', see ``edit_pairs`` and ``sequence_pairs``; neither loses a pair.
+    Only the best alias counts (ties: first key); it is rejected, not replaced, when a bare ticker of three characters
+    or fewer scores under 100, or an all-ASCII-letters mention scores under 95.
+    """
+    words = mentions.select(F.col(key).alias("mention")).where(F.length(key) > 0).distinct()
+    aliases = dictionary.select(F.col("key").alias("alias"), F.col("ticker").alias("t")).where(F.length("key") > 0)
+    pairs = SCORERS[scorer](words, aliases, threshold)
     best = pairs.groupBy("mention").agg(F.min_by(F.struct("alias", "t", "score"), F.struct(-F.col("score"), "alias")).alias("b")).select("mention", "b.alias", F.col("b.t").alias("ticker"), "b.score")
     short = (F.length(F.replace("ticker", F.lit(".BK"), F.lit(""))) <= 3) & (F.col("score") < 100)
     plain = F.col("mention").rlike("^[A-Za-z]+$") & (F.col("score") < 95)
     return best.where(~short & ~plain)
 
 
-def cascade(mentions: DataFrame, dictionary: DataFrame, tickers: DataFrame, threshold: int = 90, fuzzy: DataFrame | None = None) -> DataFrame:
+def cascade(mentions: DataFrame, dictionary: DataFrame, tickers: DataFrame, threshold: int = 90, fuzzy: DataFrame | None = None, scorer: str = "edits") -> DataFrame:
     """Distinct mentions with ``ticker`` and ``method``: exact, code, fuzzy or none. Only what is left goes to the fuzzy join.
 
     ``fuzzy`` is the dictionary of the fuzzy lookup, if it isn't the same one: entries learned by it are no aliases.
     """
     words = mentions.select("mention").distinct()
     first = resolve_code(resolve_exact(words, dictionary), tickers)
-    near = fuzzy_matches(first.where("ticker is null and code_ticker is null"), dictionary if fuzzy is None else fuzzy, threshold)
+    near = fuzzy_matches(first.where("ticker is null and code_ticker is null"), dictionary if fuzzy is None else fuzzy, threshold, scorer=scorer)
     met = first.join(near.select("mention", F.col("ticker").alias("f_ticker")), "mention", "left")
     method = F.when(F.col("ticker").isNotNull(), "exact").when(F.col("code_ticker").isNotNull(), "code").when(F.col("f_ticker").isNotNull(), "fuzzy").otherwise("none")
     return met.select("mention", F.coalesce("ticker", "code_ticker", "f_ticker").alias("ticker"), method.alias("method"))

@@ -307,6 +307,12 @@ def fuzzy_resolve(spark, d):
     return resolve.fuzzy_matches(distinct_words(spark, d), fx.dictionary(spark, d))
 
 
+@query("JOIN4b_fuzzy_sequence")
+def fuzzy_sequence(spark, d):
+    """Words of any letters and length, by the block-matching ratio."""
+    return resolve.fuzzy_matches(fx.all_words(docs(spark, d)).distinct(), fx.dictionary(spark, d), scorer="sequence")
+
+
 @query("LIM1_top1", _FUZZY + "SELECT mention, alias, score FROM fuzzy")
 def top1(spark, d):
     return fuzzy_resolve(spark, d).drop("ticker")

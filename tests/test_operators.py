@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -135,6 +137,33 @@ def test_fuzzy_blocking_loses_nothing(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [80, 90, 95])
+def test_sequence_scorer_equals_the_full_scan(spark, threshold):
+    random.seed(threshold)
+    keys = {"".join(random.choice("abcdeกข ") for _ in range(random.randint(1, 24))) for _ in range(120)}
+    words = set(keys)
+    for k in sorted(keys):
+        for _ in range(5):
+            w = list(k)
+            for _ in range(random.randint(0, 4)):
+                at = random.randrange(len(w) + 1)
+                random.choice([lambda: w.insert(at, random.choice("abcก1")), lambda: w.pop() if w else None, lambda: w.reverse()])()
+            words.add("".join(w))
+    words = words - {""} | {"a" * 50_000}
+    d = spark.createDataFrame([(k, "T1234.BK") for k in sorted(keys)], "key string, ticker string")
+    m = spark.createDataFrame([(w,) for w in words], "mention string")
+    got = {(r["mention"], r["alias"]): r["score"] for r in resolve.sequence_pairs(m, d.selectExpr("key AS alias", "ticker AS t"), threshold).collect()}
+    want = {}
+    for w in words - {"a" * 50_000}:
+        for k in keys:
+            score = int(100 * difflib.SequenceMatcher(None, w, k, autojunk=False).ratio() + 0.5)
+            if score >= threshold:
+                want[w, k] = score
+    assert got == want
+    best = {r["mention"]: r["alias"] for r in resolve.fuzzy_matches(m, d, threshold, scorer="sequence").collect()}
+    assert all(best.get(w, a) == a for w, a in ((w, min((k for v, k in want if v == w), key=lambda k: (-want[w, k], k))) for w, _ in want))
+
+
 def test_rules_on_short_tickers(spark):
     d = spark.createDataFrame([("apple1", "A.BK"), ("longer-key-12", "LONG.BK")], "key string, ticker string")
     m = spark.createDataFrame([("apple2",), ("apple1",), ("longer-key-13",)], "mention string")
