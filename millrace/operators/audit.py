@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +42,29 @@ def _tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def lost_facts(df: DataFrame, id_col: str, raw: str, corrected: str, pattern: str = NUMBER) -> DataFrame:
-    """Facts (by default numbers) that the corrected text has less often than the raw one."""
-    count = lambda c, sign: df.select(id_col, F.explode(_tokens(F.col(c), pattern)).alias("fact"), F.lit(sign).alias("n"))
+def words(text: Column) -> Column:
+    """A text's words, whole: letters, digits, and the marks that tickers have within."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}_&-]+"), lambda x: x != "")
+
+
+def facts(text: Column, pattern: str = NUMBER, terms: Sequence[str] = ()) -> Column:
+    """What a text states that must not get lost: matches of ``pattern`` (by default numbers), and the protected ``terms`` among its words."""
+    found = F.coalesce(_tokens(text, pattern), F.array().cast("array<string>"))
+    return F.concat(found, F.coalesce(F.filter(words(text), lambda x: x.isin(*terms)), F.array().cast("array<string>"))) if terms else found
+
+
+def lost_facts(df: DataFrame, id_col: str, raw: str, corrected: str, pattern: str = NUMBER, terms: Sequence[str] = ()) -> DataFrame:
+    """Facts (by default numbers), and protected ``terms``, that the corrected text has less often than the raw one."""
+    count = lambda c, sign: df.select(id_col, F.explode(facts(F.col(c), pattern, terms)).alias("fact"), F.lit(sign).alias("n"))
     return count(raw, 1).union(count(corrected, -1)).groupBy(id_col, "fact").agg(F.sum("n").alias("n_lost")).where("n_lost > 0")
 
 
-def grounding(df: DataFrame, id_col: str, summary: str, source: str, pattern: str = NUMBER) -> DataFrame:
-    """Facts of the summary that its source does not have."""
-    return df.select(id_col, F.explode(F.array_except(_tokens(F.col(summary), pattern), _tokens(F.col(source), pattern))).alias("fact"))
+def grounding(df: DataFrame, id_col: str, summary: str, source: str, pattern: str = NUMBER, tickers: DataFrame | None = None) -> DataFrame:
+    """Facts of the summary that its source does not have: matches of ``pattern`` and, with ``tickers`` (``ticker``), bare tickers among its words."""
+    found = df.select(id_col, F.explode(F.array_except(facts(F.col(summary), pattern), facts(F.col(source), pattern))).alias("fact"))
+    if tickers is None:
+        return found
+    capitals = lambda c: F.coalesce(F.filter(words(F.col(c)), lambda x: x.rlike("^[A-Z][A-Z0-9&-]*$")), F.array().cast("array<string>"))
+    named = df.select(id_col, F.explode(F.array_except(capitals(summary), capitals(source))).alias("fact"))
+    bare = tickers.select(F.replace("ticker", F.lit(".BK"), F.lit("")).alias("fact")).distinct()
+    return found.union(named.join(bare, "fact", "left_semi").select(id_col, "fact"))

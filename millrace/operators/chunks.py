@@ -7,8 +7,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 
 def chunk_plan(media: DataFrame, length: Column, chunk: Column, overlap: Column, tail: str = "all") -> DataFrame:
@@ -165,3 +166,14 @@ def split_text(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame(rows, columns=["id", "idx", "piece"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, idx int, piece string")
+
+
+def register_split_text(spark: SparkSession, name: str = "split_text") -> None:
+    """``split_text(text, size)`` as a table function for SQL: a row ``idx``, ``piece`` for each piece, in lateral joins too."""
+
+    @udtf(returnType="idx int, piece string", useArrow=True)
+    class SplitText:
+        def eval(self, text: str, size: int) -> Iterator[tuple[int, str]]:
+            yield from enumerate(split_recursive(text or "", size))
+
+    spark.udtf.register(name, SplitText)

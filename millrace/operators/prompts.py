@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import cap
 
-# What stands in place of a list that is empty, and of a vocabulary without a base text.
-NO_TERMS = "--- no finance terms context ---"
-NO_ENTITIES = "no entity mapping for this transcript"
-FALLBACK_CONTEXT = "Context: a Thai stock analysis programme, mostly about Thai stocks, SET Index, interest rates, Fed"
+#: What stands in place of a list that is empty, and of a vocabulary without a base text, unless the caller says otherwise.
+NO_TERMS = "(no terms)"
+NO_ENTITIES = "(no entities)"
+FALLBACK_CONTEXT = "Terms:"
 
 
 def ordered(value: str, *order: str) -> Column:
@@ -61,8 +61,8 @@ def mapping_text(resolved: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def entity_text(entities: DataFrame, doc: str = "doc_id", docs: DataFrame | None = None, notice: str = NO_ENTITIES) -> DataFrame:
-    """Per document one line an entity; the notice for those of ``docs`` that have none."""
-    line = entities.withColumn("_line", F.format_string("%s (%s): %s", "mention", "type", F.coalesce("ticker", F.lit("UNKNOWN"))))
+    """Per document one line an entity, with where its ticker comes from; the notice for those of ``docs`` that have none."""
+    line = entities.withColumn("_line", F.format_string("%s (%s): %s [%s]", "mention", "type", F.coalesce("ticker", F.lit("UNKNOWN")), F.coalesce("source", F.lit("?"))))
     made = line.groupBy(doc).agg(F.array_join(ordered("_line", "pos"), "\n").alias("entities"))
     return made if docs is None else or_notice(made, docs, doc, "entities", notice)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import scratch
 from millrace.functions import text as X
-from millrace.operators import audit, chunks, corrections, infer, prompts, resolve
+from millrace.operators import audit, chunks, corrections, infer, metrics, prompts, resolve
 from millrace.plans import fixtures as fx
 from millrace.plans.fixtures import ALL_WORDS, CACHE, HITS, KB, MARKDOWN, MEDIA, MENTIONS, QUOTES, t
 from millrace.sources import knowledge
@@ -228,6 +228,13 @@ def split_recursive(spark, d):
     return chunks.split_text(docs(spark, d), 4000)
 
 
+@query("TXT22c_split_lateral")
+def split_lateral(spark, d):
+    """The table function, in a lateral join."""
+    chunks.register_split_text(spark)
+    return spark.sql("SELECT doc_id, p.idx, p.piece FROM {texts}, LATERAL split_text(text, 4000) AS p", texts=docs(spark, d).select("doc_id", "text"))
+
+
 @query("TXT23_ticker_standardise", _replaced("upper(ticker)"))
 def ticker_standardise(spark, d):
     return corrections.standardise(docs(spark, d), fx.dictionary(spark, d).withColumnRenamed("key", "mention"))
@@ -451,7 +458,7 @@ def mapping_text(spark, d):
     return prompts.mapping_text(resolve.first_seen(fx.mentions(spark, d)))
 
 
-@query("AGG8_entity_text", _ENTITIES + f""", made AS (SELECT doc_id, string_agg(mention || ' (' || type || '): ' || coalesce(ticker, 'UNKNOWN'), chr(10) ORDER BY pos) AS entities FROM enriched GROUP BY doc_id)
+@query("AGG8_entity_text", _ENTITIES + f""", made AS (SELECT doc_id, string_agg(mention || ' (' || type || '): ' || coalesce(ticker, 'UNKNOWN') || ' [' || source || ']', chr(10) ORDER BY pos) AS entities FROM enriched GROUP BY doc_id)
 SELECT doc_id, coalesce(entities, '{prompts.NO_ENTITIES}') AS entities FROM documents LEFT JOIN made USING (doc_id)""")
 def entity_text(spark, d):
     return prompts.entity_text(enrich(spark, d), docs=docs(spark, d))
@@ -478,6 +485,22 @@ def run_stats(spark, d):
     return resolve.run_stats(fx.mentions(spark, d))
 
 
+@query("AGG13b_run_metrics", """SELECT count(*) AS n_chunks, count(*) FILTER (coalesce(length(text), 0) = 0) AS n_empty, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes, max(length(text)) AS longest,
+ sum(turn)::BIGINT AS seconds, max(turn) AS most_seconds FROM conversations""")
+def run_metrics(spark, d):
+    """What the run that writes the artifacts finds besides."""
+    rows, seen = metrics.observed(fx.turns(spark, d), metrics.chunk_metrics("text", "turn"))
+    scratch.written(rows, "observed")
+    found = {k: v for k, v in seen.get.items() if not k.endswith(("_median", "_95"))}
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} {'int' if k == 'longest' else 'long'}" for k in found))
+
+
+@query("AGG13c_media_stats", """SELECT conv_id, count(*) AS n_chunks, count(*) FILTER (coalesce(length(text), 0) = 0) AS n_empty, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes, max(length(text))::INTEGER AS longest,
+ sum(turn)::BIGINT AS seconds, max(turn) AS most_seconds FROM conversations GROUP BY conv_id""")
+def media_stats(spark, d):
+    return metrics.media_stats(fx.turns(spark, d), "conv_id", "text", "turn").drop("size_median", "size_95", "seconds_median", "seconds_95")
+
+
 @query("AGG14_reassemble", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_parts FROM conversations GROUP BY conv_id")
 def reassemble(spark, d):
     return chunks.reassemble(fx.turns(spark, d), "conv_id", "turn", "text")
@@ -603,13 +626,17 @@ per_doc("SET2_distinct_set", lambda x: F.array_sort(F.array_distinct(X.candidate
 
 
 # --- audits -------------------------------------------------------------------------------------------------------
-@query("SET3_retained_facts", """WITH raw AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(text || ' ' || turn || ' 7', '[0-9]+(?:\\.[0-9]+)?')) AS fact FROM conversations),
-fixed AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS fact FROM conversations),
+_PROTECTED = ["QoQ", "YoY"]
+_FACTS = r"list_concat(regexp_extract_all({0}, '[0-9]+(?:\.[0-9]+)?'), list_filter(string_split_regex({0}, '[^\pL\pN_&-]+'), lambda x: x IN ('QoQ', 'YoY')))"
+
+
+@query("SET3_retained_facts", f"""WITH raw AS (SELECT conv_id * 1000 + turn AS id, unnest({_FACTS.format("text || ' ' || turn || ' 7 YoY QoQ'")}) AS fact FROM conversations),
+fixed AS (SELECT conv_id * 1000 + turn AS id, unnest({_FACTS.format("text || ' YoY'")}) AS fact FROM conversations),
 d AS (SELECT id, fact, 1 AS n FROM raw UNION ALL SELECT id, fact, -1 FROM fixed)
 SELECT id, fact, sum(n)::BIGINT AS n_lost FROM d GROUP BY id, fact HAVING sum(n) > 0""")
 def retained_facts(spark, d):
-    rows = fx.turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws(" ", "text", "turn", F.lit("7")).alias("raw"), F.col("text").alias("fixed"))
-    return audit.lost_facts(rows, "id", "raw", "fixed")
+    rows = fx.turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", F.lit(" "), "turn", F.lit(" 7 YoY QoQ")).alias("raw"), F.concat("text", F.lit(" YoY")).alias("fixed"))
+    return audit.lost_facts(rows, "id", "raw", "fixed", terms=_PROTECTED)
 
 
 @query("AUD1_no_bold", f"WITH {MARKDOWN} SELECT doc_id, markdown, len(regexp_extract_all(markdown, '\\*\\*[A-Z0-9&-]+\\*\\*'))::INTEGER AS n_bold, regexp_replace(markdown, '\\*\\*([A-Z0-9&-]+)\\*\\*', '\\1', 'g') AS clean FROM summary")
@@ -641,11 +668,13 @@ def bullet_detail(spark, d):
     return audit.bullet_detail(fx.markdown(spark, d), "doc_id")
 
 
-@query("AUD6_grounding", f"""WITH {MARKDOWN} SELECT DISTINCT s.doc_id, f.fact FROM (SELECT doc_id, unnest(regexp_extract_all(markdown, '[0-9]+(?:\\.[0-9]+)?')) AS fact FROM summary) f JOIN summary s USING (doc_id) JOIN documents o USING (doc_id)
-WHERE NOT list_contains(regexp_extract_all(o.text, '[0-9]+(?:\\.[0-9]+)?'), f.fact)""")
+@query("AUD6_grounding", f"""WITH {MARKDOWN}, pairs AS (SELECT s.doc_id, s.markdown, o.text FROM summary s JOIN documents o USING (doc_id)),
+named AS (SELECT doc_id, text, unnest(list_distinct(list_filter(string_split_regex(markdown, '[^\\pL\\pN_&-]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9&-]*')))) AS fact FROM pairs)
+SELECT DISTINCT doc_id, fact FROM (SELECT doc_id, text, unnest(regexp_extract_all(markdown, '[0-9]+(?:\\.[0-9]+)?')) AS fact FROM pairs) WHERE NOT list_contains(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), fact)
+UNION ALL SELECT doc_id, fact FROM named WHERE fact IN (SELECT replace(ticker, '.BK', '') FROM kb) AND NOT list_contains(string_split_regex(text, '[^\\pL\\pN_&-]+'), fact)""")
 def grounding(spark, d):
     rows = fx.markdown(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    return audit.grounding(rows, "doc_id", "markdown", "text")
+    return audit.grounding(rows, "doc_id", "markdown", "text", tickers=fx.kb(spark, d))
 
 
 # --- model calls --------------------------------------------------------------------------------------------------
