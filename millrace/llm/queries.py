@@ -132,6 +132,34 @@ def op11_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(greatest(len(w) - 1, least(len(w), 1))), lambda i: hash(array_to_string(list_slice(w, i + 1, i + 2), ' '))))) AS s FROM lists
+), classes AS MATERIALIZED (
+  SELECT s, len(s) AS n, min(doc_id) AS id FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (
+  SELECT id, n, unnest(s) AS item FROM classes
+), often AS (
+  SELECT item, count(*) AS often FROM items GROUP BY item
+), front AS MATERIALIZED (  -- linked sets of n have one of their n - ceil(0.8 n) + 1 rarest shingles in common
+  SELECT id, n, item FROM (SELECT id, n, item, row_number() OVER (PARTITION BY id ORDER BY often, item) AS place FROM items JOIN often USING (item)) WHERE place <= n - (80 * n + 99) // 100 + 1
+), met AS MATERIALIZED (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM front a JOIN front b ON a.item = b.item AND a.id <> b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+), links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM met JOIN classes a ON a.id = met.a JOIN classes b ON b.id = met.b
+  WHERE 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)
+), reach AS (
+  SELECT id AS a, id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (
+  SELECT a, min(b) AS root FROM reach GROUP BY a
+)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN roots ON roots.a = classes.id
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.whitening import whitened
 
@@ -144,6 +172,42 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+def _crc_steps() -> list[int]:
+    """What four steps of the CRC-32 make of each value of four bits, from its polynomial."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), counted AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n, hex(doc_id || ':' || run) AS h FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), coded AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h)), lambda i: (instr('0123456789ABCDEF', h[i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END]) - 1)::BIGINT)),
+         lambda c, x: xor(c >> 4, ({_crc_steps()}::BIGINT[])[(xor(c, x) & 15) + 1])), 4294967295) AS crc FROM counted
+), words AS (
+  SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, (crc % length(run))::INTEGER) || substr(run, (crc % length(run))::INTEGER + 2) ELSE run END AS word, n FROM coded
+), vocabulary AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word)))::INTEGER AS i FROM vocabulary)
+), shorter AS (
+  SELECT DISTINCT less.word AS a, v.word AS b FROM less JOIN vocabulary v ON v.word = d
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word UNION SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+), ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place FROM near JOIN vocabulary o ON o.word = other
+), forms AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND place = 1
+), chain AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.root AND e.form IS NULL
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -159,4 +223,4 @@ QUERIES = {
     "op12_whitening": op12_whitening,
     "op13_spelling": op13_spelling,
 }
-ORACLES = {"op3_topk": OP3_SQL, "op2_line_dedup": OP2_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op11_bbit_minhash": OP11_SQL, "op13_spelling": OP13_SQL}

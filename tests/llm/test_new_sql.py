@@ -1,0 +1,20 @@
+"""The SQL of b-bit MinHash and spelling variants on the smallest tables."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+from millrace.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op11_bbit_minhash", "op13_spelling"])
+def test_query_equals_sql(spark, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    result = db.execute(queries.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    got = queries.QUERIES[name](spark, DATA).select(columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, result.fetchall()))
