@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from millrace import scratch
+
 
 def chunk_plan(media: DataFrame, length: Column, chunk: Column, overlap: Column, tail: str = "all") -> DataFrame:
     """Overlapping windows over [0, length): ``media_id``, ``idx``, ``start_ms``, ``end_ms``.
@@ -36,8 +38,24 @@ def in_order(chunks: DataFrame, group: str, idx: str, text: str) -> DataFrame:
 
 
 def longest_block(a: str, b: str, autojunk: bool = False) -> tuple[int, int, int]:
-    m = difflib.SequenceMatcher(None, a, b, autojunk=autojunk).find_longest_match(0, len(a), 0, len(b))
-    return m.a, m.b, m.size
+    """Places in both and size of the longest common block: the first one in ``a``, and of its places in ``b`` the first.
+
+    A common block holds common ones of all smaller sizes, so its size is found by halving, on the sets of parts of a size.
+    """
+    if autojunk:
+        m = difflib.SequenceMatcher(None, a, b, autojunk=True).find_longest_match(0, len(a), 0, len(b))
+        return m.a, m.b, m.size
+
+    def at(size: int) -> int:
+        parts = {b[i : i + size] for i in range(len(b) - size + 1)}
+        return next((i for i in range(len(a) - size + 1) if a[i : i + size] in parts), -1)
+
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        size = (low + high + 1) // 2
+        low, high = (size, high) if at(size) >= 0 else (low, size - 1)
+    first = at(low) if low else 0
+    return first, b.find(a[first : first + low]) if low else 0, low
 
 
 def stitch_two(before: str, text: str, window: int, least: int, autojunk: bool = False) -> str:
@@ -55,23 +73,71 @@ def stitch_words_two(before: str, text: str, most: int) -> str:
     return " ".join(a + b)
 
 
-def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str = "collapse", words: int | None = None, autojunk: bool = False) -> DataFrame:
+#: Chunks of a media item that one group folds, and those before them that it guesses the text's end from.
+SEGMENT, LEAD = 64, 4
+
+
+def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str = "collapse", words: int | None = None, autojunk: bool = False, segment: int = SEGMENT) -> DataFrame:
     """One text a media item from ``media_id``, ``idx``, ``text``: chunks folded in order, overlaps cut.
 
-    Each step needs the text so far, so a media item is one group; items are spread over the cluster. With ``autojunk``
-    characters that are frequent in a window of 200 or more begin no common block, as difflib does by default.
+    A step needs the end of the text so far and nothing else, so a long item is folded in segments at once, each from
+    the end that the few chunks before it give. Then ends are held against what the segment before has come to, and
+    segments that started from another end are folded again, until all agree: the result is that of one fold from the
+    first chunk. With ``words`` overlaps of up to so many whole words are cut, and texts are single-spaced. With
+    ``autojunk`` characters that are frequent in a window of 200 or more begin no common block, as difflib does by default.
+    A media item with blank chunks only has an empty text; of chunks with equal ``idx`` the smaller text comes first.
     """
+    spark = chunks.sparkSession
+    folder, kept = scratch.new_path(spark, "stitch"), scratch.new_path(spark, "stitch-pieces")
+
+    def add(tail: str, part: str) -> tuple[str, str]:
+        """What a chunk adds to a text that ends so, and the end then."""
+        if words:
+            part = " ".join(part.split())
+            whole = stitch_words_two(tail, part, words)
+            return whole[len(tail) :], " ".join(whole.split(" ")[-words:])
+        whole = stitch_two(tail, part, window, least, autojunk) if tail else part
+        return whole[len(tail) :], whole[-window:]
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [t.strip() for t in group.sort_values("idx")["text"].fillna("")]
-        parts = [t for t in parts if t]
-        out = parts[0] if parts else ""
-        for part in parts[1:]:
-            out = stitch_words_two(out, part, words) if words else stitch_two(out, part, window, least, autojunk)
-        out = " ".join(out.split()) if cleanup == "collapse" else out.replace("  ", " ")
-        return pd.DataFrame({"media_id": [group["media_id"].iloc[0]], "text": [out]})
-
-    return chunks.select("media_id", "idx", "text").groupBy("media_id").applyInPandas(fold, "media_id long, text string")
+        group = group.sort_values("at")
+        known = group["tail"].iloc[0]
+        guess = known is None or known != known
+        tail, start, added = "" if guess else known, None, []
+        for lead, text in zip(group["lead"], group["text"], strict=True):
+            if lead and not guess:
+                continue
+            if not lead and start is None:
+                start = tail
+            part = text.strip()
+            piece, tail = add(tail, part) if part else ("", tail)
+            if not lead:
+                added.append(piece)
+        return pd.DataFrame({"media_id": [group["media_id"].iloc[0]], "seg": [group["seg"].iloc[0]], "start": [start], "end": [tail], "piece": ["".join(added)]})
+
+    kind = chunks.schema["media_id"].dataType.simpleString()
+    made = f"media_id {kind}, seg long, start string, end string, piece string"
+    at = F.row_number().over(Window.partitionBy("media_id").orderBy("idx", "text")) - 1
+    rows = chunks.select("media_id", "idx", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", at)
+    own = F.floor(F.col("at") / segment)
+    # The last chunks of a segment lead the next one.
+    into = F.when(F.pmod("at", F.lit(segment)) >= segment - LEAD, F.array(F.struct(own.alias("seg"), F.lit(False).alias("lead")), F.struct((own + 1).alias("seg"), F.lit(True).alias("lead")))).otherwise(F.array(F.struct(own.alias("seg"), F.lit(False).alias("lead"))))
+    dealt = scratch.written(rows.select("media_id", "at", "text", F.explode(into).alias("x")).select("media_id", "at", "text", "x.seg", "x.lead"), "dealt", folder)
+    folded = dealt.withColumn("tail", F.when(F.col("seg") == 0, F.lit(""))).groupBy("media_id", "seg").applyInPandas(fold, made)
+    now = scratch.written(folded.where("start is not null"), "folded", kept)  # a last segment may have leads only
+    before = F.lag("end").over(Window.partitionBy("media_id").orderBy("seg"))
+    while True:
+        wrong = scratch.written(now.select("media_id", "seg", "start", before.alias("tail")).where("tail <> start").select("media_id", "seg", "tail"), "wrong", folder)
+        if wrong.isEmpty():
+            break
+        wrong = wrong.withColumnsRenamed({"media_id": "_m", "seg": "_s"})
+        same = F.col("media_id").eqNullSafe(F.col("_m")) & (F.col("seg") == F.col("_s"))
+        again = dealt.join(wrong, same).drop("_m", "_s").groupBy("media_id", "seg").applyInPandas(fold, made)
+        now = scratch.written(now.join(wrong, same, "left_anti").unionByName(again), "folded", kept)
+    scratch.remove(spark, folder)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "piece"))), lambda x: x["piece"]), "")
+    clean = F.regexp_replace(F.regexp_replace(F.col("text"), r"(?U)\s+", " "), "^ | $", "") if cleanup == "collapse" else F.replace("text", F.lit("  "), F.lit(" "))
+    return now.groupBy("media_id").agg(text.alias("text")).select("media_id", clean.alias("text"))
 
 
 def lookback_dedupe(text: Column, k: int = 5, ratio: float = 0.85, delimiter: str = "\n+") -> Column:

@@ -246,3 +246,33 @@ def test_notices_and_fallback(spark):
     v = spark.createDataFrame([("g", 1, "SET ", ["fed", "", None]), ("g", 2, "fed", None)], "grp string, pos int, term string, hints array<string>")
     prompt = lambda *a: prompts.keyword_prompt(v, "grp", *a).first()["prompt"]
     assert prompt("Base ", " more ") == "more Base SET fed" and prompt(" ", "more") == prompts.FALLBACK_CONTEXT + " SET fed"
+
+
+def test_longest_block_equals_difflib():
+    random.seed(9)
+    for _ in range(400):
+        a, b = ("".join(random.choice("abc"[: random.randint(1, 3)]) for _ in range(random.randint(0, 40))) for _ in range(2))
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b))
+        assert chunks.longest_block(a, b) == (m.a, m.b, m.size) or m.size == 0 == chunks.longest_block(a, b)[2]
+
+
+@pytest.mark.parametrize("options", [{}, {"segment": 4}, {"segment": 5, "window": 60, "least": 3}, {"segment": 4, "words": 6}, {"segment": 6, "cleanup": "single", "autojunk": True}])
+def test_stitch_in_segments_equals_one_fold(spark, options):
+    random.seed(11)
+    rows = []
+    for m in range(8):
+        text = "".join(random.choice("ab  cdefgh\n") if m % 2 else random.choice("ab ") for _ in range(random.choice([0, 30, 900, 4000])))
+        size, share = random.choice([(40, 15), (90, 80), (450, 150)])
+        rows += [(m, k, text[a : a + size] if random.random() > 0.1 else random.choice(["", "  ", None])) for k, a in enumerate(range(0, max(len(text), 1), size - share))]
+    window, least, words = options.get("window", 500), options.get("least", 10), options.get("words")
+    want = {}
+    for m in {r[0] for r in rows}:
+        out = ""
+        for part in [p for p in ((t or "").strip() for n, _, t in rows if n == m) if p]:
+            if words:
+                out = chunks.stitch_words_two(out, part, words)
+            else:
+                out = chunks.stitch_two(out, part, window, least, options.get("autojunk", False)) if out else part
+        want[m] = " ".join(out.split()) if options.get("cleanup", "collapse") == "collapse" else out.replace("  ", " ")
+    df = spark.createDataFrame(rows, "media_id long, idx int, text string").repartition(5)
+    assert {r["media_id"]: r["text"] for r in chunks.stitch(df, **options).collect()} == want
