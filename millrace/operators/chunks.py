@@ -140,13 +140,17 @@ def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str =
     return now.groupBy("media_id").agg(text.alias("text")).select("media_id", clean.alias("text"))
 
 
+#: What ``str.strip`` takes away.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def lookback_dedupe(text: Column, k: int = 5, ratio: float = 0.85, delimiter: str = "\n+") -> Column:
     """Lines whose similarity to one of the last k kept lines is over ``ratio`` go. Similarity: 1 - edits / longer length.
 
     Lines of any length are compared. A pair costs up to the product of its length and the edits that ``ratio`` allows.
     The fold carries the last k kept lines and the places of all kept ones.
     """
-    lines = F.filter(F.transform(F.split(text, delimiter), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, delimiter), lambda x: F.trim(x, F.lit(WHITE))), lambda x: x != "")
 
     def near(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))

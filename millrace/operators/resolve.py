@@ -19,8 +19,11 @@ from millrace.functions.text import candidates, index_guard, not_blacklisted, st
 SALTS = 64
 
 
-def build_dictionary(aliases: DataFrame, order: list[str], include_codes: bool = False) -> DataFrame:
-    """``key`` -> ``ticker``: for a lower-case alias that several tickers own the last in ``order`` wins."""
+def build_dictionary(aliases: DataFrame, order: list[str], include_codes: bool = True) -> DataFrame:
+    """``key`` -> ``ticker``: for a lower-case alias that several tickers own the last in ``order`` wins.
+
+    With ``include_codes`` a ticker without its suffix is a key, too, ahead of its aliases in the last column of ``order``.
+    """
     rows = aliases.select(F.lower("alias").alias("key"), "ticker", *order)
     if include_codes:
         rows = rows.union(aliases.select(F.lower(F.replace("ticker", F.lit(".BK"), F.lit(""))).alias("key"), "ticker", *order[:-1], F.lit(-1).alias(order[-1])))

@@ -31,7 +31,7 @@ def kb(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return build_dictionary(kb(spark, d), ["item_id", "alias_pos"])
+    return build_dictionary(kb(spark, d), ["item_id", "alias_pos"], include_codes=False)
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:

@@ -276,3 +276,26 @@ def test_stitch_in_segments_equals_one_fold(spark, options):
         want[m] = " ".join(out.split()) if options.get("cleanup", "collapse") == "collapse" else out.replace("  ", " ")
     df = spark.createDataFrame(rows, "media_id long, idx int, text string").repartition(5)
     assert {r["media_id"]: r["text"] for r in chunks.stitch(df, **options).collect()} == want
+
+
+def test_options_of_dictionaries(spark):
+    rows = spark.createDataFrame([("X", "CPF.BK", "ptt", 0, 0), ("X", "PTT.BK", "oil", 1, 0), ("Y", "AOT.BK", "oil", 2, 0)], "sector string, ticker string, alias string, a int, b int")
+    keys = lambda **k: {r["key"]: r["ticker"] for r in resolve.build_dictionary(rows, ["a", "b"], **k).collect()}
+    assert keys() == {"ptt": "PTT.BK", "oil": "AOT.BK", "cpf": "CPF.BK", "aot": "AOT.BK"}
+    assert keys(include_codes=False) == {"ptt": "CPF.BK", "oil": "AOT.BK"}
+    d = spark.createDataFrame([("k", "B")], "key string, ticker string")
+    cache = spark.createDataFrame([("k", "C"), ("z", "Z")], "key string, ticker string")
+    laid = lambda wins: {r["key"]: (r["ticker"], r["src"]) for r in resolve.overlay(d, cache, wins).collect()}
+    assert laid(True) == {"k": ("C", "cache"), "z": ("Z", "cache")} and laid(False) == {"k": ("B", "kb"), "z": ("Z", "cache")}
+
+
+def test_rollup_counts_a_ticker_once_or_in_each_sector(spark):
+    mentions = spark.createDataFrame([(1, "T"), (2, "T")], "doc_id long, ticker string")
+    sectors = spark.createDataFrame([("T", "A", 1), ("T", "B", 0)], "ticker string, sector string, sector_pos int")
+    count = lambda **k: {(r["sector"], r["ticker"]): r["n_mentions"] for r in resolve.sector_rollup(mentions, sectors, **k).collect()}
+    assert count() == {("B", "T"): 2, ("B", None): 2, (None, None): 2}
+    assert count(fan_out=True) == {("A", "T"): 2, ("B", "T"): 2, ("A", None): 2, ("B", None): 2, (None, None): 4}
+
+
+def test_lookback_dedupe_strips_all_white_space(spark):
+    assert one(spark, chunks.lookback_dedupe, "\ta line here\u00a0\n \u3000a line here\r\n\x0b\nother") == "a line here\nother"
