@@ -4,9 +4,9 @@ Each labeller looks at one figure of a text and votes good (1), bad (0) or not a
 pattern of votes occurs over all documents; there are at most 3 to the number of labellers patterns, so the counts
 stay small at any size. Expectation-maximisation on the counts finds the share of good texts and each labeller's
 accuracy on good and on bad texts, and with them the posterior of each pattern. The posteriors, not any given
-label, teach a logistic scorer on hashed byte trigrams and runs of character classes of a bounded sample of documents
 label, teach a logistic scorer on hashed byte trigrams and runs of character classes of a bounded sample of
 documents (``MOST_TEXTS``, smallest hashes of ids); the scorer then sees every whole text.
+
 Defined cases: a null or empty text has no figures: every labeller abstains, and its score is the intercept's.
 Repeated rows count and are answered as often as they occur. Without rows there is no score. Extra columns are ignored.
 """
