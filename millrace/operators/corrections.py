@@ -64,7 +64,7 @@ def single_blanks(text: str) -> tuple[str, list[int], list[int]]:
             gone.append(total)
         return " "
 
-    return re.sub(r"\s+", one, text), ends, gone
+    return re.sub(r"\s\s+|[^\S ]", one, text), ends, gone  # single blanks stay as they are
 
 
 def forms(hint: str) -> set[str]:
