@@ -49,6 +49,7 @@ UNSEEN = r"(?<![\p{L}\p{N}_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 MAY_HOLD = {"email": r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]"}
 FORMS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 AROUND = 80
+STRIDE = 256
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_STRENGTH, MIN_INSTANCE = 4, 0.5, 1.5, 0.8
 
 _SPAN = "struct<kind:string,start:int,end:int,found:string,before:string,after:string>"
@@ -94,12 +95,18 @@ def spans_of(df: DataFrame, kind: str, text: str = "text") -> DataFrame:
     here, form = F.col(text).rlike(MAY_HOLD[kind]), FORMS[kind]
     df = df.withColumn("_m", F.when(here, F.regexp_extract_all(text, F.lit(form), F.lit(0))))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, form, -1)))
-    # A match starts after the gaps and matches before it.
-    lengths = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x))
-    start = lambda i: lengths(F.slice("_g", F.lit(1), i + 1)) + lengths(F.slice("_m", F.lit(1), i))
+    # A match starts after the gaps and matches before it. Their lengths are summed by runs of STRIDE matches first, so
+    # that a text full of matches doesn't sum all that is before each of them.
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    df = df.withColumn("_l", F.when(F.size("_m") > 0, F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), "_m", lambda g, x: F.length(g) + F.length(x))))
+    runs = F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / STRIDE).cast("int"))
+    df = df.withColumn("_s", F.when(F.size("_l") > 0, F.transform(runs, lambda r: total(F.slice("_l", r * STRIDE + 1, F.lit(STRIDE))))))
+    df = df.withColumn("_p", F.transform("_s", lambda _, r: total(F.slice("_s", F.lit(1), r))))
+    run = lambda i: F.floor(i / STRIDE).cast("int")
+    start = lambda i: F.get("_p", run(i)) + total(F.slice("_l", run(i) * STRIDE + 1, i % STRIDE)) + F.length(F.get("_g", i))
     rows = F.transform("_m", lambda x, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("found"), *about(i)))
     df = df.withColumn(kind, F.when(F.size("_m") > 0, F.filter(rows, lambda s: holds(kind, s["found"]))))
-    return df.drop("_m", "_g")
+    return df.drop("_m", "_g", "_l", "_s", "_p")
 
 
 def shape(found: Column) -> Column:
@@ -145,8 +152,9 @@ def seed_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pattern_graph(seeds: DataFrame) -> DataFrame:
     """Distinct ``found``, ``kind`` (null: unseen), ``sort`` and ``pattern``."""
     known = seeds.select(F.explode("base").alias("s")).select("s.found", "s.kind", "s.before", "s.after")
-    # A seed's inner parts look like unseen identifiers too; they aren't.
-    fresh = seeds.where(F.size("unseen") > 0).select(F.explode("unseen").alias("s"), F.transform("base", lambda b: b["found"]).alias("own")).where(~F.exists("own", lambda x: F.contains(x, F.col("s.found"))))
+    # A seed's inner parts look like unseen identifiers too; they aren't. No identifier spans the line ends between seeds.
+    own = F.array_join(F.transform("base", lambda b: b["found"]), "\n")
+    fresh = seeds.where(F.size("unseen") > 0).withColumn("own", own).select(F.explode(F.filter("unseen", lambda u: ~F.contains(F.col("own"), u["found"]))).alias("s"))
     every = known.union(fresh.select("s.found", F.lit(None).cast("string"), "s.before", "s.after"))
     return every.select("found", "kind", F.explode(patterns(F.col("found"), F.col("before"), F.col("after"))).alias("p")).select("found", "kind", "p.sort", "p.pattern").distinct()
 

@@ -282,6 +282,14 @@ def test_pii_base_equals_brute_force(spark, docs, odd):
     assert pii.find(odd).count() == len(ODD) and pii.find(odd.where("false")).count() == 0
 
 
+def test_pii_of_texts_full_of_identifiers(spark):
+    full = lambda n: "".join(f"wörd u{k}@mail{k % 9}.example.com, or 10.0.{k % 300}.1 " for k in range(n))
+    texts = [full(n) for n in (pii.STRIDE - 1, pii.STRIDE, pii.STRIDE + 1, 3 * pii.STRIDE + 7)] + ["a@b.c", ""]
+    seeds = pii.seed_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in seeds.select("doc_id", "base").collect()}
+    assert found == {k: brute_spans(text) for k, text in enumerate(texts)}
+
+
 def test_pii_patterns_find_unseen_identifiers(spark):
     rows = [(k, f"word{chr(97 + k % 26)} please call mobile +1 555 000 {1000 + k} now") for k in range(40)]
     rows += [(100, "kindly call mobile 5550009999x and wait"), (101, "the lot a5550001 of wood")]
