@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -37,14 +38,50 @@ def in_order(chunks: DataFrame, group: str, idx: str, text: str) -> DataFrame:
     return chunks.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(idx, text))), lambda x: x[text]).alias("texts"))
 
 
-def longest_block(a: str, b: str, autojunk: bool = False) -> tuple[int, int, int]:
+def _alike(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        size = (low + high + 1) // 2
+        low, high = (size, high) if a[:size] == b[:size] else (low, size - 1)
+    return low
+
+
+#: Sizes of the pieces by which common blocks are looked for, and extended places after which they are halved for instead.
+SEEDS, MOST_PLACES = (64, 24, 6), 64
+
+
+def longest_block(a: str, b: str, autojunk: bool = False, least: int = 0) -> tuple[int, int, int]:
     """Places in both and size of the longest common block: the first one in ``a``, and of its places in ``b`` the first.
 
-    A common block holds common ones of all smaller sizes, so its size is found by halving, on the sets of parts of a size.
+    ``b`` is cut into pieces of q characters. A common block of 2q - 1 or more holds one of them, so if extending all
+    their places in ``a`` gives such a block, it is the longest, and those of equal size have been seen too. Else
+    smaller pieces are tried. Where pieces occur too often the size is found by halving, on the sets of parts of a size:
+    a common block holds common ones of all smaller sizes. With ``least`` blocks up to that size may count as none.
     """
     if autojunk:
         m = difflib.SequenceMatcher(None, a, b, autojunk=True).find_longest_match(0, len(a), 0, len(b))
         return m.a, m.b, m.size
+    for q in SEEDS:
+        best, ends, places = (0, 0, 0), {}, 0
+        for j in range(0, len(b) - q + 1, q):
+            seed = b[j : j + q]
+            i = a.find(seed)
+            while i >= 0 and places <= MOST_PLACES:
+                if ends.get(i - j, 0) < i + q:  # not within a block that is known
+                    places += 1
+                    back, on = _alike(a[:i][::-1], b[:j][::-1]), q + _alike(a[i + q :], b[j + q :])
+                    ends[i - j] = i + on
+                    best = min(best, (-back - on, i - back, j - back))
+                i = a.find(seed, i + 1)
+        if places > MOST_PLACES:
+            break
+        if -best[0] >= 2 * q - 1:
+            return best[1], best[2], -best[0]
+        if least >= 2 * q - 2:
+            return 0, 0, 0
 
     def at(size: int) -> int:
         parts = {b[i : i + size] for i in range(len(b) - size + 1)}
@@ -60,7 +97,7 @@ def longest_block(a: str, b: str, autojunk: bool = False) -> tuple[int, int, int
 
 def stitch_two(before: str, text: str, window: int, least: int, autojunk: bool = False) -> str:
     """Add a chunk: what stands after the longest block common to the end of ``before`` and the start of ``text``."""
-    _, at, size = longest_block(before[-window:], text[:window], autojunk)
+    _, at, size = longest_block(before[-window:], text[:window], autojunk, least)
     return before + text[at + size :] if size > least else before + " " + text
 
 
@@ -68,7 +105,7 @@ def stitch_words_two(before: str, text: str, most: int) -> str:
     """Add a chunk: words at its start that repeat the words at the end go."""
     a, b = before.split(), text.split()
     for n in range(min(most, len(a), len(b)), 0, -1):
-        if a[-n:] == b[:n]:
+        if a[-n] == b[0] and a[-n:] == b[:n]:
             return " ".join(a + b[n:])
     return " ".join(a + b)
 
@@ -99,45 +136,72 @@ def stitch(chunks: DataFrame, window: int = 500, least: int = 10, cleanup: str =
         whole = stitch_two(tail, part, window, least, autojunk) if tail else part
         return whole[len(tail) :], whole[-window:]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        known = group["tail"].iloc[0]
-        guess = known is None or known != known
-        tail, start, added = "" if guess else known, None, []
-        for lead, text in zip(group["lead"], group["text"], strict=True):
-            if lead and not guess:
-                continue
-            if not lead and start is None:
-                start = tail
-            part = text.strip()
-            piece, tail = add(tail, part) if part else ("", tail)
-            if not lead:
-                added.append(piece)
-        return pd.DataFrame({"media_id": [group["media_id"].iloc[0]], "seg": [group["seg"].iloc[0]], "start": [start], "end": [tail], "piece": ["".join(added)]})
-
-    kind = chunks.schema["media_id"].dataType.simpleString()
-    made = f"media_id {kind}, seg long, start string, end string, piece string"
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a segment, from the rows of whole segments in order."""
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["media_id", "seg", "start", "end", "piece"])
+
+        now = None  # the open segment: media_id, seg, whether its start is a guess, the text's end, where it started, pieces
+        for batch in batches:
+            types = [batch.schema.field("media_id").type, pa.int64(), pa.string(), pa.string(), pa.string()]
+            for media, seg, begins, lead, text, known in zip(*(batch.column(c).to_pylist() for c in ("media_id", "seg", "begins", "lead", "text", "tail")), strict=True):
+                if begins:
+                    if now and now[5]:
+                        out.append(closed(now))
+                        if len(out) >= 256:
+                            yield made()
+                    now = [media, seg, known is None, known or "", None, []]
+                if lead and not now[2]:
+                    continue
+                if not lead and now[4] is None:
+                    now[4] = now[3]
+                part = text.strip()
+                piece, now[3] = add(now[3], part) if part else ("", now[3])
+                if not lead:
+                    now[5].append(piece)
+        if now and now[5]:  # a last segment may have leads only
+            out.append(closed(now))
+        if out:
+            yield made()
+
+    def closed(now: list) -> tuple:
+        """A segment's row; one that is not full is its item's last, and nothing needs its end."""
+        media, seg, _, end, start, added = now
+        return media, seg, start, end if len(added) == segment else None, "".join(added)
+
+    def folded(rows: DataFrame) -> DataFrame:
+        kind = chunks.schema["media_id"].dataType.simpleString()
+        return rows.repartition("media_id", "seg").sortWithinPartitions("media_id", "seg", "at").mapInArrow(fold, f"media_id {kind}, seg long, start string, end string, piece string")
+
     at = F.row_number().over(Window.partitionBy("media_id").orderBy("idx", "text")) - 1
     rows = chunks.select("media_id", "idx", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", at)
     own = F.floor(F.col("at") / segment)
     # The last chunks of a segment lead the next one.
     into = F.when(F.pmod("at", F.lit(segment)) >= segment - LEAD, F.array(F.struct(own.alias("seg"), F.lit(False).alias("lead")), F.struct((own + 1).alias("seg"), F.lit(True).alias("lead")))).otherwise(F.array(F.struct(own.alias("seg"), F.lit(False).alias("lead"))))
-    dealt = scratch.written(rows.select("media_id", "at", "text", F.explode(into).alias("x")).select("media_id", "at", "text", "x.seg", "x.lead"), "dealt", folder)
-    folded = dealt.withColumn("tail", F.when(F.col("seg") == 0, F.lit(""))).groupBy("media_id", "seg").applyInPandas(fold, made)
-    now = scratch.written(folded.where("start is not null"), "folded", kept)  # a last segment may have leads only
+    dealt = rows.select("media_id", "at", "text", F.explode(into).alias("x")).select("media_id", "at", "text", "x.seg", "x.lead")
+    begins = F.col("at") == F.greatest(F.col("seg") * segment - min(LEAD, segment), F.lit(0))
+    dealt = scratch.written(dealt.withColumn("begins", begins), "dealt", folder)
+    now = scratch.written(folded(dealt.withColumn("tail", F.when(F.col("seg") == 0, F.lit("")))), "folded", kept)
+    several = (F.col("seg") > 0) | F.col("end").isNotNull()  # of an item that may have several segments
     before = F.lag("end").over(Window.partitionBy("media_id").orderBy("seg"))
     while True:
-        wrong = scratch.written(now.select("media_id", "seg", "start", before.alias("tail")).where("tail <> start").select("media_id", "seg", "tail"), "wrong", folder)
+        wrong = scratch.written(now.where(several).select("media_id", "seg", "start", before.alias("tail")).where("tail <> start").select("media_id", "seg", "tail"), "wrong", folder)
         if wrong.isEmpty():
             break
         wrong = wrong.withColumnsRenamed({"media_id": "_m", "seg": "_s"})
         same = F.col("media_id").eqNullSafe(F.col("_m")) & (F.col("seg") == F.col("_s"))
-        again = dealt.join(wrong, same).drop("_m", "_s").groupBy("media_id", "seg").applyInPandas(fold, made)
+        again = folded(dealt.join(wrong, same).drop("_m", "_s"))
         now = scratch.written(now.join(wrong, same, "left_anti").unionByName(again), "folded", kept)
     scratch.remove(spark, folder)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "piece"))), lambda x: x["piece"]), "")
     clean = F.regexp_replace(F.regexp_replace(F.col("text"), r"(?U)\s+", " "), "^ | $", "") if cleanup == "collapse" else F.replace("text", F.lit("  "), F.lit(" "))
-    return now.groupBy("media_id").agg(text.alias("text")).select("media_id", clean.alias("text"))
+    whole = now.where(~several).select("media_id", F.col("piece").alias("text"))
+    joined = now.where(several).groupBy("media_id").agg(text.alias("text"))
+    return whole.unionByName(joined).select("media_id", clean.alias("text"))
 
 
 #: What ``str.strip`` takes away.

@@ -65,8 +65,9 @@ class Stitcher(StatefulProcessor):
         yield self.advance(key, {}, timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def advance(self, key: tuple, new: dict[int, str | None], now: int, expired: int = -1) -> pd.DataFrame:
-        tail, length, following, timer = self.sofar.get() if self.sofar.exists() else ("", 0, 0, -1)
-        held = {k[0]: v for k, v in self.waiting.iterator()} if timer >= 0 or not self.wait_ms else {}
+        known = self.sofar.get()  # each access of a state is a round trip to the JVM
+        tail, length, following, timer = known or ("", 0, 0, -1)
+        held = {k[0]: v for k, v in self.waiting.iterator()} if known and (timer >= 0 or not self.wait_ms) else {}
         start, added, kept = length, "", set(held)
         held |= {i: (t, now) for i, t in new.items() if i >= following}
         while held:

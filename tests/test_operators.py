@@ -299,3 +299,13 @@ def test_rollup_counts_a_ticker_once_or_in_each_sector(spark):
 
 def test_lookback_dedupe_strips_all_white_space(spark):
     assert one(spark, chunks.lookback_dedupe, "\ta line here\u00a0\n \u3000a line here\r\n\x0b\nother") == "a line here\nother"
+
+
+def test_stitching_looks_at_few_places(monkeypatch):
+    """A block that is as long as overlaps are is found by its pieces, without comparing all parts of a size."""
+    seen = []
+    monkeypatch.setattr(chunks, "_alike", lambda a, b, real=chunks._alike: seen.append(1) or real(a, b))
+    text = " ".join(f"word{i}" for i in range(300))
+    assert chunks.longest_block(text[:500], text[350:800]) == (350, 0, 150) and len(seen) == 2
+    assert chunks.longest_block("a" * 400, "a" * 300) == (0, 0, 300) and chunks.longest_block("abcd", "xbcy") == (1, 1, 2)
+    assert chunks.longest_block("abcdefgh", "xabcdefy", least=10) == (0, 0, 0)
