@@ -268,6 +268,17 @@ def carry_context(chunks: DataFrame, group: str, idx: str, text: str, length: in
     return chunks.withColumn("context", F.coalesce(before, F.lit("")))
 
 
+#: Texts that a task holds as Python's at a time, with what is made of them; Spark's batches hold thousands.
+SLICE_ROWS = 64
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def split_recursive(text: str, size: int, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
     """Pieces of at most ``size``: cut at the coarsest mark that occurs, neighbours joined again while they fit."""
     if len(text) <= size:
@@ -294,12 +305,13 @@ def split_recursive(text: str, size: int, marks: tuple[str, ...] = ("\n\n", "\n"
 def split_text(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``idx``, ``piece`` of every text, by the recursive rule."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, k, p) for i, t in zip(frame["id"], frame["text"], strict=True) for k, p in enumerate(split_recursive(t or "", size))]
-            yield pd.DataFrame(rows, columns=["id", "idx", "piece"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = [(i, k, p) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, p in enumerate(split_recursive(t or "", size))]
+            ids, places, pieces = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(pieces, pa.string())], names=["id", "idx", "piece"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, idx int, piece string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, idx int, piece string")
 
 
 def register_split_text(spark: SparkSession, name: str = "split_text") -> None:

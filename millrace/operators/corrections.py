@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace import scratch
+from millrace.operators.chunks import sliced
 
 #: Bytes of hints, terms and rules in one automaton; it takes some 40 times as much memory in each worker.
 MOST_TABLE_BYTES = 8 << 20
@@ -172,7 +173,7 @@ def hint_replace(docs: DataFrame, hints: DataFrame, id_col: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
             find = _finder(held)
-            for batch in batches:
+            for batch in sliced(batches):
                 before = batch.column(2).to_pylist()
                 texts = batch.column(1).to_pylist()
                 hits = [[*((h["at"], h["end"], h["priority"], h["term"]) for h in b or ()), *(find(t) if t else ())] for t, b in zip(texts, before, strict=True)]

@@ -5,11 +5,12 @@ from __future__ import annotations
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import chunks, corrections, resolve
+from millrace.operators import audit, chunks, corrections, resolve
 
 
 def one(spark, column, value, kind="string"):
@@ -309,3 +310,16 @@ def test_stitching_looks_at_few_places(monkeypatch):
     assert chunks.longest_block(text[:500], text[350:800]) == (350, 0, 150) and len(seen) == 2
     assert chunks.longest_block("a" * 400, "a" * 300) == (0, 0, 300) and chunks.longest_block("abcd", "xbcy") == (1, 1, 2)
     assert chunks.longest_block("abcdefgh", "xabcdefy", least=10) == (0, 0, 0)
+
+
+def test_texts_become_pythons_a_few_at_a_time():
+    rows = pa.table({"x": pa.array(range(200))}).to_batches()
+    parts = list(chunks.sliced(iter(rows)))
+    assert max(p.num_rows for p in parts) == chunks.SLICE_ROWS and [x for p in parts for x in p.column(0).to_pylist()] == list(range(200))
+
+
+def test_unknown_mentions_are_gathered_once(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "c"), (2, None)], "doc_id long, mention string")
+    made = audit.verify_status(df)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, made.collect())) == [(1, 2, "a,b"), (2, 1, "c")]
