@@ -87,6 +87,8 @@ class _Permit:
 
     def __init__(self, address: tuple[str, int, str]) -> None:
         self.socket = socket.create_connection(address[:2])
+        # Else a request that follows a return waits until the driver's acknowledgement, which it puts off for want of data to send.
+        self.socket.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
         self.socket.sendall(f"{address[2]}\n".encode())
 
     def __enter__(self) -> None:

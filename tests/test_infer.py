@@ -142,3 +142,12 @@ def test_outputs_are_carried(spark):
     got = {(r["g"], r["k"]): (r["context"], r["output"], r["status"]) for r in infer.carry_output(df, "g", "k", "text", model, length=50, attempts=1, wait=0, workers=4).collect()}
     assert got == want
     assert infer.carry_output(df.where("false"), "g", "k", "text", model).count() == 0
+
+
+def test_permits_are_asked_for_without_delay(monkeypatch):
+    """A return and a request in a row must not wait for an acknowledgement."""
+    options = []
+    fake = type("S", (), {"setsockopt": lambda s, *o: options.append(o), "sendall": lambda s, b: None})()
+    monkeypatch.setattr(infer.socket, "create_connection", lambda a: fake)
+    infer._Permit(("driver", 1, "secret"))
+    assert (infer.socket.IPPROTO_TCP, infer.socket.TCP_NODELAY, 1) in options
