@@ -29,7 +29,9 @@ def length_ratio(df: DataFrame, raw: str, corrected: str, least: float = 0.9) ->
 
 
 def verify_status(unknown: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return unknown.groupBy(doc).agg(F.count_distinct("mention").alias("n_unknown"), F.array_join(F.array_sort(F.collect_set("mention")), ",").alias("unknown"))
+    """Per document the number of its unknown mentions and their list. The set is gathered once and counted, so a row a document is shuffled."""
+    sets = unknown.groupBy(doc).agg(F.array_sort(F.collect_set("mention")).alias("_u"))
+    return sets.select(doc, F.size("_u").cast("long").alias("n_unknown"), F.array_join("_u", ",").alias("unknown"))
 
 
 def bullet_detail(df: DataFrame, id_col: str, text: str = "markdown") -> DataFrame:

@@ -17,9 +17,10 @@ def words(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "word")).where(F.length("word") >= 6)
 
 
-def all_words(df: DataFrame, *keep: str) -> DataFrame:
-    """Lower-case words of any letters and length."""
-    return df.select(*keep, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("mention")).where("mention <> ''")
+def all_words(df: DataFrame, *keep: str, once: bool = False) -> DataFrame:
+    """Lower-case words of any letters and length; with ``once`` each a single time a text."""
+    found = F.split(F.lower("text"), r"[^\p{L}]+")
+    return df.select(*keep, F.explode(F.array_distinct(found) if once else found).alias("mention")).where("mention <> ''")
 
 
 def kb(spark: SparkSession, d: str) -> DataFrame:

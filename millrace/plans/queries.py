@@ -659,7 +659,7 @@ def length_ratio(spark, d):
 
 @query("AUD4_verify_status", f"WITH {ALL_WORDS}, u AS (SELECT DISTINCT doc_id, mention FROM all_words WHERE mention NOT IN (SELECT key FROM dictionary)) SELECT doc_id, count(*) AS n_unknown, string_agg(mention, ',' ORDER BY mention) AS unknown FROM u GROUP BY doc_id")
 def verify_status(spark, d):
-    return audit.verify_status(resolve.unknown(fx.all_words(docs(spark, d), "doc_id"), fx.dictionary(spark, d)))
+    return audit.verify_status(resolve.unknown(fx.all_words(docs(spark, d), "doc_id", once=True), F.broadcast(fx.dictionary(spark, d))))
 
 
 @query("AUD5_bullet_detail", f"""WITH {MARKDOWN}, b AS (SELECT doc_id, list_filter(string_split(markdown, chr(10)), lambda x: starts_with(x, '- ')) AS b FROM summary)
