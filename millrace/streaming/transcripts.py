@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace import scratch
 from millrace.operators.chunks import stitch_two
@@ -28,7 +28,7 @@ def first_seen(mentions: DataFrame, late: str = "1 minute") -> DataFrame:
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started in here keep their state in RocksDB, which timers and map states need."""
+    """Streams started in here keep their state in RocksDB, on disk, so it may outgrow an executor's memory."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -41,7 +41,49 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-class Stitcher(StatefulProcessor):
+class Kept:
+    """A media item's states as one value, which comes and goes with its rows: no state is asked for over a socket."""
+
+    SCHEMA = "tail string, length long, following int, timer long, waiting array<struct<idx:int,text:string,came:long>>"
+
+    def __init__(self, state: GroupState) -> None:
+        self.value, self.held = None, {}
+        if state.exists:
+            *value, waiting = state.get
+            self.value, self.held = tuple(value), {i: (text, came) for i, text, came in waiting}
+
+    def getValueState(self, *_) -> Kept:  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def iterator(self) -> Iterator[tuple]:
+        return (((i,), v) for i, v in self.held.items())
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        del self.held[key[0]]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.held[key[0]] = value
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        """The value's ``timer`` says when; ``put`` sets it."""
+
+    deleteTimer = registerTimer  # noqa: N815
+
+    def put(self, state: GroupState, now: int) -> None:
+        state.update((*self.value, [(i, *v) for i, v in self.held.items()]))
+        if self.value[3] >= 0:  # a call takes the one before it away
+            state.setTimeoutDuration(max(self.value[3] - now, 1))
+
+
+class Stitcher:
     """One media item's text so far and the chunks that wait for a gap before them.
 
     The value state has the text's last characters, its length, the next chunk's place, and the timer that is set. The
@@ -52,20 +94,24 @@ class Stitcher(StatefulProcessor):
     def __init__(self, window: int, least: int, wait_ms: int | None) -> None:
         self.window, self.least, self.wait_ms = window, least, wait_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle: Kept) -> None:
         self.handle = handle
         self.sofar = handle.getValueState("sofar", "tail string, length long, following int, timer long")
         self.waiting = handle.getMapState("waiting", "idx int", "text string, came long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = {int(i): t for frame in rows for i, t in zip(frame["idx"], frame["text"], strict=True)}
-        yield self.advance(key, new, timerValues.getCurrentProcessingTimeInMs() if self.wait_ms else 0)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self.advance(key, {}, timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A batch's rows of a media item, or the end of its wait."""
+        kept, now = Kept(state), state.getCurrentProcessingTimeMs() if self.wait_ms else 0
+        self.init(kept)
+        if state.hasTimedOut:
+            made = self.advance(key, {}, now, kept.value[3])
+        else:
+            made = self.advance(key, {int(i): t for frame in rows for i, t in zip(frame["idx"], frame["text"], strict=True)}, now)
+        kept.put(state, now)
+        yield made
 
     def advance(self, key: tuple, new: dict[int, str | None], now: int, expired: int = -1) -> pd.DataFrame:
-        known = self.sofar.get()  # each access of a state is a round trip to the JVM
+        known = self.sofar.get()
         tail, length, following, timer = known or ("", 0, 0, -1)
         held = {k[0]: v for k, v in self.waiting.iterator()} if known and (timer >= 0 or not self.wait_ms) else {}
         start, added, kept = length, "", set(held)
@@ -94,9 +140,6 @@ class Stitcher(StatefulProcessor):
         self.sofar.update((tail, length, following, due))
         return pd.DataFrame({"media_id": [key[0]], "start": [start], "next_idx": [following], "piece": [added]})
 
-    def close(self) -> None:
-        pass
-
 
 def stream_stitch(chunks: DataFrame, window: int = 500, least: int = 10, wait_ms: int | None = None) -> DataFrame:
     """``media_id``, ``start``, ``next_idx``, ``piece`` after each batch: chunks are added in order of ``idx``; later ones wait for the gap.
@@ -106,8 +149,9 @@ def stream_stitch(chunks: DataFrame, window: int = 500, least: int = 10, wait_ms
     meanwhile: the chunks behind it are added as if it were empty, and what comes for it later is dropped. Start the
     stream within ``rocksdb``.
     """
-    mode = "ProcessingTime" if wait_ms else "None"
-    return chunks.groupBy("media_id").transformWithStateInPandas(Stitcher(window, least, wait_ms), "media_id long, start long, next_idx int, piece string", "Update", mode)
+    stitcher = Stitcher(window, least, wait_ms)
+    until = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("media_id").applyInPandasWithState(lambda *x: stitcher(*x), "media_id long, start long, next_idx int, piece string", Kept.SCHEMA, "update", until)
 
 
 def stitched(pieces: DataFrame) -> DataFrame:

@@ -192,3 +192,46 @@ def test_cache_wins(spark, wins, ticker):
     d = spark.createDataFrame([("k", "D")], "key string, ticker string")
     got = transcripts.resolve_all(d, d.where("false"), cache_wins=wins)(spark.createDataFrame([("k",)], "mention string"), cache).first()
     assert (got["ticker"], got["method"], got["learned"]) == (ticker, "exact", False)
+
+
+class OneGroup:
+    """A group's state, as a stream keeps it between the calls for one item."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.now, self.due, self.calls = None, False, False, 0, None, 0
+
+    def update(self, value):
+        self.get, self.exists, self.calls = value, True, self.calls + 1
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.due = self.now + ms
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+
+def test_state_goes_with_the_rows_once_a_batch():
+    state, stitcher, out = OneGroup(), transcripts.Stitcher(500, 10, 60_000), []
+
+    def send(now, *rows):
+        state.now, state.due, state.hasTimedOut, before = now, None, not rows, state.calls
+        out.extend(stitcher((1,), iter([pd.DataFrame(rows, columns=["idx", "text"])]) if rows else iter(()), state))
+        assert state.calls == before + 1
+
+    send(0, (0, "one"), (2, "three"))
+    assert state.due == 60_000 and state.get[2] == 1 and state.get[4] == [(2, "three", 0)]
+    send(20_000, (4, "five"))  # does not put the end of the gap off
+    assert state.due == 60_000 and [w[0] for w in state.get[4]] == [2, 4]
+    send(60_000)
+    assert state.due == 80_000 and state.get[2] == 3 and [w[0] for w in state.get[4]] == [4]
+    send(70_000, (1, "too late"), (3, "four"))
+    assert state.due is None and state.get[2] == 5 and state.get[4] == []
+    assert "".join(f["piece"][0] for f in out) == "one three four five"
+
+
+def test_gaps_stay_open_over_restarts_and_many_items(spark, tmp_path):
+    run = Run(spark, tmp_path, "media_id long, idx int, text string", transcripts.stream_stitch)
+    run([(m, k, f"text {k}") for m in range(600) for k in (0, 2)])
+    out = run([(m, 1, "text 1") for m in range(600) if m % 2])
+    texts = {r["media_id"]: (r["next_idx"], r["text"]) for r in transcripts.stitched(spark.createDataFrame(out, "media_id long, start long, next_idx int, piece string")).collect()}
+    assert texts == {m: (3, "text 0 text 1 text 2") if m % 2 else (1, "text 0") for m in range(600)}
