@@ -18,6 +18,9 @@ from millrace.functions.text import candidates, index_guard, not_blacklisted, st
 #: Shares that the mentions of one length are dealt to.
 SALTS = 64
 
+#: Bytes of a dictionary's pieces up to which they are sent to the mentions, which then don't move.
+SENT = 64_000_000
+
 
 def build_dictionary(aliases: DataFrame, order: list[str], include_codes: bool = True) -> DataFrame:
     """``key`` -> ``ticker``: for a lower-case alias that several tickers own the last in ``order`` wins.
@@ -79,41 +82,48 @@ def edit_pairs(words: DataFrame, aliases: DataFrame, threshold: int) -> DataFram
     return parts.join(plans, ["len", "place", "piece"]).select("mention", "alias", "t").distinct().withColumn("score", score(F.col("mention"), F.col("alias"))).where(F.col("score") >= threshold)
 
 
-def letters(word: Column, most: int) -> Column:
-    """A word's letters, each with its number among equal ones: what two words have in common are these, as a set. Null beyond ``most`` letters."""
-    each = F.split(F.when(F.length(word) <= most, word), "")
-    each = F.filter(each, lambda c: c != "")
+def letters(word: Column) -> Column:
+    """A word's letters, each with its number among equal ones: what two words have in common are these, as a set."""
+    each = F.filter(F.split(word, ""), lambda c: c != "")
     return F.transform(each, lambda c, i: F.concat(c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
 
 
 def sequence_pairs(words: DataFrame, aliases: DataFrame, threshold: int) -> DataFrame:
     """``mention``, ``alias``, ``t``, ``score`` of all pairs whose block-matching ratio, 2 * matched / both lengths, reaches the threshold.
 
-    The matched characters are at most the letters that both words have, so at a ratio of r two words of n and m letters
-    share at least r (n + m) / 2 of them, and m is at least n r / (2 - r). Then of the n letters, the dictionary's rarest
-    first, the n - ceil(n r / (2 - r)) + 1 first hold one that is among the other's first, too. Pairs that share one are
-    held against the whole bound, and what is left is matched in Arrow batches. Nothing is lost.
+    Blocking is lossless. At a ratio of r, words of n and m letters match at least k = r (n + m) / 2 of them, in order, so
+    the alias loses n - k letters at most and the mention has m - k of its own at most. Each of these breaks one piece of
+    the alias at most: of one piece more than both, or of its single letters, one stands unchanged in the mention, at
+    most n - k places before and m - k places behind its own. Pairs that share one are held against bounds on edits and
+    on letters in common, and what is left is matched in Arrow batches.
     """
     least = (threshold - 0.5) / 100 - 1e-9  # what is rounded up to the threshold
     share = least / (2 - least)
-    longest = aliases.agg(F.max(F.length("alias"))).first()[0] or 0
-    most = int(longest / share)
-    words = words.where(F.length("mention") <= most)
-    known = aliases.select("alias", "t", letters(F.col("alias"), longest).alias("a_all"))
-    often = known.select(F.explode("a_all").alias("letter")).groupBy("letter").agg(F.count("*").alias("often"))
-
-    def first(table: DataFrame, name: str, every: str) -> DataFrame:
-        """The letters that stand for each word, and its length."""
-        flat = table.select(name, F.explode(every).alias("letter")).join(often, "letter", "left")
-        order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "letter")))
-        n = F.size("x")
-        return flat.groupBy(name).agg(order.alias("x")).select(name, n.alias(f"{name}_n"), F.explode(F.slice("x", F.lit(1), n - F.ceil(n * share).cast("int") + 1)).alias("y")).select(name, f"{name}_n", F.col("y.letter").alias("letter"))
-
-    own = words.select("mention", letters(F.col("mention"), most).alias("m_all"))
-    met = first(own, "mention", "m_all").join(first(known, "alias", "a_all"), "letter")
-    met = met.where((F.col("alias_n") >= F.col("mention_n") * share) & (F.col("mention_n") >= F.col("alias_n") * share)).select("mention", "alias").distinct()
-    met = met.join(own, "mention").join(known, "alias")
-    near = met.where(2 * F.size(F.array_intersect("m_all", "a_all")) >= least * (F.size("m_all") + F.size("a_all")))
+    n, m = F.length("alias"), F.col("len")
+    k = F.ceil(least * (n + m) / 2).cast("int")
+    # For each possible length of the mention, by which the letters lost and gained are known.
+    plans = aliases.select("alias", "t", F.explode(F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))).alias("len"))
+    plans = plans.withColumns({"lost": n - k, "own": m - k}).where("lost >= 0 and own >= 0")
+    count = F.least(n, F.col("lost") + F.col("own") + 1)
+    begin = lambda i: F.floor(i * n / count).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(begin(i).alias("at"), F.substring("alias", begin(i) + 1, begin(i + 1) - begin(i)).alias("piece")))
+    plans = plans.withColumn("x", F.explode(piece)).select("alias", "t", "len", "x.piece", F.greatest(F.lit(0), F.col("x.at") - F.col("lost")).alias("first"), F.least(m - F.length("x.piece"), F.col("x.at") + F.col("own")).alias("last"))
+    plans = plans.where("first <= last").select("alias", "t", "len", "piece", F.explode(F.sequence("first", "last")).alias("place"))
+    shapes = plans.select("len", F.length("piece").alias("size"), "place").distinct()
+    size = plans.agg(F.sum(F.octet_length("alias") + F.octet_length("piece") + 100)).first()[0] or 0
+    known = words.select("mention", F.length("mention").alias("len"))
+    if size <= SENT:
+        plans, shapes = F.broadcast(plans), F.broadcast(shapes)
+        parts = known.join(shapes, "len")
+    else:  # lengths are few and uneven, so each is salted
+        shapes = shapes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = known.withColumn("salt", F.pmod(F.xxhash64("mention"), F.lit(SALTS)).cast("int")).join(shapes, ["len", "salt"])
+    parts = parts.select("mention", "len", "place", F.substring("mention", F.col("place") + 1, F.col("size")).alias("piece"))
+    met = parts.join(plans, ["len", "place", "piece"]).select("mention", "alias", "t")
+    both = F.length("mention") + F.length("alias")
+    few = F.levenshtein("mention", "alias") <= (1 - least) * both
+    met = met.where(F.when(few, 2 * F.size(F.array_intersect(letters(F.col("mention")), letters(F.col("alias")))) >= least * both).otherwise(False))
+    near = met.distinct()
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = difflib.SequenceMatcher(None, autojunk=False)

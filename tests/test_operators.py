@@ -165,6 +165,25 @@ def test_sequence_scorer_equals_the_full_scan(spark, threshold):
     assert all(best.get(w, a) == a for w, a in ((w, min((k for v, k in want if v == w), key=lambda k: (-want[w, k], k))) for w, _ in want))
 
 
+@pytest.mark.parametrize("threshold, sent", [(90, None), (90, 0), (50, None), (20, 0)])
+def test_sequence_scorer_moves_pairs_only(spark, monkeypatch, threshold, sent):
+    """Mentions meet a small dictionary where they are; nothing is lost where it is large, nor where a piece is one letter."""
+    random.seed(threshold)
+    keys = sorted({"".join(random.choice("abcdก") for _ in range(random.randint(1, 12))) for _ in range(40)})
+    words = sorted({k[:i] + x + k[j:] for k in keys for i in range(0, len(k), 3) for j, x in ((i, "ab"), (i + 1, ""), (i + 1, "z"))} - {""})
+    aliases = spark.createDataFrame([(k, "T1234.BK") for k in keys], "alias string, t string")
+    if sent is not None:
+        monkeypatch.setattr(resolve, "SENT", sent)
+    made = resolve.sequence_pairs(spark.createDataFrame([(w,) for w in words], "mention string"), aliases, threshold)
+    score = lambda w, k: int(100 * difflib.SequenceMatcher(None, w, k, autojunk=False).ratio() + 0.5)
+    assert {(r["mention"], r["alias"]): r["score"] for r in made.collect()} == {(w, k): s for w in words for k in keys if (s := score(w, k)) >= threshold}
+    if sent is None:
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+        moved = [x for x in made._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[-1].split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(mention" in x]
+        assert len(moved) <= 1, moved
+
+
 def test_rules_on_short_tickers(spark):
     d = spark.createDataFrame([("apple1", "A.BK"), ("longer-key-12", "LONG.BK")], "key string, ticker string")
     m = spark.createDataFrame([("apple2",), ("apple1",), ("longer-key-13",)], "mention string")
