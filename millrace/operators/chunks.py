@@ -315,9 +315,12 @@ def split_text(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
 
 
 def register_split_text(spark: SparkSession, name: str = "split_text") -> None:
-    """``split_text(text, size)`` as a table function for SQL: a row ``idx``, ``piece`` for each piece, in lateral joins too."""
+    """``split_text(text, size)`` as a table function for SQL: a row ``idx``, ``piece`` for each piece, in lateral joins too.
 
-    @udtf(returnType="idx int, piece string", useArrow=True)
+    Rows come and go pickled, a hundred at a time. With Arrow a task would hold thousands of texts as Python's at once.
+    """
+
+    @udtf(returnType="idx int, piece string", useArrow=False)
     class SplitText:
         def eval(self, text: str, size: int) -> Iterator[tuple[int, str]]:
             yield from enumerate(split_recursive(text or "", size))

@@ -116,6 +116,16 @@ def test_table_function_equals_split_text(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunks.split_text(df, 20).collect()))
 
 
+def test_table_function_holds_few_texts(spark):
+    """A task never asks for thousands of texts before the pieces of the first are out."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 20) AS text").coalesce(1)
+    chunks.register_split_text(spark)
+    made = spark.sql("SELECT doc_id, p.idx, p.piece FROM {t}, LATERAL split_text(text, 100) AS p", t=df)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+    assert made.select("doc_id").distinct().count() == 20_000
+
+
 def test_audits_of_terms_and_tickers(spark):
     df = spark.createDataFrame([(1, "QoQ up 5 and YoY up 5, QoQs", "QoQ up 5", "PTT and CPF.BK rose 7; ABC", "ptt PTT fell 7")], "id long, raw string, fixed string, summary string, source string")
     assert {(r["fact"], r["n_lost"]) for r in audit.lost_facts(df, "id", "raw", "fixed", terms=["QoQ", "YoY"]).collect()} == {("5", 1), ("YoY", 1)}
