@@ -181,17 +181,20 @@ def replay(table: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str =
     """Run a streaming plan over a table's rows, written as files, until all are read; the rows it put out.
 
     ``each`` turns every batch, with its number, into the rows to be put out. A batch that Spark repeats is written anew.
+    The files and the stream's log go when it has ended.
     """
     spark = table.sparkSession
     source, out, log = (scratch.new_path(spark, f"{name}-{k}") for k in ("in", "out", "log"))
-    table.write.parquet(source)
+    table.write.parquet(source, compression="zstd")
     made = make(spark.readStream.schema(table.schema).parquet(source))
 
     def write(df: DataFrame, n: int) -> None:
-        (df if each is None else each(df, n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        (df if each is None else each(df, n)).write.mode("overwrite").parquet(f"{out}/batch={n}", compression="zstd")
 
     with rocksdb(spark):
         query = made.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    for done in (source, log):
+        scratch.remove(spark, done)
     read = spark.read.option("recursiveFileLookup", "true")
     return (read.schema(made.schema) if each is None else read).parquet(out)
