@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import candidates, index_guard, not_blacklisted, strip_suffix
+from millrace.functions.text import LATIN, WORD, candidates, index_guard, not_blacklisted, strip_suffix
 
 #: Shares that the mentions of one length are dealt to.
 SALTS = 64
@@ -215,15 +215,15 @@ def run_stats(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def hits_to_candidate(hits: DataFrame, k: int) -> DataFrame:
     """From the first k hits of a query: the first ``X.BK``, else the first allowed token."""
-    text = hits.where(F.col("rank") <= k).groupBy("query").agg(F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "body"))), lambda x: F.concat_ws(" ", x["title"], x["body"])), " ")).alias("text"))
-    suffixed = F.regexp_extract("text", r"([A-Z]{2,8}\.BK)", 1)
+    text = hits.where(F.col("rank") <= k).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "body"))), lambda x: F.concat_ws(" ", x["title"], x["body"])), " ").alias("text"))
+    suffixed = F.upper(F.regexp_extract("text", rf"({LATIN}{{2,8}}\.[Bb][Kk])", 1))
     return text.select("query", F.coalesce(F.when(suffixed != "", suffixed), F.get(not_blacklisted(candidates(F.col("text"))), F.lit(0))).alias("candidate"))
 
 
 def hits_to_candidate_v2(hits: DataFrame, k: int) -> DataFrame:
     """As above, 2 to 6 capitals without upper-casing, link text too, each token once."""
     text = hits.where(F.col("rank") <= k).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "body", "href"))), lambda x: F.concat_ws(" ", x["title"], x["body"], x["href"])), " ").alias("text"))
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])([A-Z]{2,6})(?![\p{L}\p{N}_])"), F.lit(1)))
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?<!{WORD})([A-Z]{{2,6}})(?!{WORD})"), F.lit(1)))
     return text.select("query", F.get(not_blacklisted(tokens), F.lit(0)).alias("candidate"))
 
 

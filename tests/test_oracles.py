@@ -43,6 +43,21 @@ def test_query_equals_sql(spark, db, name):
     assert got == want
 
 
+#: Titles and texts whose upper case is no plain one, letters beyond the BMP, and small letters that become A to Z.
+ODD_HITS = ["Einerß als", "Großß.bk STUSS.bk", "ß.bk aß.bk und", "ﬁn oﬀ.bk now", "ŉab ǰab ẖab zu", "xyΐ ὐab de", "xy𐀀zw 𝐀ab cd𠮷ef la", "xyͅzw os", "ıbm ſap", "kıſ.bK ab", "update ſet ptt.bk", "abcdefghi.bk", "é.bk naïve ÀB et", "Straße 1a a1 a_b", ""]
+
+
+@pytest.mark.parametrize("name", ["JOIN10_hits_to_candidate", "JOIN11_hits_to_candidate_v2"])
+def test_odd_letters_of_hits_equal_sql(spark, tmp_path, name):
+    pages = [(i, f"u{i}", f"<title>{x}</title><p>") for i, x in enumerate(ODD_HITS)]
+    pages += [(i + 20, f"u{i}", f"<title>{x.upper()}</title><p>{x}") for i, x in enumerate(ODD_HITS)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["query"], r["candidate"]) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(c.execute(f"SELECT query, candidate FROM ({ORACLES[name]})").fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
